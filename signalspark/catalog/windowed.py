@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
-from signalspark.operators import features, normalize, sequences, stats, windows
+from signalspark.functions import arrays as A
+from signalspark.layout import SeriesLayout, number_rows
+from signalspark.operators import features, normalize, relate, sequences, stats, windows
 from signalspark.operators.windows import Cutter
 
 L, H, STEP = 10, 2, 3
@@ -202,3 +204,188 @@ def window_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     table = features.feature_table(prepared(spark, sf, layout), cutter(layout), HZ, frequency=False)
     names = features.feature_names(table)
     return table.select("worker_id", "split", "start_idx", *[X.r6(c).alias(c) for c in names])
+
+
+# Beat spectrum on longer series: the lines of each supplier, with the price as the signal.
+SL, SH, SSTEP = 80, 2, 40
+SPECTRUM_SQL = f"""WITH seg AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS worker_id, 'all' AS split, l_extendedprice AS ecg,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1
+      AS time_idx, count(*) OVER (PARTITION BY l_suppkey) AS seg_n FROM lineitem
+), {X.windows_sql("seg", SL, SH, SSTEP)}, cells AS (SELECT * FROM cell WHERE o < {SL}), {beat_sql(HZ)}, q AS (
+  SELECT worker_id, split, s, g, row_number() OVER (PARTITION BY worker_id, split, s ORDER BY p) - 2 AS k,
+    count(g) OVER (PARTITION BY worker_id, split, s) AS n,
+    avg(g) OVER (PARTITION BY worker_id, split, s) AS centre FROM gap
+), t AS (
+  SELECT *, 0.5 - 0.5 * cos(2 * pi() * k / n) AS w FROM q WHERE g IS NOT NULL AND n >= 8
+), f AS (
+  SELECT worker_id, split, s, n, m, 2 * (pow(sum((g - centre) * w * cos(2 * pi() * m * k / n)), 2)
+    + pow(sum((g - centre) * w * sin(2 * pi() * m * k / n)), 2)) / (4 * sum(w * w)) AS psd
+  FROM t, (SELECT unnest(range(1, 33)) AS m) GROUP BY 1, 2, 3, 4, 5
+), band AS (
+  SELECT worker_id, split, s, CASE WHEN m * 4.0::DOUBLE / n < 0.15 THEN 'LF' ELSE 'HF' END AS band, m, psd, n FROM f
+  WHERE m * 4.0::DOUBLE / n >= 0.04 AND m * 4.0::DOUBLE / n < 0.40
+), area AS (
+  SELECT worker_id, split, s, band, sum(coalesce(a, 0)) AS v FROM (
+    SELECT *, (psd + lag(psd) OVER (PARTITION BY worker_id, split, s, band ORDER BY m)) / 2 * 4.0::DOUBLE / n AS a
+    FROM band) GROUP BY 1, 2, 3, 4
+), two AS (SELECT worker_id, split, s, max(v) FILTER (WHERE band = 'LF') AS lf,
+  max(v) FILTER (WHERE band = 'HF') AS hf FROM area GROUP BY 1, 2, 3)
+SELECT w.worker_id, CAST(w.start_idx AS INTEGER) AS start_idx, round(lf, 6) + 0.0 AS "LF", round(hf, 6) + 0.0 AS "HF",
+  CASE WHEN hf > 0 THEN round(lf / hf, 6) + 0.0 END AS "LF_HF"
+FROM win w LEFT JOIN two USING (worker_id, split, s)"""
+
+
+@query(SPECTRUM_SQL)
+def beat_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    lines = X.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("worker_id"),
+        F.lit("all").alias("split"),
+        F.col("l_extendedprice").alias("ecg"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.lit(0.0).alias("y_stress"),
+        F.lit(0.0).alias("y_comfort_proxy"),
+    )
+    layout = SeriesLayout.fit(lines, "worker_id", "l_orderkey")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "ecg"]
+    rows = number_rows(lines, ["worker_id"], order, layout, "_seg_pos", "_seg_n")
+    rows = rows.withColumn("time_idx", F.col("_seg_pos").cast("int"))
+    cut = cutter(layout, SL, SH, SSTEP)
+    gaps = cut.cut(rows, [*cut.meta(), cut.samples("ecg").alias("_ecg")])
+    gaps = gaps.withColumn("_beats", A.beats(F.col("_ecg"), HZ))
+    gaps = gaps.withColumn("_gaps", A.intervals(F.col("_beats"), HZ))
+    spectrum = gaps.withColumns(A.beat_spectrum(F.col("_gaps")))
+    return spectrum.select("worker_id", "start_idx", *[X.r6(c).alias(c) for c in ("LF", "HF", "LF_HF")])
+
+
+@query(
+    f"""WITH {FILLED}, {X.windows_sql("filled", L, H, STEP)}
+SELECT worker_id, split, CAST(start_idx AS INTEGER) AS start_idx, CAST(o AS INTEGER) AS step,
+  CASE WHEN o < {L} THEN round(ecg, 6) + 0.0 END AS ecg, round(distance_to_robot, 6) + 0.0 AS distance_to_robot,
+  task_phase, CASE WHEN o >= {L} THEN y_stress END AS target FROM cell"""
+)
+def sequence_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoder and decoder parts, unfolded: signals end with the encoder, targets start with the decoder."""
+    layout = X.layout_of(spark, sf)
+    rows = normalize.fill_raw(X.held_out(spark, sf, layout), X.SCHEMA, layout)
+    table = sequences.sequence_set(rows, cutter(layout), "y_stress", use_profiles=False)
+
+    def joined(c: str):
+        return F.concat(f"enc_{c}", f"dec_{c}").alias(c)
+
+    blank = F.array_repeat(F.lit(None).cast("double"), L)
+    cells = table.select(
+        "worker_id",
+        "split",
+        "start_idx",
+        F.posexplode(
+            F.arrays_zip(
+                F.concat("enc_ecg", F.array_repeat(F.lit(None).cast("double"), H)).alias("ecg"),
+                joined("distance_to_robot"),
+                joined("task_phase"),
+                F.concat(blank, "dec_target").alias("target"),
+            )
+        ).alias("step", "c"),
+    )
+    return cells.select(
+        "worker_id",
+        "split",
+        "start_idx",
+        "step",
+        X.r6("c.ecg").alias("ecg"),
+        X.r6("c.distance_to_robot").alias("distance_to_robot"),
+        F.col("c.task_phase").alias("task_phase"),
+        F.col("c.target").alias("target"),
+    )
+
+
+@query(
+    f"""WITH {X.HELD_OUT}, {X.windows_sql("seg", L, H, STEP)}, w AS (
+  SELECT worker_id, split, s, max(y_stress) FILTER (WHERE o = {L + H - 1}) AS y FROM cell GROUP BY 1, 2, 3)
+SELECT split, CAST(count(*) AS BIGINT) AS windows, CAST(count(DISTINCT worker_id) AS BIGINT) AS last_windows,
+  CAST(sum(y) AS BIGINT) AS positives, CAST(count(*) - sum(y) AS BIGINT) AS negatives FROM w GROUP BY split"""
+)
+def sequence_set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    layout = X.layout_of(spark, sf)
+    meta = windows.window_meta(X.held_out(spark, sf, layout), cutter(layout))
+    return sequences.set_sizes(meta, "worker_id", "y_stress")
+
+
+@query(
+    f"""WITH {X.HELD_OUT}, {X.windows_sql("seg", L, H, STEP)}
+SELECT worker_id, split, CAST(max(start_idx) AS INTEGER) AS start_idx FROM win GROUP BY worker_id, split"""
+)
+def last_window_per_series(spark: SparkSession, sf: str) -> DataFrame:
+    layout = X.layout_of(spark, sf)
+    meta = windows.window_meta(X.held_out(spark, sf, layout), cutter(layout))
+    return sequences.last_per_series(meta, "worker_id").select("worker_id", "split", "start_idx")
+
+
+@query(
+    f"""WITH {X.HELD_OUT}, t AS (SELECT * FROM seg WHERE split = 'train' ORDER BY worker_id, time_idx LIMIT 1)
+SELECT worker_id, CAST(pos // 2 AS INTEGER) AS time_idx, split, CAST(experience_level AS VARCHAR) AS experience_level,
+  task_phase, y_stress, CASE WHEN ecg IS NOT NULL THEN round(ecg, 6) + 0.0 END AS ecg,
+  round(robot_speed, 6) + 0.0 AS robot_speed FROM seg WHERE pos % 2 = 0
+UNION ALL
+SELECT s.worker_id, 0, 'train', CAST(t.experience_level AS VARCHAR), t.task_phase, 0.0, 0.0,
+  round(t.robot_speed, 6) + 0.0 FROM (SELECT DISTINCT worker_id FROM seg WHERE split <> 'train') s, t"""
+)
+def sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Row stride with a new index, text categories, and a neutral training row per unseen worker."""
+    rows = X.held_out(spark, sf, X.layout_of(spark, sf))
+    slim = rows.drop("user_id", "event_id", "_at", "value")
+    padded = sequences.pad_unseen(sequences.reindex(slim, X.SCHEMA, 2), X.SCHEMA, "y_stress")
+    columns = ["worker_id", "time_idx", "split", "experience_level", "task_phase", "y_stress"]
+    return padded.select(*columns, X.r6("ecg").alias("ecg"), X.r6("robot_speed").alias("robot_speed"))
+
+
+@query(
+    f"""WITH {X.HELD_OUT}, v AS (SELECT task_phase, dense_rank() OVER (ORDER BY task_phase) - 1 AS code FROM (
+  SELECT DISTINCT task_phase FROM seg WHERE split = 'train')), w AS (
+  SELECT worker_id, dense_rank() OVER (ORDER BY worker_id) - 1 AS code FROM (
+    SELECT DISTINCT worker_id FROM seg WHERE split = 'train'))
+SELECT event_id, CAST(v.code AS DOUBLE) AS task_phase_code,
+  CAST(coalesce(w.code, (SELECT count(*) FROM w)) AS DOUBLE) AS worker_id_code
+FROM seg JOIN v USING (task_phase) LEFT JOIN w USING (worker_id)"""
+)
+def category_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """Indices fitted on training; unseen workers share the extra slot."""
+    u = F.col("user_id") % 10
+    rows = X.raw_signals(spark, sf).withColumn("split", F.when(u < 7, "train").otherwise("rest"))
+    coded = sequences.index_categories(rows, ["task_phase", "worker_id"])
+    return coded.select("event_id", "task_phase_code", "worker_id_code")
+
+
+CELLS = ("ecg", "eda", "temp", "distance_to_robot", "robot_speed")
+
+
+@query(
+    f"""WITH {X.HELD_OUT} SELECT split, CAST(count(*) AS BIGINT) AS rows, {len(CELLS)}::BIGINT AS columns,
+  CAST({" + ".join(f"count(*) - count({c})" for c in CELLS)} AS BIGINT) AS nan_count, 0::BIGINT AS inf_count,
+  round(({" + ".join(f"count({c})" for c in CELLS)})::DOUBLE / (count(*) * {len(CELLS)}), 6) + 0.0 AS finite_ratio
+FROM seg GROUP BY split"""
+)
+def matrix_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.held_out(spark, sf, X.layout_of(spark, sf))
+    table = stats.matrix_stats(rows, CELLS)
+    return table.withColumn("finite_ratio", X.r6("finite_ratio"))
+
+
+@query(
+    f"""WITH {X.HELD_OUT}, {X.windows_sql("seg", L, H, STEP)}, p AS (
+  SELECT worker_id, avg(eda) AS mu FROM seg WHERE split = 'train' GROUP BY 1)
+SELECT w.worker_id, w.split, CAST(start_idx AS INTEGER) AS start_idx,
+  round(coalesce(mu, 0.0::DOUBLE), 6) + 0.0 AS profile_baseline_mu_eda FROM win w LEFT JOIN p USING (worker_id)"""
+)
+def profile_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile columns on windows; 0 for workers that training never saw."""
+    layout = X.layout_of(spark, sf)
+    rows = X.held_out(spark, sf, layout)
+    static = rows.where("split = 'train'").groupBy("worker_id").agg(F.avg("eda").alias("baseline_mu_eda"))
+    table = relate.append_profiles(windows.window_meta(rows, cutter(layout)), static)
+    return table.select(
+        "worker_id", "split", "start_idx", X.r6("profile_baseline_mu_eda").alias("profile_baseline_mu_eda")
+    )
