@@ -117,6 +117,7 @@ def profile_ablation(spark: SparkSession, sf: str) -> DataFrame:
     layout = X.layout_of(spark, sf)
     table, _ = training_table(spark, sf)
     static = profiles.profile_table(X.held_out(spark, sf, layout), X.SCHEMA, 0.1, layout)
+    static = sinks.cache_raw(static, shared_folder(spark, "profiles"))
     on = experiment.run_trees(table, static, X.SCHEMA, CFG, "profiles_on")[0]
     off = experiment.run_trees(table, None, X.SCHEMA, CFG, "profiles_off")[0]
     return on.unionByName(off).where(F.col("metric").isin("auroc", "rmse"))

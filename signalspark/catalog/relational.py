@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
 from signalspark.functions import scalar as S
-from signalspark.layout import SeriesLayout
 from signalspark.operators import clean, compare, relate, sample
 from signalspark.sources import tables
 
@@ -117,9 +116,7 @@ QUALIFY count(*) OVER (PARTITION BY ID) >= 3"""
 def feature_table_dataset(spark: SparkSession, sf: str) -> DataFrame:
     """Three-table join: labels with last-wins duplicates, availability, ordering, codes, labels, row minimum."""
     signals, labels, overview = signal_table(spark, sf), label_table(spark, sf), overview_table(spark, sf)
-    keyed = tables.with_series_order(tables.joined_rows(signals, labels, overview, OPTIONS, "_ingest"))
-    layout = SeriesLayout.fit(keyed, "ID", tables.SERIES_ORDER)
-    frame = tables.feature_dataset(signals, labels, overview, X.SCHEMA, OPTIONS, layout=layout)
+    frame = tables.feature_dataset(signals, labels, overview, X.SCHEMA, OPTIONS)
     return frame.select(
         "worker_id",
         "time_idx",

@@ -135,18 +135,25 @@ def normalize_global(spark: SparkSession, sf: str) -> DataFrame:
 ALPHA, WARM = 0.1, 30
 
 
+SCALE = 7
+
+
 def online_sql(column: str) -> str:
-    """Row-by-row recursion: the state a row sees, then its update."""
+    """Row-by-row recursion: the state a row sees, then its update.
+
+    Signals are divided by 7 here, so that short decimals do not end up exactly between two rounded values.
+    """
+    value = f"(f.{column} / {SCALE})"
     a = f"{ALPHA}::DOUBLE"
     mean_after = f"((1 - {a}) * e.mu + {a} * e.x)"
     return f"""init_{column} AS (
-  SELECT worker_id, split, avg({column}) AS mu, stddev_pop({column}) + 1e-6::DOUBLE AS sd FROM filled
+  SELECT worker_id, split, avg({value}) AS mu, stddev_pop({value}) + 1e-6::DOUBLE AS sd FROM filled f
   WHERE pos < {WARM} GROUP BY worker_id, split
 ), ema_{column} AS (
-  SELECT f.worker_id, f.split, f.pos, f.{column} AS x, i.mu, i.sd FROM filled f
+  SELECT f.worker_id, f.split, f.pos, {value} AS x, i.mu, i.sd FROM filled f
     JOIN init_{column} i ON i.worker_id = f.worker_id AND i.split = f.split WHERE f.pos = 0
   UNION ALL
-  SELECT f.worker_id, f.split, f.pos, f.{column}, {mean_after},
+  SELECT f.worker_id, f.split, f.pos, {value}, {mean_after},
     sqrt(greatest((1 - {a}) * e.sd * e.sd + {a} * (e.x - {mean_after}) * (e.x - {mean_after}), 1e-6::DOUBLE))
   FROM ema_{column} e JOIN filled f ON f.worker_id = e.worker_id AND f.split = e.split AND f.pos = e.pos + 1
 )"""
@@ -165,7 +172,8 @@ def normalize_online(spark: SparkSession, sf: str) -> DataFrame:
     layout = X.layout_of(spark, sf)
     rows = normalize.fill_raw(X.held_out(spark, sf, layout), X.SCHEMA, layout)
     cfg = {"normalization": {"mode": "online", "warmup_steps": WARM}, "profile": {"ema_alpha": ALPHA}}
-    slim = rows.select("worker_id", "split", "time_idx", "_seg_pos", *PHYS)
+    scaled_down = [(F.col(c) / SCALE).alias(c) for c in PHYS]
+    slim = rows.select("worker_id", "split", "time_idx", "_seg_pos", *scaled_down)
     scaled = normalize.normalize(slim, X.SCHEMA, cfg, layout)
     named = [c for s in ("ecg", "eda") for c in (s, f"baseline_mu_{s}", f"baseline_sigma_{s}")]
     return scaled.select("worker_id", "split", "time_idx", *[X.r6(c).alias(c) for c in named])

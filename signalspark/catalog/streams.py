@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
-from signalspark.catalog.series import ALPHA, WARM, online_sql
+from signalspark.catalog.series import ALPHA, SCALE, WARM, online_sql
 from signalspark.session import shared_folder
 from signalspark.streaming import online
 
@@ -32,7 +32,8 @@ SELECT e.worker_id, s.event_id, round((e.x - e.mu) / greatest(e.sd, 1e-6::DOUBLE
 FROM ema_eda e JOIN filled s USING (worker_id, split, pos) WHERE s.n >= {WARM}"""
 )
 def stream_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = online.normalize_stream(source(spark, sf), ["eda"], "worker_id", ["at", "event_id"], ALPHA, WARM)
+    events = source(spark, sf).withColumn("eda", F.col("eda") / SCALE)
+    rows = online.normalize_stream(events, ["eda"], "worker_id", ["at", "event_id"], ALPHA, WARM)
     done = online.drain(rows, shared_folder(spark, "stream-normalize"))
     named = ("eda", "baseline_mu_eda", "baseline_sigma_eda")
     return done.select("worker_id", "event_id", *[X.r6(c).alias(c) for c in named])

@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TASK_ROWS = 1_000_000
+TASK_ROWS_SETTING = "signalspark.task.rows"
 MAX_PIECES = 10_000
 SAMPLES_PER_PIECE = 100
 
 
+def task_rows_of(df: DataFrame, given: int | None = None) -> int:
+    """Most rows of one ordered group that a task should hold: an argument, else the session's setting."""
+    return given or int(df.sparkSession.conf.get(TASK_ROWS_SETTING, str(TASK_ROWS)))
+
+
 def split_points(df: DataFrame, value: str, total: int, task_rows: int) -> tuple[float, ...]:
     """About equally filled cut points of ``value``; at most MAX_PIECES numbers reach the driver.
 
@@ -58,11 +64,12 @@ class SeriesLayout:
     block: int | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, by: str, value: str, task_rows: int = TASK_ROWS) -> SeriesLayout:
+    def fit(cls, df: DataFrame, by: str, value: str, task_rows: int | None = None) -> SeriesLayout:
         """Measure series lengths (one pre-aggregated pass); sample cut points only if one is too long.
 
         The cut points split *all* rows of long series evenly, hence bound each one's share per piece too.
         """
+        task_rows = task_rows_of(df, task_rows)
         sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
         over = F.col("_rows") > task_rows
         seen = sizes.agg(
@@ -138,7 +145,7 @@ def running_totals(
     value: str,
     sums: Sequence[str],
     descending: bool = False,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Exact running sums ``cum_<s>`` (inclusive) over a table ordered by the unique column ``value``.
@@ -147,7 +154,7 @@ def running_totals(
     pieces: sums per piece, a running sum over that small table, then running sums inside each piece.
     """
     rows = df.count() if rows is None else rows
-    points = split_points(df, value, rows, task_rows)
+    points = split_points(df, value, rows, task_rows_of(df, task_rows))
     order = F.desc(value) if descending else F.asc(value)
     upto = (Window.unboundedPreceding, Window.currentRow)
     if not points:
@@ -169,7 +176,7 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], task_rows: int = TASK_ROWS
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], task_rows: int | None = None
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of each column over its non-null values; None when it has none.
 
@@ -179,6 +186,7 @@ def exact_quantiles(
     """
     columns, shares = list(columns), [float(s) for s in shares]
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    task_rows = task_rows_of(df, task_rows)
     largest = max(counts.values(), default=0)
     if largest <= task_rows:
         row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(s) for s in shares])).alias(c) for c in columns]).first()

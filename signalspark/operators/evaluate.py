@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
-from signalspark.layout import TASK_ROWS, add_piece, exact_quantiles, running_totals
+from signalspark.layout import add_piece, exact_quantiles, running_totals
 
 EDGE = 1e-6
 CANDIDATES = 200
@@ -32,7 +32,7 @@ def by_score(scored: DataFrame, clip: bool = True) -> DataFrame:
     )
 
 
-def ranked(scored: DataFrame, clip: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
+def ranked(scored: DataFrame, clip: bool = True, task_rows: int | None = None) -> DataFrame:
     """Distinct scores with the counts at or above each: ``cum_pos`` and ``cum_neg``."""
     return running_totals(by_score(scored, clip), "p", ["pos", "neg"], descending=True, task_rows=task_rows)
 
@@ -44,7 +44,7 @@ def bin_of(p: Column, bins: int) -> Column:
 
 
 def classification_metrics(
-    scored: DataFrame, threshold: float | None = None, task_rows: int = TASK_ROWS
+    scored: DataFrame, threshold: float | None = None, task_rows: int | None = None
 ) -> DataFrame:
     """All metrics of one scored set in one row, from one ordering of its distinct scores.
 
@@ -149,7 +149,7 @@ def regression_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def threshold_candidates(scored: DataFrame, task_rows: int = TASK_ROWS) -> list[float]:
+def threshold_candidates(scored: DataFrame, task_rows: int | None = None) -> list[float]:
     """Evenly spaced thresholds and score quantiles, sorted and distinct: at most twice CANDIDATES."""
     grid = [float(x) for x in np.linspace(0.001, 0.999, CANDIDATES)]
     found = exact_quantiles(scored.select(clipped(F.col("p")).alias("p")), ["p"], grid, task_rows)["p"] or []
@@ -200,7 +200,7 @@ def select_threshold(
     min_pred_rate: float = 0.02,
     max_pred_rate: float = 0.98,
     allow_pathological: bool = False,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """The threshold that serves ``policy`` best on validation rows, one row; 0.5 with a reason if none does.
 
@@ -249,7 +249,7 @@ def select_threshold(
     )
 
 
-def roc_points(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+def roc_points(scored: DataFrame, task_rows: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, starting at the origin."""
     points = ranked(scored, clip=False, task_rows=task_rows)
     totals = by_score(scored, clip=False).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -262,7 +262,7 @@ def roc_points(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     return curve.unionByName(origin)
 
 
-def pr_points(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+def pr_points(scored: DataFrame, task_rows: int | None = None) -> DataFrame:
     """(threshold, precision, recall) per distinct score, ending at (1, 0)."""
     points = ranked(scored, clip=False, task_rows=task_rows)
     totals = by_score(scored, clip=False).agg(F.sum("pos").alias("n_pos"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
-from signalspark.layout import TASK_ROWS, SeriesLayout, add_block, exact_quantiles
+from signalspark.layout import SeriesLayout, add_block, exact_quantiles
 from signalspark.schema import SignalSchema
 
 VARIANCE_FLOOR = 1e-6
@@ -68,7 +69,7 @@ def fill_raw(df: DataFrame, schema: SignalSchema, layout: SeriesLayout) -> DataF
     )
 
 
-def train_medians(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_ROWS) -> dict[str, float]:
+def train_medians(df: DataFrame, columns: Sequence[str], task_rows: int | None = None) -> dict[str, float]:
     """Median per feature over training rows; 0 for a feature that has none."""
     clean = df.where(F.col("split") == "train").select(*[S.number(F.col(c)).alias(c) for c in columns])
     found = exact_quantiles(clean, columns, [0.5], task_rows)
@@ -128,6 +129,23 @@ def _before(start: float, scale, shift, floor=None) -> np.ndarray:
     return np.concatenate([[start], after[:-1]])
 
 
+def _scan(carry: float, fresh: np.ndarray, start: np.ndarray, scale, shift, floor=None):
+    """States before and after each step over many series in a row.
+
+    Where a series starts, its first map is applied to its own start value ahead of time and becomes a
+    constant: nothing of the previous series passes it.
+    """
+    first = scale * start + shift
+    if floor is not None:
+        first = np.maximum(first, floor)
+    maps = running_maps(np.where(fresh, 0.0, scale), np.where(fresh, first, shift), floor)
+    after = maps[0] * carry + maps[1]
+    if floor is not None:
+        after = np.maximum(after, maps[2])
+    before = np.where(fresh, start, np.concatenate([[carry], after[:-1]]))
+    return before, after
+
+
 def _mean_maps(x: np.ndarray, alpha: float):
     known = np.isfinite(x)
     return np.where(known, 1 - alpha, 1.0), np.where(known, alpha * np.where(known, x, 0.0), 0.0)
@@ -148,26 +166,64 @@ def warm_start(x: np.ndarray) -> tuple[float, float]:
     return (mu if np.isfinite(mu) else 0.0), (sigma if np.isfinite(sigma) and sigma > 0 else 1.0)
 
 
+def series_states(x, fresh, mu, variance, carry, alpha: float):
+    """Mean and variance in force before each step of consecutive series, and those after the last step.
+
+    ``fresh`` marks first rows, ``mu`` and ``variance`` hold each row's start values, ``carry`` the state of a
+    series that began earlier.
+    """
+    before, after = _scan(carry[0], fresh, mu, *_mean_maps(x, alpha))
+    var_before, var_after = _scan(carry[1], fresh, variance, *_variance_maps(x, before, after, alpha))
+    return before, var_before, (float(after[-1]), float(var_after[-1]))
+
+
 def online_states(x: np.ndarray, mu: float, variance: float, alpha: float):
-    """Mean and deviation in force at each step, before that step's update."""
-    maps = running_maps(*_mean_maps(x, alpha))
-    mean_after = maps[0] * mu + maps[1]
-    mean_before = np.concatenate([[mu], mean_after[:-1]])
-    scale, shift, floor = running_maps(*_variance_maps(x, mean_before, mean_after, alpha))
-    return mean_before, np.sqrt(_before(variance, scale, shift, floor))
+    """Mean and deviation before each step of one series, and the final mean and variance."""
+    none = np.zeros(len(x), dtype=bool)
+    before, var_before, last = series_states(x, none, mu, variance, (mu, variance), alpha)
+    return before, np.sqrt(var_before), last
+
+
+def _zscore(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    return (np.where(np.isfinite(x), x, mu) - mu) / np.maximum(sigma, 1e-6)
 
 
 def _emit(pdf: pd.DataFrame, columns, starts, alpha: float) -> pd.DataFrame:
     out = pdf.copy()
     for c in columns:
         x = pdf[c].to_numpy(dtype=float)
-        mu, sigma = online_states(x, *starts[c], alpha)
-        value = np.where(np.isfinite(x), x, mu)
-        out[c] = (value - mu) / np.maximum(sigma, 1e-6)
+        mu, sigma, _ = online_states(x, *starts[c], alpha)
+        out[c] = _zscore(x, mu, sigma)
         out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = mu, sigma
     return out
 
 
+def _normalize_sorted(columns: Sequence[str], alpha: float):
+    """Batches of rows in series order to batches with z-scores; only the running state is kept between them."""
+
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = dict.fromkeys(columns, (0.0, 1.0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = batch.column("_fresh").to_numpy(zero_copy_only=False).astype(bool)
+            done, marks = {}, {}
+            for c in columns:
+                x, mu, sigma = (numbers(batch, n) for n in (c, f"_mu_{c}", f"_sigma_{c}"))
+                mean, variance, carry[c] = series_states(x, fresh, mu, sigma**2, carry[c], alpha)
+                deviation = np.sqrt(variance)
+                done[c] = pa.array(_zscore(x, mean, deviation))
+                marks[f"baseline_mu_{c}"], marks[f"baseline_sigma_{c}"] = pa.array(mean), pa.array(deviation)
+            kept = [n for n in batch.schema.names if not n.startswith(("_mu_", "_sigma_", "_fresh"))]
+            arrays = [done[n] if n in done else batch.column(n) for n in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, *marks.values()], names=[*kept, *marks])
+
+    return run
+
+
 def normalize_online(
     df: DataFrame,
     columns: Sequence[str],
@@ -179,9 +235,10 @@ def normalize_online(
 ) -> DataFrame:
     """z-score by an exponential mean and deviation that each row sees before it updates them.
 
-    The recurrence has no built-in form, so it runs in Arrow groups. A group is a whole series while those
-    are short. Otherwise it is a block: one pass reduces blocks to mean maps, one to variance maps (they need
-    the mean at the block's start), and the last emits rows; between passes only block summaries move.
+    The recurrence has no built-in form, so it runs on Arrow batches. Short series pass through one after the
+    other, in sorted partitions. Long ones are cut into blocks: one pass reduces blocks to mean maps, one to
+    variance maps (they need the mean at the block's start), and the last emits rows; between passes only
+    block summaries move.
     """
     by, columns, warm = list(by), list(columns), max(3, int(warmup))
     df = df.drop(*[f"baseline_{s}_{c}" for s in ("mu", "sigma") for c in columns])
@@ -191,16 +248,17 @@ def normalize_online(
     df = df.withColumns({c: F.col(c).cast("double") for c in columns})
 
     if not layout.cut:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(pos, kind="stable")
-            starts = {}
-            for c in columns:
-                mu, sigma = warm_start(pdf[c].to_numpy(dtype=float)[:warm])
-                starts[c] = (mu, sigma**2)
-            return _emit(pdf, columns, starts, alpha)
-
-        return df.groupBy(*by).applyInPandas(whole, out_schema)
+        ordered = Window.partitionBy(*by).orderBy(pos)
+        head = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        place = df.withColumn("_place", F.row_number().over(ordered))
+        early = {c: F.when(F.col("_place") <= warm, F.col(c)) for c in columns}
+        started = place.withColumns(
+            {"_fresh": F.col("_place") == 1}
+            | {f"_mu_{c}": F.coalesce(F.avg(x).over(head), F.lit(0.0)) for c, x in early.items()}
+            | {f"_sigma_{c}": F.coalesce(F.stddev_pop(x).over(head) + 1e-6, F.lit(1.0)) for c, x in early.items()}
+        ).drop("_place")
+        # The windows above leave each partition with whole series; the sort is theirs, so it costs nothing.
+        return started.sortWithinPartitions(*by, pos).mapInArrow(_normalize_sorted(columns, alpha), out_schema)
 
     rows = add_block(df, layout, pos)
     key, block_key = by, [*by, "_block"]

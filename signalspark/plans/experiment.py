@@ -86,8 +86,9 @@ def prepare(frame: DataFrame, schema: SignalSchema, cfg: Mapping, assignment: Da
         table = profiles.profile_table(
             filled, schema, float(fit.get("ema_alpha", 0.1)), layout, fit.get("safe_col") or None
         )
-        static = table.withColumnsRenamed(
-            {"specialization_id": schema.specialization, "experience_level": schema.experience}
+        named = {"specialization_id": schema.specialization, "experience_level": schema.experience}
+        static = sinks.cache_raw(
+            table.withColumnsRenamed(named), shared_folder(frame.sparkSession, "profiles")
         )
     rows = relate.attach_static(
         scaled, static, schema.physiology, use_static, schema.worker, schema.specialization, schema.experience

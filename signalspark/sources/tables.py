@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalspark import sinks
 from signalspark.functions import scalar as S
 from signalspark.layout import SeriesLayout, number_rows
 from signalspark.operators import clean, relate
 from signalspark.schema import SignalSchema
+from signalspark.session import shared_folder
 from signalspark.sources import csv
 
 SERIES_ORDER = "_order"
@@ -108,18 +110,25 @@ def feature_dataset(
     options: TableOptions,
     ingest_order: str = "_ingest",
     tie: str | None = None,
-    layout: SeriesLayout | None = None,
-    codes: SeriesLayout | None = None,
 ) -> DataFrame:
     """The signal frame of a feature-table dataset.
 
     ``ingest_order`` is the label table's row order (the last duplicate wins); ``tie`` orders signal rows that
-    share task, repetition and window. Time steps are numbered before rows without signals are dropped.
+    share task, repetition and window. The joined rows are measured, coded and numbered, so they are written
+    to the shared folder once instead of being joined for each of these.
     """
-    rows = joined_rows(signals, labels, overview, options, ingest_order, tie)
-    rows = with_series_order(clean.category_codes(rows, "class_norm", schema.specialization, codes))
+    joined = with_series_order(joined_rows(signals, labels, overview, options, ingest_order, tie))
+    rows = sinks.cache_raw(joined, shared_folder(joined.sparkSession, "joined"))
+    return typed_frame(rows, schema, options, tie)
+
+
+def typed_frame(rows: DataFrame, schema: SignalSchema, options: TableOptions, tie: str | None = None) -> DataFrame:
+    """Joined rows to the signal frame. Time steps are numbered before rows without signals are dropped."""
+    layout = SeriesLayout.fit(rows, "ID", SERIES_ORDER)
+    codes = clean.vocabulary_layout(rows, "class_norm")
+    rows = clean.category_codes(rows, "class_norm", schema.specialization, codes)
     series = [SERIES_ORDER, "task_order", "rep_norm", "Window", *([tie] if tie else [])]
-    rows = number_rows(rows, ["ID"], series, layout or SeriesLayout(), pos=schema.time_idx)
+    rows = number_rows(rows, ["ID"], series, layout, pos=schema.time_idx)
 
     def measured(name: str):
         return clean.as_number(rows, name, keep_infinite=False)
@@ -161,7 +170,5 @@ def read_feature_dataset(spark: SparkSession, path: str, schema: SignalSchema, c
     labels = labels.withColumn("_ingest", F.struct("_block_start", "_line"))
     signals = signals.withColumn("_tie", F.struct("_block_start", "_line"))
     overview = csv.participants_overview(spark, f"{path}/participants_task_overview.csv")
-    keyed = with_series_order(joined_rows(signals, labels, overview, options, "_ingest"))
-    layout = SeriesLayout.fit(keyed, "ID", SERIES_ORDER)
-    frame = feature_dataset(signals, labels, overview, schema, options, tie="_tie", layout=layout)
+    frame = feature_dataset(signals, labels, overview, schema, options, tie="_tie")
     return clean.require_rows(frame, "joining signals, labels and availability")

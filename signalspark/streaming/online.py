@@ -36,7 +36,9 @@ def normalize_stream(
     out_schema = fields + ", " + ", ".join(
         f"{c} double, baseline_mu_{c} double, baseline_sigma_{c} double" for c in columns
     )
-    state_schema = f"{marks}, ready boolean, head array<struct<{', '.join(f'o{i}: {kinds[c]}' for i, c in enumerate(order))}, x: array<double>>>, mu array<double>, var array<double>"
+    place = ", ".join(f"o{i}: {kinds[c]}" for i, c in enumerate(order))
+    head_type = f"array<struct<{place}, x: array<double>>>"
+    state_schema = f"{marks}, ready boolean, head {head_type}, mu array<double>, var array<double>"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, ready, head, mu, var = None, False, [], None, None
@@ -63,13 +65,13 @@ def normalize_stream(
         out.insert(0, worker, key[0])
         mu, var = list(mu), list(var)
         for j, c in enumerate(columns):
-            # One more, missing, step reads the state after the last row.
-            x = np.append(rows[c].to_numpy(dtype=float), np.nan)
-            means, sigmas = online_states(x, mu[j], var[j], alpha)
-            value = np.where(np.isfinite(x), x, means)
-            out[c] = ((value - means) / np.maximum(sigmas, 1e-6))[:-1]
-            out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = means[:-1], sigmas[:-1]
-            mu[j], var[j] = float(means[-1]), float(sigmas[-1] ** 2)
+            x = rows[c].to_numpy(dtype=float)
+            if not len(x):
+                out[c], out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = x, x, x
+                continue
+            means, sigmas, (mu[j], var[j]) = online_states(x, mu[j], var[j], alpha)
+            out[c] = (np.where(np.isfinite(x), x, means) - means) / np.maximum(sigmas, 1e-6)
+            out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = means, sigmas
         state.update((*newest, True, [], mu, var))
         if len(out):
             yield out
