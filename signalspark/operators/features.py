@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.functions import arrays as A
+from signalspark.functions import samples as N
 from signalspark.operators.windows import Cutter
 
 CORE = ("ecg", "eda", "temp")
@@ -36,11 +37,14 @@ def feature_table(
     frequency: bool = True,
     scr_threshold: float = 0.05,
     scr_distance: int = 3,
+    in_jvm: bool = False,
 ) -> DataFrame:
     """Keys, labels and one column per feature. Channels must be gap free.
 
     Moments, slope and last values are frame aggregates. Only beats and skin responses need the samples, and
-    their arrays live within the task: they are built and consumed in one stage and never shuffled.
+    their arrays live within the task: they are built and consumed in one stage and never shuffled. They are
+    worked on a batch at a time through Arrow; ``in_jvm`` takes array expressions instead, which give the same
+    values more slowly.
     """
     schema = cutter.schema
     absent = sorted(set(CORE) - set(schema.signals))
@@ -57,9 +61,23 @@ def feature_table(
     columns = [*cutter.meta(), *[v.alias(k) for k, v in cheap.items()]]
     columns += [cutter.samples("ecg").alias("_ecg"), cutter.samples("eda").alias("_eda")]
     windows = cutter.cut(df, columns)
+    if in_jvm:
+        sampled = _sample_features(windows, cutter.length, hz, frequency, scr_threshold, scr_distance)
+    else:
+        signals = N.window_signals(
+            F.col("_ecg"), F.col("_eda"), cutter.length, hz, frequency, scr_threshold, scr_distance
+        )
+        sampled = windows.withColumn("_s", signals).select("*", "_s.*")
+    names = [*N.BEAT, *(N.SPECTRUM if frequency else ()), *N.SKIN]
+    return sampled.select(schema.worker, *KEYS, *names, *cheap)
 
+
+def _sample_features(
+    windows: DataFrame, length: int, hz: float, frequency: bool, scr_threshold: float, scr_distance: int
+) -> DataFrame:
+    """Beat and skin features as array expressions, staged so that each intermediate is computed once."""
     staged = windows.withColumns(
-        {"_beats": A.beats(F.col("_ecg"), hz), "_tonic": A.tonic(F.col("_eda"), cutter.length, hz)}
+        {"_beats": A.beats(F.col("_ecg"), hz), "_tonic": A.tonic(F.col("_eda"), length, hz)}
     ).withColumns(
         {
             "_gaps": A.intervals(F.col("_beats"), hz),
@@ -67,17 +85,18 @@ def feature_table(
         }
     )
     staged = staged.withColumn("_scr", A.skin_responses(F.col("_phasic"), scr_threshold, scr_distance))
-    beat = A.beat_statistics(F.col("_gaps"), cutter.length)
+    out = A.beat_statistics(F.col("_gaps"), length)
     if frequency:
-        beat |= A.beat_spectrum(F.col("_gaps"))
-    skin = {
-        "scl_mean": A.mean(F.col("_tonic")),
-        "scl_var": A.spread(F.col("_tonic")),
-        "scr_count": F.size("_scr").cast("double"),
-        "scr_mean_amp": F.coalesce(A.mean(F.col("_scr")), F.lit(0.0)),
-    }
-    named = [v.alias(k) for k, v in (beat | skin).items()]
-    return staged.select(schema.worker, *KEYS, *named, *cheap)
+        out |= A.beat_spectrum(F.col("_gaps"))
+    return staged.withColumns(
+        out
+        | {
+            "scl_mean": A.mean(F.col("_tonic")),
+            "scl_var": A.spread(F.col("_tonic")),
+            "scr_count": F.size("_scr").cast("double"),
+            "scr_mean_amp": F.coalesce(A.mean(F.col("_scr")), F.lit(0.0)),
+        }
+    )
 
 
 def feature_names(table: DataFrame, worker: str = "worker_id") -> list[str]:
