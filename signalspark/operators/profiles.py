@@ -90,7 +90,8 @@ def worker_baselines(
             k = f"{v}_{c}"
             first = F.col(f"_first_{k}")
             mus[v] = mean(k, "s", first)
-            sigmas[v] = F.sqrt(F.greatest(mean(k, "q", first * first) - mus[v] * mus[v], F.lit(1e-6)))
+            spread = F.sqrt(F.greatest(mean(k, "q", first * first) - mus[v] * mus[v], F.lit(1e-6)))
+            sigmas[v] = F.when(first.isNotNull(), spread)
         mu, sigma = mus["any"], sigmas["any"]
         if safe_col:
             mu = F.when(F.col("_any_safe"), mus["safe"]).otherwise(mu)
