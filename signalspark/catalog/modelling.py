@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark import sinks
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
 from signalspark.catalog.evaluation import scored
 from signalspark.catalog.windowed import HZ, cutter, prepared
 from signalspark.operators import features, models, normalize, profiles, sequences
 from signalspark.plans import experiment
-from signalspark.session import shared_folder
+from signalspark.session import materialize
 
 PARAMS = {"max_depth": 3, "n_estimators": 5, "learning_rate": 0.2, "calibration": "isotonic"}
 CFG = {"xgboost": PARAMS, "tft": {"hidden_size": 8, "max_iter": 10}}
@@ -22,7 +21,7 @@ def training_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Window features, written once, with training medians in the gaps."""
     layout = X.layout_of(spark, sf)
     table = features.feature_table(prepared(spark, sf, layout), cutter(layout), HZ, frequency=False)
-    table = sinks.cache_raw(table, shared_folder(spark, "features"))
+    table = materialize(table, "features")
     names = features.feature_names(table)
     return normalize.impute_medians(table, normalize.train_medians(table, names)), names
 
@@ -99,7 +98,7 @@ def sequence_forecaster(spark: SparkSession, sf: str) -> DataFrame:
     layout = X.layout_of(spark, sf)
     rows = sequences.reindex(prepared(spark, sf, layout), X.SCHEMA, 1)
     examples = sequences.sequence_set(rows, cutter(layout), "y_stress", use_profiles=False)
-    examples = sinks.cache_raw(examples, shared_folder(spark, "sequences"))
+    examples = materialize(examples, "sequences")
     fitted = models.fit_sequence_model(examples, "classification", CFG["tft"])
     return models.score_sequences(fitted, examples, "classification").select("worker_id", "split", "start_idx", "p")
 
@@ -117,7 +116,7 @@ def profile_ablation(spark: SparkSession, sf: str) -> DataFrame:
     layout = X.layout_of(spark, sf)
     table, _ = training_table(spark, sf)
     static = profiles.profile_table(X.held_out(spark, sf, layout), X.SCHEMA, 0.1, layout)
-    static = sinks.cache_raw(static, shared_folder(spark, "profiles"))
+    static = materialize(static, "profiles")
     on = experiment.run_trees(table, static, X.SCHEMA, CFG, "profiles_on")[0]
     off = experiment.run_trees(table, None, X.SCHEMA, CFG, "profiles_off")[0]
     return on.unionByName(off).where(F.col("metric").isin("auroc", "rmse"))

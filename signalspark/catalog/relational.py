@@ -9,6 +9,7 @@ from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
 from signalspark.functions import scalar as S
 from signalspark.operators import clean, compare, relate, sample
+from signalspark.session import materialize
 from signalspark.sources import tables
 
 # The task columns of the availability matrix.
@@ -177,7 +178,8 @@ def keep_last_duplicate(spark: SparkSession, sf: str) -> DataFrame:
 )
 def category_codes(spark: SparkSession, sf: str) -> DataFrame:
     lines = X.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"))
-    coded = clean.category_codes(lines, "flag", "code", clean.vocabulary_layout(lines, "flag"))
+    codes = clean.label_codes(lines, "flag", clean.vocabulary_layout(lines, "flag"))
+    coded = clean.category_codes(lines, "flag", "code", materialize(codes, "codes"))
     return coded.groupBy("flag", "code").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -132,14 +132,16 @@ def text_head(text):
     return F.conv(F.hex(head), 16, 10).cast("double")
 
 
-def category_codes(df: DataFrame, column: str, out: str, layout: SeriesLayout | None = None) -> DataFrame:
-    """Index of each label among the sorted distinct labels; null gives -1.
-
-    Only the distinct labels are numbered; ``vocabulary_layout`` says how when they are many.
-    """
+def label_codes(df: DataFrame, column: str, layout: SeriesLayout | None = None) -> DataFrame:
+    """Each distinct label with its index in sorted order. ``vocabulary_layout`` says how when they are many."""
     labels = vocabulary(df, column)
     codes = number_rows(labels, ["_all"], ["_head", "_label"], layout or SeriesLayout(), pos="_code")
-    joined = df.join(codes.select("_label", "_code"), F.col(column) == F.col("_label"), "left")
+    return codes.select("_label", "_code")
+
+
+def category_codes(df: DataFrame, column: str, out: str, codes: DataFrame) -> DataFrame:
+    """Index of the row's label; null gives -1."""
+    joined = df.join(codes, F.col(column) == F.col("_label"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_code", "_label")
 
 

@@ -333,12 +333,17 @@ def normalize_online(
     return grouped.cogroup(starts.groupBy(*block_key)).applyInPandas(emit, out_schema)
 
 
+def mode_of(cfg: dict) -> str:
+    """``online``, or ``global`` for anything else; ``normalization.mode`` wins over ``profiles.mode``."""
+    mode = cfg.get("normalization", {}).get("mode", cfg.get("profiles", {}).get("mode", "global"))
+    return "online" if str(mode).lower() == "online" else "global"
+
+
 def normalize(df: DataFrame, schema: SignalSchema, cfg: dict, layout: SeriesLayout) -> DataFrame:
-    """Normalise physiology in the configured mode: ``online``, anything else is global."""
-    profiles, norm = cfg.get("profiles", {}), cfg.get("normalization", {})
-    mode = str(norm.get("mode", profiles.get("mode", "global"))).lower()
-    if mode != "online":
+    """Normalise physiology in the configured mode."""
+    if mode_of(cfg) == "global":
         return normalize_global(df, schema.physiology)
+    profiles, norm = cfg.get("profiles", {}), cfg.get("normalization", {})
     return normalize_online(
         df,
         schema.physiology,

@@ -27,7 +27,7 @@ from signalspark.operators import (
 )
 from signalspark.operators.windows import Cutter
 from signalspark.schema import SignalSchema
-from signalspark.session import shared_folder
+from signalspark.session import materialize
 from signalspark.sources import router
 
 TREES, SEQUENCE = "trees", "sequence"
@@ -76,7 +76,8 @@ def prepare(frame: DataFrame, schema: SignalSchema, cfg: Mapping, assignment: Da
     else:
         table = split.check_assignment(frame, schema, assignment)
         placed = split.by_subject(frame, schema, table, layout)
-    filled = normalize.fill_raw(placed, schema, layout)
+    # Statistics, profiles, windows and sinks all start from these rows.
+    filled = materialize(normalize.fill_raw(placed, schema, layout), "filled")
     scaled = normalize.normalize(filled, schema, cfg, layout)
     profile_cfg = cfg.get("profiles", {})
     use_static = bool(profile_cfg.get("use_static_meta", False))
@@ -87,21 +88,20 @@ def prepare(frame: DataFrame, schema: SignalSchema, cfg: Mapping, assignment: Da
             filled, schema, float(fit.get("ema_alpha", 0.1)), layout, fit.get("safe_col") or None
         )
         named = {"specialization_id": schema.specialization, "experience_level": schema.experience}
-        static = sinks.cache_raw(
-            table.withColumnsRenamed(named), shared_folder(frame.sparkSession, "profiles")
-        )
+        static = materialize(table.withColumnsRenamed(named), "profiles")
     rows = relate.attach_static(
         scaled, static, schema.physiology, use_static, schema.worker, schema.specialization, schema.experience
     )
-    # Every later stage reads these rows: from files, so a lost executor costs a re-read and not the chain.
-    rows = sinks.cache_raw(rows, shared_folder(frame.sparkSession, "rows"))
+    if normalize.mode_of(cfg) == "online":
+        # Global scaling is a projection over the filled rows; the online one is worth keeping.
+        rows = materialize(rows, "rows")
     rows = clean.require_finite(rows, [*schema.signals, schema.hazard], "split")
     task = cfg.get("task", {})
     horizon = int(task.get("horizon_steps", 5))
-    shortest = windows.shortest_series(rows, schema.worker)
+    shortest = windows.shortest_series(filled, schema.worker)
     length = windows.fitted_length(shortest, int(task.get("window_length", 60)), horizon)
     geometry = Cutter(schema, length, horizon, int(task.get("window_step", 1)), layout)
-    return Prepared(rows, static, geometry, split.manifest(rows, schema))
+    return Prepared(rows, static, geometry, split.manifest(filled, schema))
 
 
 def features_of(prepared: Prepared, cfg: Mapping) -> DataFrame:
@@ -132,8 +132,12 @@ def threshold_rule(cfg: Mapping) -> dict:
 
 
 def judge(scored: DataFrame, cfg: Mapping, model: str) -> DataFrame:
-    """Threshold from validation rows, metrics on test rows, in long form."""
-    val, test = (scored.where(F.col("split") == s).select("y", "p") for s in ("val", "test"))
+    """Threshold from validation rows, metrics on test rows, in long form. Scores are computed once."""
+    scored = materialize(scored.where(F.col("split") != "train").select("split", "y", "p"), "scored")
+    val, test = (
+        clean.require_rows(scored.where(F.col("split") == s).select("y", "p"), f"scoring {s} windows")
+        for s in ("val", "test")
+    )
     chosen = evaluate.select_threshold(val, **threshold_rule(cfg)).first()["threshold"]
     metrics = evaluate.classification_metrics(test, chosen)
     extra = evaluate.run_diagnostics(val, test, chosen)
@@ -193,7 +197,7 @@ def run(
     schema = SignalSchema.from_config(cfg)
     raw = router.load(spark, cfg, schema) if frame is None else frame
     prepared = prepare(clean.typed_projection(raw, schema), schema, cfg, assignment)
-    table = sinks.cache_raw(features_of(prepared, cfg), shared_folder(spark, "features"))
+    table = materialize(features_of(prepared, cfg), "features")
     balance = windows.balance(table)
     switches = cfg.get("models", {})
     errors: list[tuple[str, str | None]] = []
@@ -272,7 +276,7 @@ def run_balanced(spark: SparkSession, cfg: Mapping, frame: DataFrame | None = No
     load = split.worker_load(typed, schema)
     shares = [float(rule.get(f"{s}_ratio", d)) for s, d in (("train", 0.7), ("val", 0.15))]
     chosen = split.balanced_holdout(load, schema, *shares, *least)
-    chosen = sinks.cache_raw(chosen, shared_folder(spark, "assignment"))
+    chosen = materialize(chosen, "assignment")
     lacking = split.uncovered(typed.join(chosen, schema.worker), schema, *least).first()
     if lacking:
         raise ValueError(f"{lacking['split']} lacks a class or enough positives")

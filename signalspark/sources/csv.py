@@ -69,8 +69,8 @@ def generic(spark: SparkSession, path: str, schema: SignalSchema, with_order: bo
 
 
 def participants_overview(spark: SparkSession, path: str) -> DataFrame:
-    """Availability matrix; the file is in a Windows code page."""
-    df = read_file(spark, path, encoding="windows-1252")
+    """Availability matrix in a one-byte code page; only ids and dashes in it matter, which all of them share."""
+    df = read_file(spark, path, encoding="iso-8859-1")
     return df.withColumn("ID", S.strip(F.col("ID")))
 
 

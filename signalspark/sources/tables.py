@@ -8,12 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark import sinks
 from signalspark.functions import scalar as S
 from signalspark.layout import SeriesLayout, number_rows
 from signalspark.operators import clean, relate
 from signalspark.schema import SignalSchema
-from signalspark.session import shared_folder
+from signalspark.session import materialize
 from signalspark.sources import csv
 
 SERIES_ORDER = "_order"
@@ -118,15 +117,14 @@ def feature_dataset(
     to the shared folder once instead of being joined for each of these.
     """
     joined = with_series_order(joined_rows(signals, labels, overview, options, ingest_order, tie))
-    rows = sinks.cache_raw(joined, shared_folder(joined.sparkSession, "joined"))
-    return typed_frame(rows, schema, options, tie)
+    return typed_frame(materialize(joined, "joined"), schema, options, tie)
 
 
 def typed_frame(rows: DataFrame, schema: SignalSchema, options: TableOptions, tie: str | None = None) -> DataFrame:
     """Joined rows to the signal frame. Time steps are numbered before rows without signals are dropped."""
     layout = SeriesLayout.fit(rows, "ID", SERIES_ORDER)
-    codes = clean.vocabulary_layout(rows, "class_norm")
-    rows = clean.category_codes(rows, "class_norm", schema.specialization, codes)
+    codes = clean.label_codes(rows, "class_norm", clean.vocabulary_layout(rows, "class_norm"))
+    rows = clean.category_codes(rows, "class_norm", schema.specialization, materialize(codes, "codes"))
     series = [SERIES_ORDER, "task_order", "rep_norm", "Window", *([tie] if tie else [])]
     rows = number_rows(rows, ["ID"], series, layout, pos=schema.time_idx)
 

@@ -53,7 +53,7 @@ def test_category_codes_with_null(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("abcdefgh",), ("abcdefga",)], "c string")
     want = [(None, -1), ("a", 0), ("abcdefga", 1), ("abcdefgh", 2), ("b", 3), ("b", 3)]
     for layout in (None, SeriesLayout.fit(clean.vocabulary(df, "c"), "_all", "_head", 2)):
-        coded = clean.category_codes(df, "c", "code", layout)
+        coded = clean.category_codes(df, "c", "code", clean.label_codes(df, "c", layout))
         assert sorted(rows(coded.select("c", "code")), key=str) == sorted(want, key=str)
 
 
