@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from signalspark.functions import scalar as S
 from signalspark.layout import SeriesLayout, add_block, exact_quantiles
 from signalspark.schema import SignalSchema
+from signalspark.session import materialize
 
 VARIANCE_FLOOR = 1e-6
 
@@ -103,32 +103,30 @@ def normalize_global(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return joined.withColumns(sigma).withColumns(scaled)
 
 
-def running_maps(scale: np.ndarray, shift: np.ndarray, floor: np.ndarray | None = None):
+def running_maps(scale, shift, floor=None, fresh=None):
     """Prefix compositions of the maps x -> max(scale * x + shift, floor), by doubling.
 
-    Such maps are closed under composition, so a recurrence over a long series splits into blocks.
+    Such maps are closed under composition, so a recurrence over a long series splits into blocks. ``fresh``
+    marks rows where composing starts anew.
     """
     scale, shift = scale.astype(float).copy(), shift.astype(float).copy()
     floor = None if floor is None else floor.astype(float).copy()
+    closed = np.zeros(len(scale), dtype=bool) if fresh is None else fresh.copy()
     width = 1
     while width < len(scale):
         later, earlier = slice(width, None), slice(None, -width)
+        joins = ~closed[later]
+        s, t = scale[later].copy(), shift[later].copy()
         if floor is not None:
-            floor[later] = np.maximum(scale[later] * floor[earlier] + shift[later], floor[later])
-        shift[later] = scale[later] * shift[earlier] + shift[later]
-        scale[later] = scale[later] * scale[earlier]
+            both = np.maximum(s * floor[earlier] + t, floor[later])
+            floor[later] = np.where(joins, both, floor[later])
+        shift[later] = np.where(joins, s * shift[earlier] + t, t)
+        scale[later] = np.where(joins, s * scale[earlier], s)
+        closed[later] = closed[later] | closed[earlier]
         width *= 2
     return scale, shift, floor
 
 
-def _before(start: float, scale, shift, floor=None) -> np.ndarray:
-    """State ahead of each step, given the prefix maps and the starting state."""
-    after = scale * start + shift
-    if floor is not None:
-        after = np.maximum(after, floor)
-    return np.concatenate([[start], after[:-1]])
-
-
 def _scan(carry: float, fresh: np.ndarray, start: np.ndarray, scale, shift, floor=None):
     """States before and after each step over many series in a row.
 
@@ -188,31 +186,100 @@ def _zscore(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     return (np.where(np.isfinite(x), x, mu) - mu) / np.maximum(sigma, 1e-6)
 
 
-def _emit(pdf: pd.DataFrame, columns, starts, alpha: float) -> pd.DataFrame:
-    out = pdf.copy()
-    for c in columns:
-        x = pdf[c].to_numpy(dtype=float)
-        mu, sigma, _ = online_states(x, *starts[c], alpha)
-        out[c] = _zscore(x, mu, sigma)
-        out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = mu, sigma
-    return out
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("_fresh").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _block_maps(columns: Sequence[str], keys: Sequence[str], alpha: float, variance: bool):
+    """Sorted rows to one row per block: the map that the block's rows amount to, per column.
+
+    The mean's map, or with ``variance`` the variance's, which needs the mean at the block's start in ``_mu_``.
+    """
+    parts = ("scale", "shift", "floor") if variance else ("scale", "shift")
+
+    def maps_of(batch, fresh, c, carry):
+        x = _numbers(batch, c)
+        step = _mean_maps(x, alpha)
+        if not variance:
+            return running_maps(*step, None, fresh)[:2], None
+        before, after = _scan(carry, fresh, _numbers(batch, f"_mu_{c}"), *step)
+        return running_maps(*_variance_maps(x, before, after, alpha), fresh), float(after[-1])
+
+    def after_open(maps, open_, head):
+        """Rows that continue the block of the previous batch come after what it amounted to so far."""
+        out = [m.copy() for m in maps]
+        if variance:
+            out[2][head] = np.maximum(maps[0][head] * open_[2] + maps[1][head], maps[2][head])
+        out[1][head] = maps[0][head] * open_[1] + maps[1][head]
+        out[0][head] = maps[0][head] * open_[0]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, open_, waiting = dict.fromkeys(columns, 0.0), {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = _flags(batch)
+            head = np.cumsum(fresh) == 0
+            values = {}
+            for c in columns:
+                maps, last = maps_of(batch, fresh, c, means[c])
+                if c in open_ and head.any():
+                    maps = after_open(maps, open_[c], head)
+                means[c] = means[c] if last is None else last
+                open_[c] = [float(m[-1]) for m in maps]
+                values |= {f"{p}_{c}": pa.array(m) for p, m in zip(parts, maps, strict=True)}
+            arrays = [batch.column(k) for k in keys] + list(values.values())
+            done = pa.RecordBatch.from_arrays(arrays, names=[*keys, *values])
+            if waiting is not None and fresh[0]:
+                yield waiting
+            ends = np.nonzero(fresh[1:])[0]
+            if len(ends):
+                yield done.take(pa.array(ends))
+            waiting = done.slice(batch.num_rows - 1, 1)
+        if waiting is not None:
+            yield waiting
+
+    return run
+
+
+def _block_starts(columns: Sequence[str], keys: Sequence[str], what: str):
+    """Sorted block maps to the state at each block's start, given the series' own start in ``_<what>_``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = dict.fromkeys(columns, 0.0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh, found = _flags(batch), {}
+            for c in columns:
+                maps = [_numbers(batch, f"{p}_{c}") for p in ("scale", "shift")]
+                floor = _numbers(batch, f"floor_{c}") if f"floor_{c}" in batch.schema.names else None
+                before, after = _scan(carry[c], fresh, _numbers(batch, f"_{what}_{c}"), *maps, floor)
+                carry[c] = float(after[-1])
+                found[f"_{what}_{c}"] = pa.array(before)
+            arrays = [batch.column(k) for k in keys] + list(found.values())
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *found])
+
+    return run
 
 
 def _normalize_sorted(columns: Sequence[str], alpha: float):
     """Batches of rows in series order to batches with z-scores; only the running state is kept between them."""
 
-    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = dict.fromkeys(columns, (0.0, 1.0))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fresh = batch.column("_fresh").to_numpy(zero_copy_only=False).astype(bool)
+            fresh = _flags(batch)
             done, marks = {}, {}
             for c in columns:
-                x, mu, sigma = (numbers(batch, n) for n in (c, f"_mu_{c}", f"_sigma_{c}"))
+                x, mu, sigma = (_numbers(batch, n) for n in (c, f"_mu_{c}", f"_sigma_{c}"))
                 mean, variance, carry[c] = series_states(x, fresh, mu, sigma**2, carry[c], alpha)
                 deviation = np.sqrt(variance)
                 done[c] = pa.array(_zscore(x, mean, deviation))
@@ -260,77 +327,49 @@ def normalize_online(
         # The windows above leave each partition with whole series; the sort is theirs, so it costs nothing.
         return started.sortWithinPartitions(*by, pos).mapInArrow(_normalize_sorted(columns, alpha), out_schema)
 
-    rows = add_block(df, layout, pos)
-    key, block_key = by, [*by, "_block"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    key_schema = ", ".join(f"`{c}` {kinds[c]}" for c in block_key)
+    return _normalize_blocks(df, columns, by, pos, alpha, warm, layout, out_schema)
 
-    def typed(prefixes: Sequence[str]) -> str:
-        return f"{key_schema}, " + ", ".join(f"{p}_{c} double" for p in prefixes for c in columns)
 
-    head = rows.where(F.col(pos) < warm).groupBy(*key).agg(
-        *[F.sort_array(F.collect_list(F.struct(pos, c))).alias(f"_head_{c}") for c in columns]
-    )
+def _in_order(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Partitions of whole groups, sorted, with each group's first row marked."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return df.withColumn("_fresh", place == 1).sortWithinPartitions(*by, order)
 
-    def start_of(pdf: pd.DataFrame, c: str) -> tuple[float, float]:
-        head_rows = pdf[f"_head_{c}"].iloc[0]
-        values = [np.nan if r[c] is None else r[c] for r in head_rows]
-        return warm_start(np.asarray(values, dtype=float))
-
-    def mean_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        out = pdf[block_key].iloc[:1].copy()
-        for c in columns:
-            scale, shift, _ = running_maps(*_mean_maps(pdf[c].to_numpy(dtype=float), alpha))
-            out[f"scale_{c}"], out[f"shift_{c}"] = scale[-1], shift[-1]
-        return out
 
-    def carry_mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block", kind="stable")
-        out = pdf[block_key].copy()
-        for c in columns:
-            mu, sigma = start_of(pdf, c)
-            maps = running_maps(pdf[f"scale_{c}"].to_numpy(), pdf[f"shift_{c}"].to_numpy())
-            out[f"mu_{c}"] = _before(mu, maps[0], maps[1])
-            out[f"var_{c}"] = sigma**2
-        return out
+def _normalize_blocks(df: DataFrame, columns, by, pos: str, alpha: float, warm: int, layout, out_schema: str):
+    rows = add_block(df, layout, pos)
+    keys = [*by, "_block"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def variance_summary(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        out = pdf[block_key].iloc[:1].copy()
-        for c in columns:
-            x, mu = pdf[c].to_numpy(dtype=float), float(start[f"mu_{c}"].iloc[0])
-            maps = running_maps(*_mean_maps(x, alpha))
-            after = maps[0] * mu + maps[1]
-            before = np.concatenate([[mu], after[:-1]])
-            scale, shift, floor = running_maps(*_variance_maps(x, before, after, alpha))
-            out[f"mu_{c}"], out[f"var_{c}"] = mu, float(start[f"var_{c}"].iloc[0])
-            out[f"scale_{c}"], out[f"shift_{c}"], out[f"floor_{c}"] = scale[-1], shift[-1], floor[-1]
-        return out
+    def typed(*prefixes: str) -> str:
+        fields = [f"`{k}` {kinds[k]}" for k in keys] + [f"`{p}_{c}` double" for c in columns for p in prefixes]
+        return ", ".join(fields)
 
-    def carry_variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block", kind="stable")
-        out = pdf[[*block_key, *[f"mu_{c}" for c in columns]]].copy()
-        for c in columns:
-            maps = running_maps(
-                pdf[f"scale_{c}"].to_numpy(), pdf[f"shift_{c}"].to_numpy(), pdf[f"floor_{c}"].to_numpy()
-            )
-            out[f"var_{c}"] = _before(float(pdf[f"var_{c}"].iloc[0]), *maps)
-        return out
+    early = rows.where(F.col(pos) < warm).groupBy(*by).agg(
+        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_mu_{c}") for c in columns],
+        *[F.pow(F.coalesce(F.stddev_pop(c) + 1e-6, F.lit(1.0)), 2).alias(f"_var_{c}") for c in columns],
+    )
 
-    def emit(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        starts = {c: (float(start[f"mu_{c}"].iloc[0]), float(start[f"var_{c}"].iloc[0])) for c in columns}
-        return _emit(pdf, columns, starts, alpha).drop(columns="_block")
+    def starts(maps: DataFrame, what: str) -> DataFrame:
+        own = early.select(*by, *[f"_{what}_{c}" for c in columns])
+        return _in_order(maps.join(own, list(by)), by, "_block").mapInArrow(
+            _block_starts(columns, keys, what), typed(f"_{what}")
+        )
 
-    grouped = rows.groupBy(*block_key)
-    means = grouped.applyInPandas(mean_summary, typed(["scale", "shift"])).join(head, key)
-    mean_starts = means.groupBy(*key).applyInPandas(carry_mean, typed(["mu", "var"]))
-    summaries = grouped.cogroup(mean_starts.groupBy(*block_key)).applyInPandas(
-        variance_summary, typed(["mu", "var", "scale", "shift", "floor"])
+    slim = rows.select(*keys, pos, *columns)
+    mean_maps = _in_order(slim, keys, pos).mapInArrow(
+        _block_maps(columns, keys, alpha, variance=False), typed("scale", "shift")
+    )
+    # Block tables are small and used again: from files, their makers run once and their size is known.
+    means = materialize(starts(mean_maps, "mu"), "block-means")
+    variance_maps = _in_order(slim.join(means, keys), keys, pos).mapInArrow(
+        _block_maps(columns, keys, alpha, variance=True), typed("scale", "shift", "floor")
     )
-    starts = summaries.groupBy(*key).applyInPandas(carry_variance, typed(["mu", "var"]))
-    return grouped.cogroup(starts.groupBy(*block_key)).applyInPandas(emit, out_schema)
+    variances = materialize(starts(variance_maps, "var"), "block-variances")
+    ready = _in_order(rows.join(means, keys).join(variances, keys), keys, pos)
+    ready = ready.withColumns({f"_sigma_{c}": F.sqrt(f"_var_{c}") for c in columns})
+    kept = [*df.columns, "_fresh", *[f"{p}_{c}" for c in columns for p in ("_mu", "_sigma")]]
+    return ready.select(*kept).mapInArrow(_normalize_sorted(columns, alpha), out_schema)
 
 
 def mode_of(cfg: dict) -> str:
