@@ -119,11 +119,19 @@ def risk_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+def _draw_sql(column: str) -> str:
+    digest = f"md5('123|{column}|' || event_id)"
+    return f"('0x' || substr({digest}, 1, 8))::BIGINT % 1000000 >= 200000"
+
+
+@query(
+    f"""WITH {X.SIG} SELECT event_id, CASE WHEN {_draw_sql("eda")} THEN round(eda, 6) + 0.0 END AS eda,
+  CASE WHEN {_draw_sql("temp")} THEN round(temp, 6) + 0.0 END AS temp FROM sig"""
+)
 def random_missingness(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of cells nulled at a rate of one in five, per signal."""
+    """Cells nulled at a rate of one in five; the draw hashes seed, column and row key."""
     rows = clean.drop_at_random(X.raw_signals(spark, sf), ["eda", "temp"], ["event_id"], 0.2, 123)
-    return rows.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in ("eda", "temp")])
+    return rows.select("event_id", X.r6("eda").alias("eda"), X.r6("temp").alias("temp"))
 
 
 @query(

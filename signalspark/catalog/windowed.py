@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
-from signalspark.functions import arrays as A
+from signalspark.functions import samples as N
 from signalspark.layout import SeriesLayout, number_rows
 from signalspark.operators import features, normalize, relate, sequences, stats, windows
 from signalspark.operators.windows import Cutter
@@ -254,10 +254,9 @@ def beat_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     rows = number_rows(lines, ["worker_id"], order, layout, "_seg_pos", "_seg_n")
     rows = rows.withColumn("time_idx", F.col("_seg_pos").cast("int"))
     cut = cutter(layout, SL, SH, SSTEP)
-    gaps = cut.cut(rows, [*cut.meta(), cut.samples("ecg").alias("_ecg")])
-    gaps = gaps.withColumn("_beats", A.beats(F.col("_ecg"), HZ))
-    gaps = gaps.withColumn("_gaps", A.intervals(F.col("_beats"), HZ))
-    spectrum = gaps.withColumns(A.beat_spectrum(F.col("_gaps")))
+    sampled = cut.cut(rows, [*cut.meta(), cut.samples("ecg").alias("_ecg")])
+    signals = N.window_signals(F.col("_ecg"), F.col("_ecg"), SL, HZ, True, 0.05, 3)
+    spectrum = sampled.select("worker_id", "start_idx", signals.alias("_s")).select("worker_id", "start_idx", "_s.*")
     return spectrum.select("worker_id", "start_idx", *[X.r6(c).alias(c) for c in ("LF", "HF", "LF_HF")])
 
 

@@ -120,8 +120,8 @@ def drop_at_random(df: DataFrame, columns: Sequence[str], keys: Sequence[str], r
     """Null each cell with probability ``rate``, repeatably: the draw hashes the row key and the column name."""
 
     def draw(column: str):
-        h = F.xxhash64(F.lit(seed), F.lit(column), *[F.col(k).cast("string") for k in keys])
-        return F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
+        key = F.concat_ws("|", F.lit(str(seed)), F.lit(column), *[F.col(k).cast("string") for k in keys])
+        return S.stable_bucket(key, 1_000_000) / 1_000_000.0
 
     return df.withColumns({c: F.when(draw(c) >= rate, F.col(c)) for c in columns})
 
