@@ -82,7 +82,8 @@ def test_even_cap_equals_truncated_linspace(spark, keep):
 
 
 def test_keep_last_follows_the_order_column(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "z"), ("b", 9, "q")], "k string, o int, v string")
+    data = [("a", 1, "x"), ("a", 3, None), ("a", 2, "z"), ("b", 9, "q")]
+    df = spark.createDataFrame(data, "k string, o int, v string")
     assert rows(relate.keep_last(df, ["k"], "o").select("k", "o", "v")) == [("a", 3, None), ("b", 9, "q")]
 
 

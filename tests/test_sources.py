@@ -5,7 +5,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from signalspark import sinks
-from signalspark.layout import SeriesLayout
 from signalspark.operators import clean
 from signalspark.schema import SignalSchema
 from signalspark.sources import csv, records, router, tables

@@ -113,4 +113,5 @@ def test_padding_adds_one_neutral_row_per_unseen_worker(spark):
 
 def test_last_window_per_series(spark):
     meta = windows.window_meta(placed(spark, {"a": 20, "b": 9}), Cutter(SCHEMA, 4, 1))
-    assert rows(sequences.last_per_series(meta, "worker_id").select("worker_id", "start_idx")) == [("a", 150), ("b", 40)]
+    last = sequences.last_per_series(meta, "worker_id").select("worker_id", "start_idx")
+    assert rows(last) == [("a", 150), ("b", 40)]
