@@ -31,8 +31,9 @@ from signalspark.llm.common import stored
 BLOCK_BYTES = 1 << 23
 RANGE_KEYS = 1 << 21
 LEAST_RANGES = 32
-#: A null document id sorts after all others.
-NO_ID = np.iinfo(np.int64).max
+#: Document ids are whole numbers of less than 2**62 in size; a null one sorts after all others.
+ID_SHIFT = 1 << 62
+NO_ID = ID_SHIFT - 1
 
 KeysOf = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
 Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -134,11 +135,20 @@ def ask(blocks: DataFrame, keys_of: KeysOf, combine: Combine, cuts: np.ndarray,
     side, and gives a uint32 answer for each.
     """
 
+    def of_row(row):
+        ids, texts = open_block(row["ids"], row["sizes"], row["texts"])
+        return keys_of(texts, ids)
+
+    return ask_rows(blocks, of_row, combine, cuts, name)
+
+
+def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combine, cuts: np.ndarray, name: str) -> DataFrame:
+    """``ask`` with a function of the block's whole row."""
+
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, texts = open_block(row["ids"], row["sizes"], row["texts"])
-                keys, numbers = keys_of(texts, ids)
+                keys, numbers = of_row(row)
                 at = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
                 used = np.flatnonzero(at[1:] > at[:-1])
                 yield pa.record_batch(
