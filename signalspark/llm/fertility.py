@@ -25,7 +25,7 @@ from signalspark.llm.token_counts import vocabulary_path
 #: Any of the public vocabulary files; each adds its own measures, and a text is rejected if one of them is.
 VOCABULARIES = ("byte_bpe_multi_50k.tiktoken",)
 #: Distinct words that a worker remembers for each vocabulary; above it the memo starts anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 200_000
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 

@@ -27,8 +27,8 @@ ROUNDS = 8
 PENALTY = 2.0
 #: Largest number of languages in a document's set.
 LARGEST_SET = 4
-#: Words longer than this many bytes are judged by their first and last halves of it.
-MEMO_WORDS = 500_000
+#: Distinct words that a worker remembers; above it the memo starts anew.
+MEMO_WORDS = 200_000
 
 _memos: dict[int, tuple[dict[bytes, int], list[np.ndarray]]] = {}
 

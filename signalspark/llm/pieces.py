@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct chunks that a worker remembers; above it the memo starts anew.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 300_000
 #: Characters of new chunks that are indexed together.
 INDEX_CHARS = 1 << 20
 #: Bytes of text whose new chunks are learned together.

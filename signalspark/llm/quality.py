@@ -28,7 +28,8 @@ ROUNDS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: Shares are multiplied by this, so that frequent features move the score within a few updates.
 SCALE = 8.0
-MEMO_WORDS = 500_000
+#: Distinct words that a worker remembers; above it the memo starts anew.
+MEMO_WORDS = 200_000
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 _memo: dict[bytes, bytes] = {}

@@ -20,7 +20,7 @@ from signalspark.llm.common import query, table, text_slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct text parts that a worker remembers; above it the memo starts anew.
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 400_000
 #: Bytes of new text parts that go to the encoder in one call.
 CALL_BYTES = 1 << 18
 
