@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,12 +36,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``), which driver and executors share.
+
+    Without that setting only a session in one process gets a folder of its own, deleted when the process ends;
+    on a cluster a machine-local folder would lose rows, so this raises.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        folder = tempfile.mkdtemp(prefix="signalspark-")
+        _own_folders[context.applicationId] = folder
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + _own_folders[context.applicationId]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder; machine-local only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="signalspark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below ``shared_root``."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
