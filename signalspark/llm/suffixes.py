@@ -170,6 +170,8 @@ class _Strings:
 
 def _spans(texts: list[bytes], owner: np.ndarray, start: np.ndarray, span: int):
     """For each text its maximal removed runs [start, end)."""
+    if not len(owner):
+        return [[] for _ in texts]
     order = np.lexsort((start, owner))
     owner, start = owner[order], start[order]
     opens = np.ones(len(owner), bool)
