@@ -32,7 +32,7 @@ SPAN = 50
 TOKEN = 24
 _FACTOR = 0x9E3779B97F4A7C15
 #: Texts of a block are hashed so many bytes at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _place(ids: np.ndarray) -> np.ndarray:
@@ -54,12 +54,15 @@ def _rolling(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
     have = {1: _mix(data.astype(np.uint64) + np.uint64(1))}
 
     def of(width: int) -> np.ndarray:
-        if width not in have:
-            half = 1 << ((width - 1).bit_length() - 1)
-            a, b = of(half), of(width - half)
-            size = len(data) - width + 1
-            have[width] = a[:size] * _power(width - half) + b[half : half + size]
-        return have[width]
+        if width in have:
+            return have[width]
+        half = 1 << ((width - 1).bit_length() - 1)
+        a, b = of(half), of(width - half)
+        size = len(data) - width + 1
+            made = a[:size] * _power(width - half) + b[half : half + size]
+        if width & (width - 1) == 0:
+            have[width] = made
+        return made
 
     return [of(width) for width in widths]
 
