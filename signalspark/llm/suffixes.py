@@ -50,21 +50,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolling(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of the substrings of each width, by doubling: a string of m + n bytes combines two hashes."""
-    have = {1: _mix(data.astype(np.uint64) + np.uint64(1))}
-
-    def of(width: int) -> np.ndarray:
-        if width in have:
-            return have[width]
-        half = 1 << ((width - 1).bit_length() - 1)
-        a, b = of(half), of(width - half)
-        size = len(data) - width + 1
-        made = a[:size] * _power(width - half) + b[half : half + size]
-        if width & (width - 1) == 0:
-            have[width] = made
-        return made
-
-    return [of(width) for width in widths]
+    """Hashes of the substrings of each width, from those of powers of two.
+
+    A string of m + n bytes combines two hashes. Widths must ascend; nothing is kept longer than it is needed.
+    """
+    hashes = _mix(data.astype(np.uint64) + np.uint64(1))
+    made: list[np.ndarray | None] = [None] * len(widths)
+    have = [0] * len(widths)
+    step = 1
+    while step <= max(widths):
+        for k, width in enumerate(widths):
+            if width & step:  # the next piece stands before what there is
+                rest = made[k]
+                size = len(data) - have[k] - step + 1
+                made[k] = hashes[:size] if rest is None else hashes[:size] * _power(have[k]) + rest[step : step + size]
+                have[k] += step
+        half = hashes[:-step] if step < len(hashes) else hashes[:0]
+        hashes = half * _power(step) + hashes[step : step + len(half)]
+        step *= 2
+    return made
 
 
 def _least(values: np.ndarray, window: int) -> np.ndarray:
