@@ -29,7 +29,7 @@ from signalspark.llm.common import stored
 #: UTF-8 bytes of text in a block (one longer text is a block of its own), and keys in a range. Raise both with
 #: the input: the runs of one exchange number blocks x ranges.
 BLOCK_BYTES = 1 << 21
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 19
 LEAST_RANGES = 32
 #: Document ids are whole numbers of less than 2**62 in size; a null one sorts after all others.
 ID_SHIFT = 1 << 62
