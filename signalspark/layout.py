@@ -37,18 +37,42 @@ def split_points(df: DataFrame, value: str, total: int, task_rows: int) -> tuple
     if pieces < 2:
         return ()
     fraction = SAMPLES_PER_PIECE * pieces / total
-    picked = df if fraction >= 1 else df.sample(fraction, seed=17)
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    picked = known if fraction >= 1 else known.sample(fraction, seed=17)
     shares = [i / pieces for i in range(1, pieces)]
     found = picked.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10 * MAX_PIECES).alias("p")).first()
     return tuple(sorted(set(found["p"] or [])))
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the keys are kept once, as the left side has them.
+
+    Series without a key are series like the others: an ordinary join would lose them.
+    """
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    joined = left.join(renamed, same[0] if len(same) == 1 else _all(same), how)
+    return joined.drop(*[f"_right_{k}" for k in keys])
+
+
+def _all(conditions):
+    whole = conditions[0]
+    for one in conditions[1:]:
+        whole = whole & one
+    return whole
+
+
 def add_piece(df: DataFrame, value: str, points: Sequence[float], out: str = "_piece") -> DataFrame:
-    """Number of cut points at or below ``value``: non-decreasing in it, found by binary search in the JVM."""
+    """Number of cut points at or below ``value``: non-decreasing in it, found by binary search in the JVM.
+
+    As in an ascending order, null comes before all values (piece 0) and not-a-number after them (the last one).
+    """
     if not points:
         return df.withColumn(out, F.lit(0))
     cuts = [-math.inf, *points, math.inf]
-    numeric = df.withColumn("_cut_by", F.col(value).cast("double"))
+    number = F.col(value).cast("double")
+    placed = F.when(number.isNull(), F.lit(-math.inf)).when(F.isnan(number), F.lit(math.inf)).otherwise(number)
+    numeric = df.withColumn("_cut_by", placed)
     cut = Bucketizer(splits=cuts, inputCol="_cut_by", outputCol="_cut", handleInvalid="error").transform(numeric)
     return cut.withColumn(out, F.col("_cut").cast("int")).drop("_cut", "_cut_by")
 
@@ -77,7 +101,8 @@ class SeriesLayout:
         ).first()
         if not seen["longest"] or seen["longest"] <= task_rows:
             return cls()
-        hot = df.join(sizes.where(over).select(by), by, "left_semi")
+        long = sizes.where(over).select(F.col(by).alias("_long"))
+        hot = df.join(long, F.col(by).eqNullSafe(F.col("_long")), "left_semi")
         return cls(split_points(hot, value, seen["hot_rows"], task_rows), task_rows)
 
     @property
@@ -115,7 +140,7 @@ def number_rows(
         F.sum("_size").over(whole).alias(total),
     )
     local = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order))
-    numbered = pieces.withColumn("_local", local).join(offsets, [*by, "_piece"])
+    numbered = join_on_keys(pieces.withColumn("_local", local), offsets, [*by, "_piece"])
     return numbered.withColumn(pos, (F.col("_offset") + F.col("_local") - 1).cast("long")).drop(
         "_piece", "_local", "_offset"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
-from signalspark.layout import SeriesLayout, add_block, exact_quantiles
+from signalspark.layout import add_block, exact_quantiles, join_on_keys, SeriesLayout
 from signalspark.schema import SignalSchema
 from signalspark.session import materialize
 
@@ -51,7 +52,7 @@ def fill_gaps(
     )
     upto = Window.partitionBy(*by, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_here_{c}": F.last(c, True).over(upto) for c in known})
-    joined = local.join(carried, [*by, "_block"])
+    joined = join_on_keys(local, carried, [*by, "_block"])
     filled = {
         c: F.coalesce(F.col(f"_here_{c}"), F.col(f"_before_{c}"), F.col(f"_start_{c}"), F.lit(0.0)) for c in known
     }
@@ -291,6 +292,12 @@ def _normalize_sorted(columns: Sequence[str], alpha: float):
     return run
 
 
+def _number(column: str):
+    """The value, or null where it is not a finite number: such rows are no part of the starting statistics."""
+    value = F.col(column)
+    return F.when(F.isnan(value) | (F.abs(value) == math.inf), None).otherwise(value)
+
+
 def normalize_online(
     df: DataFrame,
     columns: Sequence[str],
@@ -318,7 +325,7 @@ def normalize_online(
         ordered = Window.partitionBy(*by).orderBy(pos)
         head = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         place = df.withColumn("_place", F.row_number().over(ordered))
-        early = {c: F.when(F.col("_place") <= warm, F.col(c)) for c in columns}
+        early = {c: F.when(F.col("_place") <= warm, _number(c)) for c in columns}
         started = place.withColumns(
             {"_fresh": F.col("_place") == 1}
             | {f"_mu_{c}": F.coalesce(F.avg(x).over(head), F.lit(0.0)) for c, x in early.items()}
@@ -346,13 +353,13 @@ def _normalize_blocks(df: DataFrame, columns, by, pos: str, alpha: float, warm:
         return ", ".join(fields)
 
     early = rows.where(F.col(pos) < warm).groupBy(*by).agg(
-        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_mu_{c}") for c in columns],
-        *[F.pow(F.coalesce(F.stddev_pop(c) + 1e-6, F.lit(1.0)), 2).alias(f"_var_{c}") for c in columns],
+        *[F.coalesce(F.avg(_number(c)), F.lit(0.0)).alias(f"_mu_{c}") for c in columns],
+        *[F.pow(F.coalesce(F.stddev_pop(_number(c)) + 1e-6, F.lit(1.0)), 2).alias(f"_var_{c}") for c in columns],
     )
 
     def starts(maps: DataFrame, what: str) -> DataFrame:
         own = early.select(*by, *[f"_{what}_{c}" for c in columns])
-        return _in_order(maps.join(own, list(by)), by, "_block").mapInArrow(
+        return _in_order(join_on_keys(maps, own, list(by)), by, "_block").mapInArrow(
             _block_starts(columns, keys, what), typed(f"_{what}")
         )
 
@@ -362,11 +369,11 @@ def _normalize_blocks(df: DataFrame, columns, by, pos: str, alpha: float, warm:
     )
     # Block tables are small and used again: from files, their makers run once and their size is known.
     means = materialize(starts(mean_maps, "mu"), "block-means")
-    variance_maps = _in_order(slim.join(means, keys), keys, pos).mapInArrow(
+    variance_maps = _in_order(join_on_keys(slim, means, keys), keys, pos).mapInArrow(
         _block_maps(columns, keys, alpha, variance=True), typed("scale", "shift", "floor")
     )
     variances = materialize(starts(variance_maps, "var"), "block-variances")
-    ready = _in_order(rows.join(means, keys).join(variances, keys), keys, pos)
+    ready = _in_order(join_on_keys(join_on_keys(rows, means, keys), variances, keys), keys, pos)
     ready = ready.withColumns({f"_sigma_{c}": F.sqrt(f"_var_{c}") for c in columns})
     kept = [*df.columns, "_fresh", *[f"{p}_{c}" for c in columns for p in ("_mu", "_sigma")]]
     return ready.select(*kept).mapInArrow(_normalize_sorted(columns, alpha), out_schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.layout import SeriesLayout, number_rows
@@ -134,16 +135,25 @@ def split_statistics(load: DataFrame, assignment: DataFrame, worker: str) -> Dat
 
 def uncovered(df: DataFrame, schema: SignalSchema, min_val: int, min_test: int) -> DataFrame:
     """Splits lacking a class or the minimum of positives."""
-    need = F.when(F.col("split") == "val", min_val).when(F.col("split") == "test", min_test).otherwise(0)
-    return (
-        df.groupBy("split")
-        .agg(
-            F.max((F.col(schema.stress) == 0).cast("int")).alias("has_negative"),
-            F.max((F.col(schema.stress) == 1).cast("int")).alias("has_positive"),
-            F.sum(schema.stress).cast("long").alias("positives"),
-        )
-        .where((F.col("has_negative") == 0) | (F.col("has_positive") == 0) | (F.col("positives") < need))
+    wanted = df.sparkSession.createDataFrame(
+        [("train", 0), ("val", min_val), ("test", min_test)], "split string, _need int"
     )
+    seen = df.groupBy("split").agg(
+        F.max((F.col(schema.stress) == 0).cast("int")).alias("has_negative"),
+        F.max((F.col(schema.stress) == 1).cast("int")).alias("has_positive"),
+        F.sum(schema.stress).cast("long").alias("positives"),
+    )
+    # Three rows: a split without any row is still looked at.
+    found = F.broadcast(wanted).join(seen, "split", "left").na.fill(0)
+    short = (F.col("has_negative") == 0) | (F.col("has_positive") == 0) | (F.col("positives") < F.col("_need"))
+    return found.where(short).drop("_need")
+
+
+# Fixed values of the balanced holdout: fewest workers per split, weights of the distances to the targets in
+# workers, positives and rows, and what a positive worker counts for in val and test.
+LEAST_WORKERS = (3, 2, 2)
+WEIGHTS = (0.5, 1.0, 0.5)
+POSITIVE_BONUS = (0.0, 0.15, 0.15)
 
 
 def balanced_holdout(
@@ -151,101 +161,115 @@ def balanced_holdout(
 ) -> DataFrame:
     """Assign workers to splits so that worker, row and positive counts come near their targets.
 
-    Each step of the greedy rule depends on all earlier ones, so it is one ordered pass; it sees one row per
-    *worker* (rows were counted in parallel), streams them in constant memory and collects nothing.
+    Workers of equal counts are interchangeable, so the rule is worked out on the *cells* of the (positives, rows)
+    histogram, counted in parallel. One ordered pass over the cells deals each one's workers to the splits and says
+    how many of them each split gets; inside a cell, workers are told apart by their number in it.
     """
     worker = schema.worker
-    total = load.agg(F.count(F.lit(1)).alias("n"), F.sum("positives").alias("p"), F.sum("rows").alias("r")).first()
-    if total["n"] < 9:
+    cells = load.groupBy("positives", "rows").agg(F.count(F.lit(1)).alias("n"))
+    total = cells.agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("positives")).alias("p"), F.sum(F.col("n") * F.col("rows")).alias("r")
+    ).first()
+    if (total["n"] or 0) < 9:
         raise ValueError("a three-way holdout needs at least 9 workers")
-    goals = _goals(total["n"], total["p"], total["r"], train, val, min_val, min_test)
-    ordered = load.repartition(1).sortWithinPartitions(F.desc("positives"), F.desc("rows"), worker)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = {s: {"workers": 0, "positives": 0, "rows": 0} for s in SPLITS}
-        for batch in batches:
-            chosen = [
-                _place_one(used, goals, int(p), int(r)) for p, r in zip(batch["positives"], batch["rows"], strict=True)
-            ]
-            yield batch.assign(split=chosen)
-
-    placed = ordered.mapInPandas(place, f"`{worker}` string, rows long, positives long, split string")
-    swaps = _swaps(placed, worker, {"val": min_val, "test": min_test})
-    if not swaps:
-        return placed.select(worker, "split")
-    moved = load.sparkSession.createDataFrame(list(swaps.items()), f"`{worker}` string, _moved string")
-    # At most 2 x MAX_SWAPS rows per repaired split.
-    repaired = placed.join(F.broadcast(moved), worker, "left")
-    return repaired.select(worker, F.coalesce("_moved", "split").alias("split"))
-
-
-MAX_SWAPS = 200
-
-
-def _goals(workers: int, positives: int, rows: int, train: float, val: float, min_val: int, min_test: int):
-    n_train, n_val = max(3, round(workers * train)), max(2, round(workers * val))
-    n_test = max(2, workers - n_train - n_val)
-    while n_train + n_val + n_test > workers and n_train > 3:
-        n_train -= 1
-    n_train += max(0, workers - n_train - n_val - n_test)
-    p_train, p_val = round(positives * train), round(positives * val)
-    r_train, r_val = round(rows * train), round(rows * val)
-    p = {
-        "train": max(1, p_train),
-        "val": max(min_val, p_val),
-        "test": max(min_test, positives - p_train - p_val),
-    }
-    p["train"] = max(1, p["train"] - max(0, sum(p.values()) - positives))
-    r = {"train": max(1, r_train), "val": max(1, r_val), "test": max(1, rows - r_train - r_val)}
-    n = {"train": n_train, "val": n_val, "test": n_test}
-    return {s: {"workers": n[s], "positives": p[s], "rows": r[s]} for s in SPLITS}
-
-
-def _place_one(used, goals, positives: int, rows: int) -> str:
-    """The split whose relative distance to its targets is smallest after taking this worker; updates ``used``."""
-    extra = {"positives": positives, "rows": rows, "workers": 1}
-    weight = {"positives": 1.0, "rows": 0.5, "workers": 0.5}
-
-    def cost(split: str) -> float:
-        have, want = used[split], goals[split]
-        off = sum(weight[k] * (abs(have[k] + extra[k] - want[k]) / max(1, want[k])) for k in weight)
-        return off - (0.15 if split != "train" and positives > 0 else 0.0)
-
-    room = [s for s in SPLITS if used[s]["workers"] < goals[s]["workers"]] or list(SPLITS)
-    best = min(room, key=cost)
-    for k, v in extra.items():
-        used[best][k] += v
-    return best
-
-
-def _swaps(placed: DataFrame, worker: str, minimum: Mapping[str, int]) -> dict[str, str]:
-    """Exchanges that lift a split to its minimum of positives.
-
-    Each takes train's richest worker for the split's poorest one, so only MAX_SWAPS workers at either end
-    can be involved; no more are looked at.
+    targets = _targets((total["n"], total["p"], total["r"]), (train, val), (1, min_val, min_test))
+
+    def deal(table: pd.DataFrame) -> pd.DataFrame:
+        ordered = table.sort_values(["positives", "rows"], ascending=False, ignore_index=True)
+        item = np.stack([np.ones(len(ordered)), ordered["positives"], ordered["rows"]], axis=1)
+        share = _repaired(_dealt(item, ordered["n"].to_numpy(), targets), item[:, 1], (0, min_val, min_test))
+        cell, split = np.nonzero(share)
+        upto = share.cumsum(axis=1)
+        return pd.DataFrame(
+            {
+                "positives": ordered["positives"].to_numpy()[cell],
+                "rows": ordered["rows"].to_numpy()[cell],
+                "low": (upto - share)[cell, split],
+                "high": upto[cell, split],
+                "split": np.array(SPLITS)[split],
+            }
+        )
+
+    ranges = cells.groupBy().applyInPandas(deal, "positives long, rows long, low long, high long, split string")
+    place = F.row_number().over(Window.partitionBy("positives", "rows").orderBy(worker)) - 1
+    numbered = load.withColumn("_place", place)
+    inside = (F.col("_place") >= F.col("low")) & (F.col("_place") < F.col("high"))
+    return numbered.join(ranges, ["positives", "rows"]).where(inside).select(worker, "split")
+
+
+def _targets(total: Sequence[int], shares: Sequence[float], least_positives: Sequence[int]) -> np.ndarray:
+    """Targets by split (rows) of workers, positives and rows (columns)."""
+
+    def parts(whole: int, least: Sequence[int]) -> np.ndarray:
+        first = [round(whole * share) for share in shares]
+        return np.maximum([*first, whole - sum(first)], least)
+
+    # The test share of the workers is what the raised shares of the others leave.
+    lifted = np.maximum([round(total[0] * share) for share in shares], LEAST_WORKERS[:2])
+    workers = np.array([*lifted, max(LEAST_WORKERS[2], total[0] - lifted.sum())])
+    workers[0] = max(LEAST_WORKERS[0], workers[0] + total[0] - workers.sum())
+    positives = parts(total[1], least_positives)
+    positives[0] = max(1, positives[0] - max(0, positives.sum() - total[1]))
+    return np.stack([workers, positives, parts(total[2], (1, 1, 1))], axis=1).astype(float)
+
+
+def _dealt(item: np.ndarray, n: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Workers of each cell that each split gets, one after the other to the split that it suits best.
+
+    A split's distance after k more equal workers is convex in k: it stays the best choice for a first stretch of
+    them, whose end is found by bisection.
     """
-    have = {r["split"]: r["p"] for r in placed.groupBy("split").agg(F.sum("positives").alias("p")).collect()}
-    if all(have.get(s, 0) >= least for s, least in minimum.items()):
-        return {}
-    ends = {}
-    for split, rich_first in (("train", True), ("val", False), ("test", False)):
-        key = F.desc("positives") if rich_first else F.asc("positives")
-        rows = placed.where(F.col("split") == split).orderBy(key, F.desc("rows"), worker).limit(2 * MAX_SWAPS)
-        ends[split] = [(r[worker], r["positives"]) for r in rows.collect()]
-    moved: dict[str, str] = {}
-    for split, least in minimum.items():
-        for _ in range(MAX_SWAPS):
-            if have.get(split, 0) >= least or not ends["train"] or not ends[split]:
-                break
-            # max/min return the earliest of equals, which keeps the placement order among ties.
-            donor = max(ends["train"], key=lambda w: w[1])
-            poorest = min(ends[split], key=lambda w: w[1])
-            if donor[1] <= poorest[1]:
+    have = np.zeros_like(targets)
+    share = np.zeros((len(n), len(targets)), np.int64)
+    scale = np.array(WEIGHTS) / np.maximum(targets, 1)
+
+    def distance(split: int, one: np.ndarray, k: int) -> float:
+        off = float((np.abs(have[split] + k * one - targets[split]) * scale[split]).sum())
+        return off - (POSITIVE_BONUS[split] if one[1] > 0 else 0.0)
+
+    for cell, one in enumerate(item):
+        left = int(n[cell])
+        while left:
+            room = targets[:, 0] - have[:, 0]
+            open_splits = [s for s in range(len(targets)) if room[s] > 0] or list(range(len(targets)))
+            now = {s: distance(s, one, 1) for s in open_splits}
+            best = min(open_splits, key=now.get)
+            bars = [(value, s) for s, value in now.items() if s != best]
+            low, high = 1, min(left, int(room[best])) if room[best] > 0 else left
+            while low < high:
+                middle = (low + high + 1) // 2
+                if all((distance(best, one, middle), best) < bar for bar in bars):
+                    low = middle
+                else:
+                    high = middle - 1
+            share[cell, best] += low
+            have[best] += low * one
+            left -= low
+    return share
+
+
+def _repaired(share: np.ndarray, positives: np.ndarray, least: Sequence[int]) -> np.ndarray:
+    """Lifts val, then test, to their least positives by exchanges of train's richest workers for their poorest.
+
+    The k-th exchange takes the k-th richest for the k-th poorest as long as that is a gain. Cells are in falling
+    order of positives, so stretches of equal exchanges follow from where cells begin and end.
+    """
+    for split in range(1, len(least)):
+        lack = least[split] - int((share[:, split] * positives).sum())
+        rich, poor = 0, len(positives) - 1
+        given, taken = share[:, 0].copy(), share[:, split].copy()
+        while lack > 0:
+            while rich < len(given) and not given[rich]:
+                rich += 1
+            while poor >= 0 and not taken[poor]:
+                poor -= 1
+            if rich == len(given) or poor < 0 or positives[rich] <= positives[poor]:
                 break
-            ends["train"].remove(donor)
-            ends[split].remove(poorest)
-            ends["train"].append(poorest)
-            ends[split].append(donor)
-            have[split] += donor[1] - poorest[1]
-            moved[donor[0]], moved[poorest[0]] = split, "train"
-    return moved
+            gain = int(positives[rich] - positives[poor])
+            k = int(min(given[rich], taken[poor], -(-lack // gain)))
+            given[rich] -= k
+            taken[poor] -= k
+            share[rich, [0, split]] += (-k, k)
+            share[poor, [0, split]] += (k, -k)
+            lack -= k * gain
+    return share

@@ -3,47 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
 
 OPTIONAL_CHANNELS = ("resp", "accel")
 
+# Our name, the place of its setting in a configuration, and the column it names by default. Two of
+# them name several columns.
+COLUMNS = {
+    "timestamp": ("features.timestamp", "timestamp"),
+    "time_idx": ("features.time_idx", "time_idx"),
+    "worker": ("features.worker_id", "worker_id"),
+    "stress": ("targets.stress.label_col", "y_stress"),
+    "comfort": ("targets.comfort.label_col", "y_comfort_proxy"),
+    "protocol": ("features.protocol_label", "protocol_label"),
+    "physiology": ("features.physiology", ("ecg", "eda", "temp")),
+    "context": ("features.robot_context", ("distance_to_robot", "robot_speed")),
+    "hazard": ("features.optional.hazard_zone", "hazard_zone"),
+    "phase": ("features.optional.task_phase", "task_phase"),
+    "specialization": ("features.optional.specialization_col", "specialization_index"),
+    "experience": ("features.optional.experience_col", "experience_level"),
+}
+USE_CONTEXT = "features.use_robot_context"
+
+
+def setting(cfg: Mapping, path: str, default):
+    """The value at a dotted path of nested mappings."""
+    for key in path.split("."):
+        if not isinstance(cfg, Mapping) or key not in cfg:
+            return default
+        cfg = cfg[key]
+    return cfg
+
 
-@dataclass(frozen=True)
 class SignalSchema:
-    timestamp: str = "timestamp"
-    time_idx: str = "time_idx"
-    worker: str = "worker_id"
-    stress: str = "y_stress"
-    comfort: str = "y_comfort_proxy"
-    protocol: str = "protocol_label"
-    physiology: tuple[str, ...] = ("ecg", "eda", "temp")
-    context: tuple[str, ...] = ("distance_to_robot", "robot_speed")
-    hazard: str = "hazard_zone"
-    phase: str = "task_phase"
-    specialization: str = "specialization_index"
-    experience: str = "experience_level"
+    """One attribute per entry of COLUMNS; entries that aren't given keep their default."""
+
+    def __init__(self, **names: str | Iterable[str]):
+        unknown = sorted(set(names) - set(COLUMNS))
+        if unknown:
+            raise TypeError(f"unknown columns: {unknown}")
+        for name, (_, default) in COLUMNS.items():
+            value = names.get(name, default)
+            setattr(self, name, tuple(value) if isinstance(default, tuple) else value)
 
     @classmethod
     def from_config(cls, cfg: Mapping) -> SignalSchema:
-        features = cfg.get("features", {})
-        optional = features.get("optional", {})
-        targets = cfg.get("targets", {})
-        base = cls()
-        use_context = bool(features.get("use_robot_context", True))
-        return cls(
-            timestamp=features.get("timestamp", base.timestamp),
-            time_idx=features.get("time_idx", base.time_idx),
-            worker=features.get("worker_id", base.worker),
-            stress=targets.get("stress", {}).get("label_col", base.stress),
-            comfort=targets.get("comfort", {}).get("label_col", base.comfort),
-            protocol=features.get("protocol_label", base.protocol),
-            physiology=tuple(features.get("physiology", base.physiology)),
-            context=tuple(features.get("robot_context", base.context)) if use_context else (),
-            hazard=optional.get("hazard_zone", base.hazard),
-            phase=optional.get("task_phase", base.phase),
-            specialization=optional.get("specialization_col", base.specialization),
-            experience=optional.get("experience_col", base.experience),
-        )
+        chosen = {name: setting(cfg, path, default) for name, (path, default) in COLUMNS.items()}
+        return cls(**chosen if setting(cfg, USE_CONTEXT, True) else chosen | {"context": ()})
 
     @property
     def signals(self) -> tuple[str, ...]:
@@ -51,7 +56,9 @@ class SignalSchema:
         return self.physiology + self.context
 
     def required(self) -> list[str]:
-        return [self.timestamp, self.time_idx, self.worker, self.stress, self.comfort, *self.physiology]
+        """Columns without which no stage can run."""
+        single = (name for name in ("timestamp", "time_idx", "worker", "stress", "comfort"))
+        return [*(getattr(self, name) for name in single), *self.physiology]
 
     def fillable(self, columns: Iterable[str]) -> list[str]:
         """Channels that gap filling covers: the signals plus whichever extra channels are present."""

@@ -65,3 +65,24 @@ def test_exact_quantiles(spark, task_rows):
     assert np.allclose(found["a"], np.quantile(a, shares), atol=1e-12)
     assert np.allclose(found["b"], np.quantile(kept, shares), atol=1e-12)
     assert found["c"] is None or found["c"] == [None] * len(shares)
+
+
+def test_cut_numbering_keeps_null_keys_and_orders(spark):
+    """Both forms give the same rows for null keys, null and not-a-number order values, and ties."""
+    values = [None, float("nan"), *[float(i // 2) for i in range(40)]]
+    data = [(k, v, i) for k in ("a", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "worker string, at double, id int")
+    whole = number_rows(df, ["worker"], ["at", "id"], SeriesLayout())
+    fitted = SeriesLayout.fit(df, "worker", "at", 10)
+    assert fitted.cut and fitted.points
+    cut = number_rows(df, ["worker"], ["at", "id"], fitted)
+    key = lambda r: (str(r[0]), r[2])
+    names = ["worker", "at", "id", "_pos", "_n"]
+    assert sorted(map(str, whole.select(names).collect())) == sorted(map(str, cut.select(names).collect()))
+    assert sorted(cut.select(names).collect(), key=key)[0] is not None
+
+
+def test_cut_running_totals_keep_null_scores(spark):
+    df = spark.createDataFrame([(None, 1), *[(float(i), 1) for i in range(20)]], "score double, n int")
+    got = running_totals(df, "score", ["n"], task_rows=5)
+    assert sorted(r.cum_n for r in got.collect()) == list(range(1, 22))

@@ -86,3 +86,15 @@ def test_uncovered_names_single_class_splits(spark):
     )
     assert [r["split"] for r in split.uncovered(df, SCHEMA, 1, 1).collect()] == ["val"]
     assert [r["split"] for r in split.uncovered(df, SCHEMA, 1, 2).orderBy("split").collect()] == ["test", "val"]
+
+
+def test_uncovered_names_a_split_without_rows(spark):
+    df = spark.createDataFrame([("train", 0.0), ("train", 1.0), ("test", 0.0), ("test", 1.0)], "split string, y_stress double")
+    assert [r["split"] for r in split.uncovered(df, SCHEMA, 20, 1).collect()] == ["val"]
+
+
+def test_balanced_holdout_deals_equal_workers_in_stretches(spark):
+    load = load_of(spark, [(10, 3)] * 50 + [(10, 0)] * 50)
+    chosen = split.balanced_holdout(load, SCHEMA, 0.7, 0.15, 5, 5)
+    stats = {r["split"]: r["subjects"] for r in split.split_statistics(load, chosen, "worker_id").collect()}
+    assert stats == {"train": 70, "val": 15, "test": 15}
