@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import stored
+from signalspark.llm.common import release, stored
 
 #: UTF-8 bytes of text in a block (one longer text is a block of its own), and keys in a range. Raise both with
 #: the input: the runs of one exchange number blocks x ranges.
@@ -91,6 +91,7 @@ def to_blocks(docs: DataFrame, id_name: str, text_name: str, block_bytes: int =
                 size += len(raw)
         if held:
             yield block()
+        release()
 
     chosen = docs.select(F.col(id_name).cast("long"), F.col(text_name).cast("string"))
     return stored(chosen.mapInArrow(cut, "block_id long, ids binary, sizes binary, texts binary"), "blocks")
@@ -159,6 +160,7 @@ def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combin
                         "numbers": pa.array([pack(numbers[at[r] : at[r + 1]]) for r in used], pa.binary()),
                     }
                 )
+        release()
 
     def answer(part: pa.Table) -> pa.Table:
         runs = [unpack(k.as_py(), ordered=True) for k in part.column("keys")]
@@ -168,6 +170,8 @@ def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combin
         replies = np.empty(len(keys), np.uint32)
         replies[order] = combine(keys[order], numbers[order])
         ends = np.cumsum([len(r) for r in runs])
+        del keys, numbers, order
+        release()
         return pa.table(
             {
                 "block_id": part.column("block_id").cast(pa.int64()),

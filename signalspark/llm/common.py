@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers live on between tasks and stages: what their allocators
+    keep would add up with the next stage's, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """Consecutive slices of about ``limit`` bytes as UTF-8 byte strings; null is the empty text.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, table, text_slices
+from signalspark.llm.common import query, release, table, text_slices
 from signalspark.llm.token_counts import vocabulary_path
 
 #: Any of the public vocabulary files; each adds its own measures, and a text is rejected if one of them is.
@@ -218,7 +218,9 @@ def measured(text: Column, vocabularies=VOCABULARIES) -> Column:
 
     @arrow_udf(MEASURES)
     def measure(texts: pa.Array) -> pa.Array:
-        return pa.array([m for held in text_slices(texts) for m in measure_texts(held, vocabularies)], ARROW_MEASURES)
+        got = pa.array([m for held in text_slices(texts) for m in measure_texts(held, vocabularies)], ARROW_MEASURES)
+        release()
+        return got
 
     return measure(text)
 

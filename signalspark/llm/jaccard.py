@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from signalspark.llm import blocks as B
-from signalspark.llm.common import query, stored, table
+from signalspark.llm.common import query, release, stored, table
 from signalspark.llm.components import connected
 
 WORDS = 5
@@ -141,6 +141,7 @@ def _rare_first(width: int, key_bits: int, percent: int):
                         "shared": pa.array(shared, pa.binary()),
                     }
                 )
+        release()
 
     return run
 

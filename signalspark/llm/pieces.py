@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, table, text_slices
+from signalspark.llm.common import query, release, table, text_slices
 from signalspark.llm.token_counts import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
@@ -317,6 +317,8 @@ def encoded(text: Column, model: str = MODEL) -> Column:
         ids = [one for held in text_slices(texts, BATCH_BYTES) for one in pieces(model).encode(held)]
         offsets = np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32)
         values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        del ids
+        release()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     return encode(text)
