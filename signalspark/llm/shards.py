@@ -2,10 +2,11 @@
 
 Every row has a point of metadata that follows from its text alone, so equal texts have one point and stay
 together. A cell is split at the weighted median (weights are bytes) along the dimension in which it is widest,
-until the cells reach the target size; cells are shards. Medians are found by two rounds of weighted histograms,
-pre-aggregated in the tasks: the first over the dimension's value, the second, inside the median's bin, over a
-hash of the text, so that a value shared by any number of rows can be cut too. A text whose copies alone exceed
-the target is dealt by document instead; there are at most as many such texts as shards.
+until the cells reach the target size; cells are shards. Medians are found by three rounds of weighted histograms
+with a fixed number of bins, pre-aggregated in the tasks: the first over the dimension's value, the others, inside
+the median's bin, over the upper and lower half of a hash of the text, so that a value shared by any number of rows
+can be cut too. A text whose copies alone exceed the target is dealt by document instead; there are at most as many
+such texts as shards.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from signalspark.llm.common import query, stored, table
 
 SHARDS = 16
 BINS = 1 << 16
+#: Bits of the hash that orders the rows of one value.
+TIE_BITS = 30
 #: Texts whose copies hold this part of a shard are placed first.
 HEAVY = 64
 #: Rows numbered in one task.
@@ -81,39 +84,51 @@ def _placed(rows: DataFrame, splits: list[Split]) -> DataFrame:
     return rows.withColumn("cell", inside(1))
 
 
-def _median_bins(sums: DataFrame) -> list:
-    """For each cell the first bin whose running weight passes half: at most BINS rows of sums in a cell."""
+def _median_bins(sums: DataFrame, goals: dict[int, float]) -> dict:
+    """For each cell the first bin whose running weight reaches the cell's goal, or the last one.
+
+    A cell has at most BINS rows of sums, however many rows and texts it holds.
+    """
+    goal = F.coalesce(*[F.when(F.col("cell") == cell, F.lit(value)) for cell, value in goals.items()])
     order = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     running = sums.withColumn("upto", F.sum("w").over(order))
-    whole = sums.groupBy("cell").agg(F.sum("w").alias("all"))
-    over = running.join(whole, "cell").where(F.col("upto") * 2 >= F.col("all"))
-    return over.groupBy("cell").agg(F.min_by(F.struct("bin", "upto", "w", "all"), "bin").alias("m")).select("cell", "m.*").collect()
+    rank = F.struct((F.col("upto") < goal).alias("short"), F.when(F.col("upto") < goal, -F.col("bin")).otherwise(F.col("bin")))
+    return {r["cell"]: r for r in running.groupBy("cell").agg(F.min_by(F.struct("bin", "upto", "w"), rank).alias("m")).select("cell", "m.*").collect()}
 
 
 def split_level(rows: DataFrame, splits: list[Split], cells: list[int]) -> list[Split]:
-    """One split for each of the cells. What reaches the driver is a few numbers per cell."""
+    """One split for each of the cells. What reaches the driver is a few numbers per cell.
+
+    The median is found digit by digit: the dimension's value, then the upper and the lower half of the hash of the
+    rows that share it.
+    """
     placed = _placed(rows, splits).where(F.col("cell").isin(cells))
-    bounds = placed.groupBy("cell").agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
-    widest = {}
+    bounds = placed.groupBy("cell").agg(
+        F.sum("size").alias("all"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
+    )
+    widest, goals = {}, {}
     for row in bounds.collect():
         # Ties go to the dimension listed first.
         widest[row["cell"]] = max(DIMENSIONS, key=lambda d, row=row: row[f"hi_{d}"] - row[f"lo_{d}"])
+        goals[row["cell"]] = row["all"] / 2
     if not widest:
         return []
-    chosen = F.coalesce(*[F.when(F.col("cell") == cell, F.col(dimension)) for cell, dimension in widest.items()])
-    coarse = _median_bins(placed.groupBy("cell", chosen.alias("bin")).agg(F.sum("size").alias("w")))
-    middle = [F.when(F.col("cell") == row["cell"], F.lit(row["bin"])) for row in coarse]
-    inside = chosen == F.coalesce(*middle)
-    fine_sums = placed.where(inside).groupBy("cell", F.col("tie").alias("bin")).agg(F.sum("size").alias("w"))
-    before = {row["cell"]: row["upto"] - row["w"] for row in coarse}
-    half = {row["cell"]: row["all"] / 2 for row in coarse}
-    order = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.coalesce(*[F.when(F.col("cell") == cell, F.lit(float(half[cell] - before[cell]))) for cell in before])
-    running = fine_sums.withColumn("upto", F.sum("w").over(order)).withColumn("off", F.abs(F.col("upto") - base))
-    # The cut after the bin that comes nearest to half.
-    best = running.groupBy("cell").agg(F.min_by("bin", F.struct("off", "bin")).alias("bin"))
-    cut = {row["cell"]: row["bin"] + 1 for row in best.collect()}
-    return [Split(row["cell"], widest[row["cell"]], row["bin"], cut[row["cell"]]) for row in coarse]
+    value = F.coalesce(*[F.when(F.col("cell") == cell, F.col(dimension)) for cell, dimension in widest.items()])
+    upper, lower = F.shiftright("tie", TIE_BITS // 2), F.col("tie").bitwiseAND((1 << TIE_BITS // 2) - 1)
+    inside, found = placed, []
+    for digit in (value, upper, lower):
+        level = _median_bins(inside.groupBy("cell", digit.alias("bin")).agg(F.sum("size").alias("w")), goals)
+        found.append(level)
+        inside = inside.where(digit == F.coalesce(*[F.when(F.col("cell") == c, F.lit(r["bin"])) for c, r in level.items()]))
+        # What is still wanted of the chosen bin's weight.
+        goals = {c: goals[c] - (r["upto"] - r["w"]) for c, r in level.items()}
+    out = []
+    for cell, dimension in widest.items():
+        value_bin, high, low = (level[cell]["bin"] for level in found)
+        # Cut before or after the last digit's bin, whichever comes nearer to half.
+        after = goals[cell] > found[-1][cell]["w"] / 2
+        out.append(Split(cell, dimension, value_bin, (high << TIE_BITS // 2) + low + int(after)))
+    return out
 
 
 def kd_shards(docs: DataFrame, doc: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -136,8 +151,8 @@ def kd_shards(docs: DataFrame, doc: str = "doc_id", text: str = "text", shards:
         # At the origin of every dimension a heavy text isn't cut off at the side of a median that falls into it.
         at_origin = F.col("text_key").isin(whole)
         rows = rows.withColumns({d: F.when(at_origin, F.lit(0)).otherwise(F.col(d)) for d in DIMENSIONS})
-    own = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(1 << 30)).cast("int")
-    alone = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")
+    own = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(1 << TIE_BITS)).cast("int")
+    alone = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS)).cast("int")
     rows = rows.withColumn("tie", F.when(F.col("text_key").isin(large), alone).otherwise(own) if large else own)
     splits: list[Split] = []
     cells = [1]
