@@ -9,10 +9,13 @@ by content, in a way that misses nothing:
 2. *Sampled splitters.* The tokens of all blocks of texts are range-partitioned at splitters sampled from them.
    A range is sorted locally, by token and then document, and neighbours are compared: a token in one document
    only can't lead a repeated string. (Equal tokens are in one range, so nothing crosses its borders.)
-3. *Comparison.* The 50-byte strings whose leading token is shared are sorted the same way by their own hash;
-   the first document of each group of equals keeps its bytes, the others mark the string.
+3. *Comparison of runs.* Neighbouring 50-byte strings with one shared leading token form a run. Runs are sorted
+   the same way by a hash of their bytes: all but the first document of each group of equals mark the run's strings.
+4. *Comparison of strings.* The strings of the runs that are left are sorted by their own hash, and marked likewise.
+   Nothing is missed: the smallest document of a string has it in a run that no smaller document has, so it takes
+   part here, and every other document meets it here or was marked with a whole run.
 
-A range sees a token or string once per block, with the smallest document of the block, however many documents
+A range sees a token, run or string once per block, with the smallest document of the block, however many documents
 share it.
 """
 
@@ -146,33 +149,60 @@ def _seen_before(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (low < docs).astype(np.uint32)
 
 
+class _Found:
+    """Numbers of a block's strings or runs under their keys, and which of them a smaller document has."""
+
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray, drop: np.uint64):
+        self.hashes, self.docs, self.drop = hashes, docs, drop
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return _first_documents(self.hashes >> self.drop, self.docs)
+
+    def repeated(self, before: np.ndarray) -> np.ndarray:
+        keys, first = self.keys()
+        at = np.searchsorted(keys, self.hashes >> self.drop)
+        return before[at].astype(bool) | ((first[at] >> np.uint64(1)) < _place(self.docs))
+
+
 class _Strings:
-    """The span-byte strings of a block whose leading token is shared, and the ones to mark."""
+    """The span-byte strings of a block whose leading token is shared, in runs of one leading token."""
 
-    def __init__(self, texts, ids, span, token, drop, shared: np.ndarray):
+    def __init__(self, texts, ids, span, token, drop, string_drop, shared: np.ndarray):
         known, _ = _token_keys(span, token, drop)(texts, ids)
         flags = shared.astype(bool)
         kept = []
         for owner, start, lead, string in strings_of(texts, span, token):
             # Neighbouring strings mostly have one leading token: it is looked up once per run.
-            change = B.first_of_equals(lead)
+            fresh = np.ones(len(lead), bool)
+            fresh[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
+            change = np.flatnonzero(fresh)
             hit = flags[np.searchsorted(known, lead[change] >> drop)]
-            hit = np.repeat(hit, np.diff(np.append(change, len(lead))))
-            kept.append((owner[hit], start[hit], string[hit]))
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.owner, self.start, self.string = (np.concatenate(parts) for parts in zip(empty, *kept, strict=True))
-        self.ids = ids
-
-    def keys(self, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return _first_documents(self.string >> drop, self.ids[self.owner])
-
-    def marked(self, drop: np.uint64, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sizes = np.diff(np.append(change, len(lead)))
+            # A run ends after span strings: its bytes are those of its first and its last string.
+            opens = (np.arange(len(lead)) - np.repeat(change, sizes)) % span == 0
+            hit = np.repeat(hit, sizes)
+            kept.append((owner[hit].astype(np.int32), start[hit].astype(np.int32), string[hit], opens[hit]))
+        empty = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool))
+        self.owner, self.start, self.string, opens = (np.concatenate(parts) for parts in zip(empty, *kept, strict=True))
+        self.ids, self.drop = ids, string_drop
+        self.first = np.flatnonzero(opens)
+        self.sizes = np.diff(np.append(self.first, len(self.string)))
+
+    def runs(self) -> _Found:
+        head, tail = self.string[self.first], self.string[self.first + self.sizes - 1]
+        whole = _mix(_mix(head * np.uint64(_FACTOR) + self.sizes.astype(np.uint64)) + tail)
+        return _Found(whole, self.ids[self.owner[self.first]], self.drop)
+
+    def single(self, seen_runs: np.ndarray) -> tuple[np.ndarray, _Found]:
+        """Which strings lie in repeated runs, and the others."""
+        done = np.repeat(self.runs().repeated(seen_runs), self.sizes)
+        return done, _Found(self.string[~done], self.ids[self.owner[~done]], self.drop)
+
+    def marked(self, seen_runs: np.ndarray, seen_strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, start) of the strings that also start in a smaller document."""
-        keys, first = self.keys(drop)
-        at = np.searchsorted(keys, self.string >> drop)
-        here = _place(self.ids[self.owner])
-        hit = before[at].astype(bool) | ((first[at] >> np.uint64(1)) < here)
-        return self.owner[hit], self.start[hit]
+        done, others = self.single(seen_runs)
+        done[~done] = others.repeated(seen_strings)
+        return self.owner[done], self.start[done]
 
 
 def _spans(texts: list[bytes], owner: np.ndarray, start: np.ndarray, span: int):
@@ -220,22 +250,32 @@ def repeated_spans(
 
     def with_tokens(row) -> tuple[np.ndarray, list[bytes], _Strings]:
         ids, texts = B.open_block(row["ids"], row["sizes"], row["texts"])
-        return ids, texts, _Strings(texts, ids, span, token, drop, B.read_answers(row["answers"]))
+        return ids, texts, _Strings(texts, ids, span, token, drop, string_drop, B.read_answers(row["answers"]))
+
+    def runs(row):
+        return with_tokens(row)[2].runs().keys()
 
     def strings(row):
-        return with_tokens(row)[2].keys(string_drop)
+        return with_tokens(row)[2].single(B.read_answers(row["seen_runs"]))[1].keys()
+
+    def even_cuts(keys: int) -> np.ndarray:
+        ranges = max(B.LEAST_RANGES, keys // B.RANGE_KEYS)
+        width = 64 - int(string_drop)
+        return np.array([(k << width) // ranges for k in range(1, ranges)], np.uint64)
+
+    def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+        return blocks.join(answers.select("block_id", F.col("answers").alias(name)), "block_id", "left")
 
-    # Half of the texts' bytes at most is taken to be in shared strings; only the number of ranges depends on it.
-    ranges = max(B.LEAST_RANGES, total // 2 // B.RANGE_KEYS)
-    width = 64 - int(string_drop)
-    string_cuts = np.array([(k << width) // ranges for k in range(1, ranges)], np.uint64)
-    before = B.ask_rows(paired, strings, _seen_before, string_cuts, "seen-strings")
+    # How many runs and strings are taken to be shared decides the number of ranges, nothing else.
+    paired = with_answers(paired, B.ask_rows(paired, runs, _seen_before, even_cuts(total // 14), "seen-runs"), "seen_runs")
+    seen = B.ask_rows(paired, strings, _seen_before, even_cuts(total // 2), "seen-strings")
 
     def remove(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts, found = with_tokens(row)
-                runs = _spans(texts, *found.marked(string_drop, B.read_answers(row["seen"])), span)
+                marked = found.marked(B.read_answers(row["seen_runs"]), B.read_answers(row["seen_strings"]))
+                runs = _spans(texts, *marked, span)
                 kept = []
                 for raw, own in zip(texts, runs, strict=True):
                     edges = [0, *(e for run in own for e in run), len(raw)]
@@ -253,8 +293,7 @@ def repeated_spans(
                     }
                 )
 
-    seen = before.select("block_id", F.col("answers").alias("seen"))
-    return paired.join(seen, "block_id", "left").mapInArrow(remove, RESULT)
+    return with_answers(paired, seen, "seen_strings").mapInArrow(remove, RESULT)
 
 
 @query()
