@@ -13,7 +13,7 @@ from signalspark.llm.common import stored, table
 from signalspark.llm.decontaminate import contamination, is_contaminated
 from signalspark.llm.fertility import with_rules
 from signalspark.llm.jaccard import near_duplicates
-from signalspark.llm.pieces import MARK, decoded, with_pieces
+from signalspark.llm.pieces import with_pieces
 from signalspark.llm.secrets import find_secrets, redacted
 
 
@@ -52,11 +52,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``piece_ids``, their number, and whether decoding them gives the text again."""
-    coded = with_pieces(docs)
-    text = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return coded.withColumns(
-        {"n_pieces": F.size("piece_ids").cast("long"), "round_trip": decoded(F.col("piece_ids")) == text}
-    )
+    return with_pieces(docs).withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 
 STAGES = [

@@ -31,12 +31,12 @@ from signalspark.llm.token_counts import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct chunks that a worker remembers; above it the memo starts anew.
-MEMO_CHUNKS = 300_000
+#: Distinct chunks that start a new memo; the one before is kept beside it, and what is met again moves over.
+MEMO_CHUNKS = 150_000
 #: Characters of new chunks that are indexed together.
 INDEX_CHARS = 1 << 20
 #: Bytes of text whose new chunks are learned together.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 _models: dict[str, _Pieces] = {}
 
@@ -92,6 +92,7 @@ class _Pieces:
         self.raw = [byte_of.get(i, t.replace(MARK, " ").encode("utf-8")) for i, t in enumerate(self.texts)]
         #: Chunk to its ids, as bytes of the type ``code``.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
@@ -151,34 +152,52 @@ class _Pieces:
         return good
 
     def occurrences(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and match rows of all pieces in the text, by a suffix array and binary search."""
-        padded = np.concatenate([sym, np.zeros(self.longest, np.int64)])
-        size, width = len(sym), int(len(self.alphabet) + 1).bit_length()
-        per_word = 62 // width
-        words = []
-        for at in range(0, self.longest, per_word):
-            word = np.zeros(size, np.int64)
-            for k in range(at, min(at + per_word, self.longest)):
-                word = (word << width) | padded[k : k + size]
-            words.append(word)
-        suffixes = np.lexsort(words[::-1])
-        low = np.zeros(len(self.match_ids), np.int64)
-        high = np.full(len(self.match_ids), size, np.int64)
-        first = np.zeros(size, np.int64)  # where the range of suffixes with the same head so far begins
-        base = len(self.alphabet) + 2
-        place = np.arange(size)
-        for k in range(self.longest):
-            keys = first * base + padded[suffixes + k]
-            rows = np.flatnonzero((self.match_len > k) & (low < high))
-            wanted = low[rows] * base + self.match_syms[rows, k]
-            low[rows] = np.searchsorted(keys, wanted, "left")
-            high[rows] = np.searchsorted(keys, wanted, "right")
-            starts = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = np.maximum.accumulate(np.where(starts, place, 0))
-        counts = np.maximum(high - low, 0)
-        row = np.repeat(np.arange(len(counts)), counts)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return suffixes[low[row] + inside], row
+        """Starts and match rows of all pieces in the text, by a suffix array and binary search.
+
+        Suffixes are sorted by as many characters as fit a number. Those in the range of a longer piece's head are
+        sorted on, by the next characters, until no piece is longer; no other suffix needs a deeper order.
+        """
+        present = np.unique(sym)
+        code = np.full(len(self.alphabet) + 1, -1, np.int64)
+        code[present[present > 0]] = np.arange(1, 1 + np.count_nonzero(present))
+        code[0] = 0
+        width = int(len(present) + 1).bit_length()
+        padded = np.concatenate([code[sym], np.zeros(2 * self.longest + 62, np.int64)])
+        wanted = code[self.match_syms]
+        rows = np.flatnonzero((wanted >= 0).all(axis=1))
+        wanted = np.concatenate([wanted, np.zeros((len(wanted), 62), np.int64)], axis=1)
+        suffixes, group = np.arange(len(sym)), np.zeros(len(sym), np.int64)
+        own = np.zeros(len(rows), np.int64)  # the group of suffixes that share a piece's head so far
+        done, groups = 0, 1
+        found_starts, found_rows = [], []
+        while len(rows) and len(suffixes):
+            per_word = (62 - groups.bit_length()) // width
+            keys, heads = group, own
+            for k in range(done, done + per_word):
+                keys = (keys << width) | padded[suffixes + k]
+                heads = (heads << width) | wanted[rows, k]
+            order = np.argsort(keys)
+            keys, suffixes = keys[order], suffixes[order]
+            rest = np.maximum(done + per_word - self.match_len[rows], 0) * width  # bits that the piece leaves open
+            low = np.searchsorted(keys, heads, "left")
+            high = np.searchsorted(keys, heads + (np.int64(1) << rest), "left")
+            ends = self.match_len[rows] <= done + per_word
+            counts = (high - low)[ends]
+            found_rows.append(np.repeat(rows[ends], counts))
+            inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            found_starts.append(suffixes[np.repeat(low[ends], counts) + inside])
+            deeper = ~ends & (high > low)
+            rows = rows[deeper]
+            begins, own = np.unique(low[deeper], return_inverse=True)
+            sizes = np.zeros(len(suffixes), np.int64)
+            sizes[low[deeper]] = (high - low)[deeper]
+            sizes, groups, done = sizes[begins], max(len(begins), 1), done + per_word
+            group = np.repeat(np.arange(len(begins)), sizes)
+            inside = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            suffixes = suffixes[np.repeat(begins, sizes) + inside]
+        if not found_rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found_starts), np.concatenate(found_rows)
 
     def relax(self, chunks: list[str]) -> list[bytes]:
         """Piece ids of each chunk, as bytes of the type ``code``."""
@@ -289,11 +308,14 @@ class _Pieces:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The piece ids of each UTF-8 text."""
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         split = [
             CHUNK.findall(MARK + text.decode("utf-8", "replace").replace(" ", MARK)) if text else [] for text in texts
         ]
-        self.learn([c for c in set(chain.from_iterable(split)) if c not in self.memo])
+        new = set(chain.from_iterable(split)) - self.memo.keys()
+        again = new & self.older.keys()
+        self.memo.update((c, self.older[c]) for c in again)
+        self.learn(list(new - again))
         known = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(known, chunks)), self.code) for chunks in split]
 
@@ -309,17 +331,22 @@ def pieces(model: str = MODEL) -> _Pieces:
     return _models[model]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32)
+    values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def encoded(text: Column, model: str = MODEL) -> Column:
     """array<int> of the piece ids of a text, without begin and end; empty for null and empty texts."""
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         ids = [one for held in text_slices(texts, BATCH_BYTES) for one in pieces(model).encode(held)]
-        offsets = np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32)
-        values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        lists = _lists(ids)
         del ids
         release()
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        return lists
 
     return encode(text)
 
@@ -338,19 +365,45 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     return decode(ids)
 
 
-def with_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, out: str = "piece_ids") -> DataFrame:
-    """Adds the piece ids; a column of that name is replaced. Rows are kept as they are, repeated ones too."""
-    return docs.withColumn(out, encoded(F.col(text), model))
+def coded(text: Column, model: str = MODEL) -> Column:
+    """struct<ids, round_trip>: the piece ids of a text, and whether decoding them gives the text again.
+
+    The word mark itself comes back as a space, which counts as the same text; so does null as the empty one. One
+    function does both: chained ones would be run together, and the first of them twice.
+    """
+
+    @arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def code(texts: pa.Array) -> pa.Array:
+        own = pieces(model)
+        ids, same = [], []
+        for held in text_slices(texts, BATCH_BYTES):
+            got = own.encode(held)
+            ids += got
+            same += [
+                own.decode(one.tolist()) == raw.decode("utf-8", "replace").replace(MARK, " ")
+                for one, raw in zip(got, held, strict=True)
+            ]
+        lists = _lists(ids)
+        del ids
+        release()
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return code(text)
+
+
+def with_pieces(
+    docs: DataFrame, text: str = "text", model: str = MODEL, out: str = "piece_ids", check: str = "round_trip"
+) -> DataFrame:
+    """Adds the piece ids and whether they decode to the text; columns of these names are replaced.
+
+    Rows are kept as they are, repeated ones too.
+    """
+    got = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, check)], coded(F.col(text), model).alias("_coded"))
+    return got.withColumns({out: F.col("_coded.ids"), check: F.col("_coded.round_trip")}).drop("_coded")
 
 
 @query()
 def op5_sentencepiece(spark, sf_dir):
     """Every document's piece ids, and whether decoding them gives the text again."""
     docs = with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decoded(F.col("piece_ids"))
-    return docs.select(
-        "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        "piece_ids",
-        (back == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),
-    )
+    return docs.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
