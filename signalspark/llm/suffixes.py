@@ -168,20 +168,24 @@ class _Strings:
     """The span-byte strings of a block whose leading token is shared, in runs of one leading token."""
 
     def __init__(self, texts, ids, span, token, drop, string_drop, shared: np.ndarray):
-        known, _ = _token_keys(span, token, drop)(texts, ids)
-        flags = shared.astype(bool)
-        kept = []
+        parts, tokens = [], [np.zeros(0, np.uint64)]
         for owner, start, lead, string in strings_of(texts, span, token):
             # Neighbouring strings mostly have one leading token: it is looked up once per run.
             fresh = np.ones(len(lead), bool)
             fresh[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
             change = np.flatnonzero(fresh)
-            hit = flags[np.searchsorted(known, lead[change] >> drop)]
-            sizes = np.diff(np.append(change, len(lead)))
+            tokens.append(lead[change] >> drop)
+            parts.append((owner.astype(np.int32), start.astype(np.int32), string, change))
+        known = np.unique(np.concatenate(tokens))  # the keys that were asked about, in the same order
+        flags = shared.astype(bool)
+        kept = []
+        for at, (owner, start, string, change) in enumerate(parts):
+            sizes = np.diff(np.append(change, len(string)))
+            hit = np.repeat(flags[np.searchsorted(known, tokens[at + 1])], sizes)
             # A run ends after span strings: its bytes are those of its first and its last string.
-            opens = (np.arange(len(lead)) - np.repeat(change, sizes)) % span == 0
-            hit = np.repeat(hit, sizes)
-            kept.append((owner[hit].astype(np.int32), start[hit].astype(np.int32), string[hit], opens[hit]))
+            opens = (np.arange(len(string)) - np.repeat(change, sizes)) % span == 0
+            kept.append((owner[hit], start[hit], string[hit], opens[hit]))
+            parts[at] = None
         empty = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool))
         self.owner, self.start, self.string, opens = (np.concatenate(parts) for parts in zip(empty, *kept, strict=True))
         self.ids, self.drop = ids, string_drop
