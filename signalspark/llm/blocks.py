@@ -144,12 +144,17 @@ def ask(blocks: DataFrame, keys_of: KeysOf, combine: Combine, cuts: np.ndarray,
 
 
 def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combine, cuts: np.ndarray, name: str) -> DataFrame:
-    """``ask`` with a function of the block's whole row."""
+    """``ask`` with a function of the block's whole row.
+
+    The function may give a third array: rows of numbers that belong to the keys (``byte_rows``). Keys are then equal
+    only if their rows are, so that a block may list one key with several rows, and ``combine`` gets a number for
+    each distinct (key, row) in place of the key.
+    """
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, numbers = of_row(row)
+                keys, numbers, *rows = of_row(row)
                 at = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
                 used = np.flatnonzero(at[1:] > at[:-1])
                 yield pa.record_batch(
@@ -158,6 +163,7 @@ def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combin
                         "block_id": pa.array([row["block_id"]] * len(used), pa.int64()),
                         "keys": pa.array([pack(keys[at[r] : at[r + 1]], True) for r in used], pa.binary()),
                         "numbers": pa.array([pack(numbers[at[r] : at[r + 1]]) for r in used], pa.binary()),
+                        "rows": pa.array([squeeze(rows[0][at[r] : at[r + 1]].tobytes()) if rows else None for r in used], pa.binary()),
                     }
                 )
         release()
@@ -166,9 +172,15 @@ def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combin
         runs = [unpack(k.as_py(), ordered=True) for k in part.column("keys")]
         keys = np.concatenate(runs)
         numbers = np.concatenate([unpack(n.as_py()) for n in part.column("numbers")])
-        order = np.argsort(keys, kind="stable")
         replies = np.empty(len(keys), np.uint32)
-        replies[order] = combine(keys[order], numbers[order])
+        if part.column("rows").null_count:
+            order = np.argsort(keys, kind="stable")
+            replies[order] = combine(keys[order], numbers[order])
+        else:
+            packed = b"".join(unsqueeze(r.as_py()) for r in part.column("rows"))
+            order, fresh = equal_rows(keys, np.frombuffer(packed, np.uint64).reshape(len(keys), -1))
+            del packed
+            replies[order] = combine(np.cumsum(fresh).astype(np.uint64), numbers[order])
         ends = np.cumsum([len(r) for r in runs])
         del keys, numbers, order
         release()
@@ -180,7 +192,7 @@ def ask_rows(blocks: DataFrame, of_row: Callable[[dict], tuple], combine: Combin
             }
         )
 
-    sent = blocks.mapInArrow(send, "range int, block_id long, keys binary, numbers binary")
+    sent = blocks.mapInArrow(send, "range int, block_id long, keys binary, numbers binary, rows binary")
     replied = sent.groupBy("range").applyInArrow(answer, "block_id long, range int, reply binary")
     gathered = replied.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("range", "reply"))).alias("answers"))
     return stored(gathered.select("block_id", F.col("answers.reply").alias("answers")), name)
@@ -196,3 +208,37 @@ def first_of_equals(keys: np.ndarray) -> np.ndarray:
     starts = np.ones(len(keys), bool)
     starts[1:] = keys[1:] != keys[:-1]
     return np.flatnonzero(starts)
+
+
+def byte_rows(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, widest: int) -> np.ndarray:
+    """The bytes of pieces of ``data`` as rows of numbers: padded with zeros, and with the length at the end."""
+    words = -(-widest // 8)
+    rows = np.zeros((len(at), words + 1), np.uint64)
+    if len(at):
+        whole = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(widest, np.uint8)]), widest)
+        text = rows.view(np.uint8)[:, :widest]
+        text[:] = whole[at]
+        if lengths.min() < widest:
+            text[np.arange(widest) >= lengths[:, None]] = 0
+        rows[:, -1] = lengths
+    return rows
+
+
+def equal_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key in which equal (key, row) stand side by side, and where in it distinct ones begin."""
+
+    def fresh_in(order):
+        fresh, other = np.ones(len(order), bool), np.ones(len(order), bool)
+        own = keys[order]
+        other[1:] = own[1:] != own[:-1]
+        fresh[1:] = other[1:]
+        near = np.flatnonzero(~other)
+        fresh[near] = (rows[order[near]] != rows[order[near - 1]]).any(axis=1)
+        return fresh, bool((fresh & ~other).any())
+
+    order = np.argsort(keys, kind="stable")
+    fresh, mixed = fresh_in(order)
+    if mixed:  # one key for different rows: these are ordered too
+        order = np.lexsort((*rows.T, keys))
+        fresh, _ = fresh_in(order)
+    return order, fresh

@@ -9,12 +9,16 @@ by content, in a way that misses nothing:
 2. *Sampled splitters.* The tokens of all blocks of texts are range-partitioned at splitters sampled from them.
    A range is sorted locally, by token and then document, and neighbours are compared: a token in one document
    only can't lead a repeated string. (Equal tokens are in one range, so nothing crosses its borders.)
-3. *Comparison of runs.* Neighbouring 50-byte strings with one shared leading token form a run. Runs are sorted
-   the same way by a hash of their bytes: all but the first document of each group of equals mark the run's strings.
-4. *Comparison of strings.* The strings of the runs that are left are sorted by their own hash, and marked likewise.
+3. *Comparison of runs.* Neighbouring 50-byte strings with one shared leading token form a run. Runs are dealt by a
+   hash of their bytes, with their bytes: all but the first document of each group of equals mark the run's strings.
+4. *Comparison of strings.* Of the strings of the runs that are left, hashes are dealt first; those with a hash of two
+   documents or more are dealt again with their bytes, and marked likewise.
    Nothing is missed: the smallest document of a string has it in a run that no smaller document has, so it takes
    part here, and every other document meets it here or was marked with a whole run.
 
+Hashes only find candidates and place them: what is removed was compared byte for byte, and different runs or
+strings of one hash are groups of their own.
+
 A range sees a token, run or string once per block, with the smallest document of the block, however many documents
 share it.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.llm import blocks as B
-from signalspark.llm.common import query, table
+from signalspark.llm.common import query, release, stored, table
 
 SPAN = 50
 TOKEN = 24
@@ -149,64 +153,106 @@ def _seen_before(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (low < docs).astype(np.uint32)
 
 
-class _Found:
-    """Numbers of a block's strings or runs under their keys, and which of them a smaller document has."""
+class _Pieces:
+    """Byte strings of a block under their hashes. Which of them are equal, their bytes say."""
 
-    def __init__(self, hashes: np.ndarray, docs: np.ndarray, drop: np.uint64):
-        self.hashes, self.docs, self.drop = hashes, docs, drop
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray):
+        order, fresh = B.equal_rows(hashes, rows)
+        starts = np.flatnonzero(fresh)
+        self.docs, self.group = docs, np.empty(len(docs), np.int64)
+        self.group[order] = np.cumsum(fresh) - 1
+        self.picked = order[starts]
+        self.hashes, self.rows = hashes[self.picked], rows[self.picked]
+        own = docs[order]
+        self.low = np.minimum.reduceat(own, starts) if len(starts) else own
+        self.high = np.maximum.reduceat(own, starts) if len(starts) else own
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return _first_documents(self.hashes >> self.drop, self.docs)
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        several = (self.low != self.high).astype(np.uint64)
+        return self.hashes, (_place(self.low) << np.uint64(1)) | several, self.rows
 
     def repeated(self, before: np.ndarray) -> np.ndarray:
-        keys, first = self.keys()
-        at = np.searchsorted(keys, self.hashes >> self.drop)
-        return before[at].astype(bool) | ((first[at] >> np.uint64(1)) < _place(self.docs))
+        """Which of the pieces a smaller document has, here or in another block."""
+        return before.astype(bool)[self.group] | (self.low[self.group] < self.docs)
 
 
-class _Strings:
-    """The span-byte strings of a block whose leading token is shared, in runs of one leading token."""
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of texts, and where each begins."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+
 
-    def __init__(self, texts, ids, span, token, drop, string_drop, shared: np.ndarray):
+class _Runs:
+    """The runs of a block: neighbouring strings with one shared leading token, at most span of them."""
+
+    def __init__(self, texts, ids, span, token, drop, hash_drop, shared: np.ndarray):
         parts, tokens = [], [np.zeros(0, np.uint64)]
         for owner, start, lead, string in strings_of(texts, span, token):
             # Neighbouring strings mostly have one leading token: it is looked up once per run.
             fresh = np.ones(len(lead), bool)
             fresh[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
             change = np.flatnonzero(fresh)
-            tokens.append(lead[change] >> drop)
-            parts.append((owner.astype(np.int32), start.astype(np.int32), string, change))
-        known = np.unique(np.concatenate(tokens))  # the keys that were asked about, in the same order
-        flags = shared.astype(bool)
-        kept = []
-        for at, (owner, start, string, change) in enumerate(parts):
             sizes = np.diff(np.append(change, len(string)))
-            hit = np.repeat(flags[np.searchsorted(known, tokens[at + 1])], sizes)
             # A run ends after span strings: its bytes are those of its first and its last string.
-            opens = (np.arange(len(string)) - np.repeat(change, sizes)) % span == 0
-            kept.append((owner[hit], start[hit], string[hit], opens[hit]))
-            parts[at] = None
-        empty = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool))
-        self.owner, self.start, self.string, opens = (np.concatenate(parts) for parts in zip(empty, *kept, strict=True))
-        self.ids, self.drop = ids, string_drop
-        self.first = np.flatnonzero(opens)
-        self.sizes = np.diff(np.append(self.first, len(self.string)))
-
-    def runs(self) -> _Found:
-        head, tail = self.string[self.first], self.string[self.first + self.sizes - 1]
-        whole = _mix(_mix(head * np.uint64(_FACTOR) + self.sizes.astype(np.uint64)) + tail)
-        return _Found(whole, self.ids[self.owner[self.first]], self.drop)
-
-    def single(self, seen_runs: np.ndarray) -> tuple[np.ndarray, _Found]:
-        """Which strings lie in repeated runs, and the others."""
-        done = np.repeat(self.runs().repeated(seen_runs), self.sizes)
-        return done, _Found(self.string[~done], self.ids[self.owner[~done]], self.drop)
-
-    def marked(self, seen_runs: np.ndarray, seen_strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = np.flatnonzero((np.arange(len(string)) - np.repeat(change, sizes)) % span == 0)
+            many = np.diff(np.append(first, len(string)))
+            tokens.append(lead[first] >> drop)
+            parts.append((owner[first], start[first], many, string[first], string[first + many - 1]))
+        known = np.unique(np.concatenate(tokens))  # the keys that were asked about, in the same order
+        flags = shared.astype(bool)
+        whole = np.zeros(0, np.int64)
+        columns = (whole, whole, whole, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        hits = [flags[np.searchsorted(known, own)] for own in tokens[1:]]
+        kept = [[c[hit] for c in part] for part, hit in zip(parts, hits, strict=True)]
+        self.owner, self.start, self.sizes, head, tail = (np.concatenate(c) for c in zip(columns, *kept, strict=True))
+        hashes = _mix(_mix(head * np.uint64(_FACTOR) + self.sizes.astype(np.uint64)) + tail) >> hash_drop
+        data, begins = _joined(texts)
+        rows = B.byte_rows(data, begins[self.owner] + self.start, self.sizes + span - 1, 2 * span - 1)
+        self.pieces = _Pieces(hashes, ids[self.owner], rows)
+
+    def packed(self, which: np.ndarray) -> bytes:
+        """Owner, start and size of the chosen runs."""
+        numbers = np.stack([np.diff(self.owner[which], prepend=0), self.start[which], self.sizes[which]]).astype(np.uint32)
+        planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(3, numbers.shape[1], 4)
+        return B.squeeze(planes.transpose(0, 2, 1).tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(B.unsqueeze(data), np.uint8)
+    planes = np.ascontiguousarray(planes.reshape(3, 4, len(planes) // 12).transpose(0, 2, 1))
+    owner, start, size = planes.reshape(-1).view(np.uint32).reshape(3, -1).astype(np.int64)
+    return np.cumsum(owner), start, size
+
+
+class _Strings:
+    """The span-byte strings of the runs that no smaller document has whole."""
+
+    def __init__(self, texts, ids, span, token, hash_drop, left: bytes):
+        owner, start, sizes = _unpacked(left)
+        held = [texts[o][a : a + n + span - 1] for o, a, n in zip(owner.tolist(), start.tolist(), sizes.tolist(), strict=True)]
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        parts = ((run, at, string) for run, at, _, string in strings_of(held, span, token))
+        run, at, string = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
+        self.span, self.hashes = span, string >> hash_drop
+        self.owner, self.start = owner[run], start[run] + at
+        self.docs = ids[self.owner]
+        self.data, begins = _joined(held)
+        self.at = begins[run] + at
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return _first_documents(self.hashes, self.docs)
+
+    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, _Pieces]:
+        """Which strings have a hash of several documents, and these with their bytes."""
+        hit = np.flatnonzero(shared.astype(bool)[np.searchsorted(np.unique(self.hashes), self.hashes)])
+        rows = B.byte_rows(self.data, self.at[hit], np.full(len(hit), self.span), self.span)
+        return hit, _Pieces(self.hashes[hit], self.docs[hit], rows)
+
+    def marked(self, shared: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, start) of the strings that also start in a smaller document."""
-        done, others = self.single(seen_runs)
-        done[~done] = others.repeated(seen_strings)
-        return self.owner[done], self.start[done]
+        hit, pieces = self.candidates(shared)
+        hit = hit[pieces.repeated(seen)]
+        return self.owner[hit], self.start[hit]
 
 
 def _spans(texts: list[bytes], owner: np.ndarray, start: np.ndarray, span: int):
@@ -239,12 +285,12 @@ def repeated_spans(
     """A row per document: sizes, removed byte runs, the kept bytes (if wanted) and their SHA-256.
 
     Null and empty texts, and texts under ``span`` bytes, lose nothing. Rows of one id are one document and don't
-    remove each other's bytes; rows without an id come after all others. Strings are told apart by 64-bit hashes
-    of which as many bits are kept as the input's size asks for.
+    remove each other's bytes; rows without an id come after all others. Candidates are found by hashes of as many
+    bits as the input's size asks for, and compared byte for byte.
     """
     stock = B.to_blocks(docs, id_name, text)
     total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    # 21 bits more than the number of keys has: a chance match is about as rare at every size.
+    # As many bits more than the number of keys has that chance matches cost little: they are only looked at once more.
     drop = np.uint64(64 - min(64, max(1, total // 14).bit_length() + 21))
     string_drop = np.uint64(64 - min(64, max(1, total).bit_length() + 24))
     token_keys = _token_keys(span, token, drop)
@@ -252,15 +298,27 @@ def repeated_spans(
     shared = B.ask(stock, token_keys, _shared, cuts, "shared-tokens")
     paired = stock.join(shared, "block_id", "left")
 
-    def with_tokens(row) -> tuple[np.ndarray, list[bytes], _Strings]:
+    def runs_of(row) -> _Runs:
         ids, texts = B.open_block(row["ids"], row["sizes"], row["texts"])
-        return ids, texts, _Strings(texts, ids, span, token, drop, string_drop, B.read_answers(row["answers"]))
+        return _Runs(texts, ids, span, token, drop, string_drop, B.read_answers(row["answers"]))
 
-    def runs(row):
-        return with_tokens(row)[2].runs().keys()
+    def strings_in(row) -> tuple[np.ndarray, list[bytes], _Strings]:
+        ids, texts = B.open_block(row["ids"], row["sizes"], row["texts"])
+        return ids, texts, _Strings(texts, ids, span, token, string_drop, row["left_runs"])
 
-    def strings(row):
-        return with_tokens(row)[2].single(B.read_answers(row["seen_runs"]))[1].keys()
+    def sort_out(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                runs = runs_of(row)
+                done = runs.pieces.repeated(B.read_answers(row["seen_runs"]))
+                yield pa.record_batch(
+                    {
+                        "block_id": pa.array([row["block_id"]], pa.int64()),
+                        "seen_runs": pa.array([runs.packed(done)], pa.binary()),
+                        "left_runs": pa.array([runs.packed(~done)], pa.binary()),
+                    }
+                )
+        release()
 
     def even_cuts(keys: int) -> np.ndarray:
         ranges = max(B.LEAST_RANGES, keys // B.RANGE_KEYS)
@@ -271,15 +329,27 @@ def repeated_spans(
         return blocks.join(answers.select("block_id", F.col("answers").alias(name)), "block_id", "left")
 
     # How many runs and strings are taken to be shared decides the number of ranges, nothing else.
-    paired = with_answers(paired, B.ask_rows(paired, runs, _seen_before, even_cuts(total // 14), "seen-runs"), "seen_runs")
-    seen = B.ask_rows(paired, strings, _seen_before, even_cuts(total // 2), "seen-strings")
+    seen_runs = B.ask_rows(paired, lambda row: runs_of(row).pieces.keys(), _seen_before, even_cuts(total // 14), "seen-runs")
+    runs = with_answers(paired, seen_runs, "seen_runs").mapInArrow(sort_out, "block_id long, seen_runs binary, left_runs binary")
+    sorted_out = stock.join(stored(runs, "runs"), "block_id")
+    hashes = B.ask_rows(sorted_out, lambda row: strings_in(row)[2].keys(), _shared, even_cuts(total // 2), "shared-strings")
+    sorted_out = with_answers(sorted_out, hashes, "shared_strings")
+
+    def candidates(row):
+        return strings_in(row)[2].candidates(B.read_answers(row["shared_strings"]))[1].keys()
+
+    seen = B.ask_rows(sorted_out, candidates, _seen_before, even_cuts(total // 14), "seen-strings")
 
     def remove(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, texts, found = with_tokens(row)
-                marked = found.marked(B.read_answers(row["seen_runs"]), B.read_answers(row["seen_strings"]))
-                runs = _spans(texts, *marked, span)
+                ids, texts, found = strings_in(row)
+                owner, start = found.marked(B.read_answers(row["shared_strings"]), B.read_answers(row["seen_strings"]))
+                run, first, sizes = _unpacked(row["seen_runs"])
+                within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                owner = np.concatenate([owner, np.repeat(run, sizes)])
+                start = np.concatenate([start, np.repeat(first, sizes) + within])
+                runs = _spans(texts, owner, start, span)
                 kept = []
                 for raw, own in zip(texts, runs, strict=True):
                     edges = [0, *(e for run in own for e in run), len(raw)]
@@ -297,7 +367,7 @@ def repeated_spans(
                     }
                 )
 
-    return with_answers(paired, seen, "seen_strings").mapInArrow(remove, RESULT)
+    return with_answers(sorted_out, seen, "seen_strings").mapInArrow(remove, RESULT)
 
 
 @query()

@@ -170,6 +170,42 @@ def test_repeated_bytes(awkward, empty):
     assert suffixes.repeated_spans(empty).count() == 0
 
 
+def colliding_strings(of_run):
+    """Two 50-byte texts with one leading token whose string hashes (or run hashes) agree in the 32 bits that are kept
+    of 150 bytes of text, and differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    heads = [bytes(h) for h in letters[rng.integers(0, 26, (20_000, 24))]]
+    tokens = suffixes._mix(suffixes._rolling(np.frombuffer(b"".join(heads), np.uint8), (24,))[0][::24])
+    head, token = heads[int(tokens.argmin())], tokens.min()
+    texts = [head + bytes(t) for t in letters[rng.integers(0, 26, (400_000, 26))]]
+    seen = {}
+    at = 0
+    for owner, _, lead, string in suffixes.strings_of(texts, 50, 24):
+        keys = string
+        if of_run:
+            keys = suffixes._mix(suffixes._mix(string * np.uint64(suffixes._FACTOR) + np.uint64(1)) + string)
+        for o, own, key in zip(owner.tolist(), lead.tolist(), (keys >> np.uint64(32)).tolist(), strict=True):
+            if own == token and texts[seen.setdefault(key, o)] != texts[o]:
+                return texts[seen[key]].decode(), texts[o].decode()
+        at += len(owner)
+    raise AssertionError(f"no match among {at} strings")
+
+
+@pytest.mark.parametrize("of_run", [False, True])
+def test_repeated_bytes_of_equal_hashes_are_compared(texts_spark, of_run):
+    one, other = colliding_strings(of_run)
+    rows = [(1, one), (2, other), (3, other)]
+    docs = texts_spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = suffixes.repeated_spans(docs.coalesce(1), with_kept=False).select(*columns).collect()
+    assert Counter(map(tuple, got)) == brute_spans(rows)
+    apart = suffixes.repeated_spans(docs.repartition(3, "doc_id"), with_kept=False).select(*columns).collect()
+    assert Counter(map(tuple, apart)) == brute_spans(rows)
+
+
 def test_repeated_bytes_of_the_test_table(texts_spark):
     docs = texts_spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES["op7_suffix_dedup"](texts_spark, SF).collect()
