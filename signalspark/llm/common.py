@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalspark.session import materialize
 
@@ -43,6 +44,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def drawn(rows: DataFrame, key: str, bound: int, stratum: str | None = None, least: int = 0) -> DataFrame:
+    """One row of each of about ``bound`` distinct keys, spread over the table by a 63-bit hash of the key.
+
+    However many rows share a key, it counts once. Of each stratum come about ``least`` keys, or all it has, even if
+    its share of ``bound`` is smaller. A row per stratum reaches the driver. Raises if nothing is drawn from a table
+    that has rows.
+    """
+    kind = F.lit(0) if stratum is None else F.col(stratum)
+    counted = rows.groupBy(kind.alias("stratum")).agg(F.approx_count_distinct(F.xxhash64(key)).alias("n")).collect()
+    total = sum(r["n"] for r in counted)
+    top = (1 << 63) - 1
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("train"), key), 1)
+    shares = {r["stratum"]: max(bound * r["n"] / max(total, 1), least) / max(r["n"], 1) for r in counted}
+    chosen = F
+    for own, share in shares.items():
+        chosen = chosen.when(kind.eqNullSafe(F.lit(own)), place < min(top, int(share * top)))
+    some = rows.where(chosen) if shares else rows
+    if counted and some.isEmpty():
+        raise ValueError(f"no row was drawn for training, although there are about {total} distinct {key}")
+    return some.dropDuplicates([key] if stratum is None else [key, stratum])
+
+
 def release() -> None:
     """Give freed memory back to the system. Python workers live on between tasks and stages: what their allocators
     keep would add up with the next stage's, beside the executor's JVM."""

@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, table, text_slices
+from signalspark.llm.common import drawn, query, table, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: The models are fitted on about so many labelled documents, spread over the table by hash.
+#: The models are fitted on about so many distinct labelled texts, spread over the table by hash, and at least on
+#: about LEAST_DOCS of each language, or all it has.
 TRAINING_DOCS = 6_000
+LEAST_DOCS = 100
 ROUNDS = 8
 PENALTY = 2.0
 #: Largest number of languages in a document's set.
@@ -83,14 +85,12 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bound: int = TRAINING_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (BUCKETS x languages), from about ``bound`` labelled documents.
+    """Languages and their log-probabilities (BUCKETS x languages), from about ``bound`` distinct labelled texts.
 
     Rows without a language or text are left out. At most BUCKETS numbers per language reach the driver.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, bound / max(labelled.count(), 1))
-    some = labelled.where(F.pmod(F.xxhash64(F.lit("train"), text), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = gram_counts(some, text, lang).collect()
+    rows = gram_counts(drawn(labelled.select(text, lang), text, bound, lang, LEAST_DOCS), text, lang).collect()
     languages = sorted({r["lang"] for r in rows})
     counts = np.zeros((BUCKETS, len(languages)))
     for r in rows:

@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import SLICE_BYTES, query, stored, table, text_slices
+from signalspark.llm.common import SLICE_BYTES, drawn, query, stored, table, text_slices
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on about so many labelled documents, spread over the labels by a hash of the id.
 TRAINING_DOCS = 12_000
+#: Of each label come at least about so many, or all it has.
+LEAST_DOCS = 1_000
 PARTITIONS = 4
 ROUNDS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
@@ -137,8 +139,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, doc: str, text: str, label:
     the texts of the other documents stay where they are.
     """
     labelled = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("_doc"), F.col(label).alias("label"))
-    share = min(1.0, bound / max(labelled.count(), 1))
-    some = labelled.where(F.pmod(F.xxhash64(F.lit("train"), "_doc"), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = drawn(labelled.where("_doc is not null"), "_doc", bound, "label", LEAST_DOCS)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("text"))
     return texts.join(F.broadcast(some), "_doc").select("text", "label")
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import query, table
+from signalspark.llm.common import drawn, query, table
 
 # Fixed patterns of the base scan: kind, pattern, shortest match, regex group whose length counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,7 +27,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Log-likelihood ratio of a secret: in all, and per transition.
 LEAST_SUM = 15.0
 LEAST_MEAN = 0.8
-#: The models are fitted on the labelled strings of about so many documents, spread over the table by hash.
+#: The models are fitted on the labelled strings of about so many distinct texts, spread over the table by hash.
 TRAINING_DOCS = 20_000
 #: Share of the uniform distribution in the random strings' model, and of it in the words' one: both give every
 #: transition a chance.
@@ -99,14 +99,12 @@ def fit_models(labelled: DataFrame, token: str = "token", label: str = "is_rando
 
 
 def corpus_samples(docs: DataFrame, text: str, bound: int = TRAINING_DOCS) -> DataFrame:
-    """(token, is_random): labelled strings from about ``bound`` documents, chosen by a hash of their text.
+    """(token, is_random): labelled strings from about ``bound`` distinct texts, chosen by a hash.
 
     Keys and hex runs of the base scan, and assigned values with letters and digits, are random strings; the words
     of the same texts outside of them are ordinary.
     """
-    rows = docs.count()
-    share = min(1.0, bound / max(rows, 1))
-    some = docs.select(text).where(F.pmod(F.xxhash64(F.lit("train"), text), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = drawn(docs.select(text).where(F.col(text).isNotNull()), text, bound)
     found = base_spans(some, text)
     values = F.transform("assign", lambda x: F.regexp_extract(x["t"], ASSIGN, 2))
     random = F.array_distinct(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from signalspark.llm import decontaminate, fertility, jaccard, langid, pieces, quality, queries, secrets, shards, suffixes
 from signalspark.llm import token_counts
+from signalspark.llm.common import drawn
 from signalspark.llm.components import connected
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -292,6 +293,25 @@ def test_language_of_held_out_texts(texts_spark, awkward, empty):
     assert langid.fit(empty)[0] == []
 
 
+def test_training_sample_of_very_many_rows(texts_spark):
+    """A bound under a millionth of the rows still draws, copies count once, and a rare language is kept."""
+    texts = texts_spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "the one copied text").otherwise(F.concat(F.lit("words of text "), F.col("id").cast("string"))).alias("text"),
+        F.when(F.col("id") == 4, "xx").otherwise("en").alias("lang"),
+    )
+    some = drawn(texts, "text", 300, "lang", 20).collect()
+    assert 200 < len(some) < 400 and len({r.text for r in some}) == len(some) and "xx" in {r.lang for r in some}
+    assert langid.fit(texts, bound=1)[0] == ["en", "xx"]
+    many = texts_spark.range(3_000_000).select("id", F.concat(F.lit("words of text "), F.col("id").cast("string")).alias("text"))
+    labels = many.select("id", (F.col("id") == 7).cast("int").alias("label"))
+    got = Counter(r.label for r in quality.examples_of(many, labels, "id", "text", "label", 2).collect())
+    assert 800 < got[0] < 1_200 and got[1] == 1
+    assert secrets.corpus_samples(many, "text", 2).count() > 0
+    with pytest.raises(ValueError):
+        drawn(texts, "text", 0)
+    assert drawn(texts.limit(0), "text", 10).count() == 0
+
+
 def test_mixture_of_two_languages():
     scores = __import__("numpy").array([[0.0, -9.0, -9.0]] * 30 + [[-9.0, 0.0, -9.0]] * 10)
     shares, n = langid.mixtures(scores, __import__("numpy").zeros(40, int), 1)
