@@ -4,7 +4,9 @@ Each language has a smoothed model of character n-grams of words. A document is
 one of the languages of a set, in unknown proportions. Expectation-maximisation finds the proportions from the
 words' n-gram likelihoods. Sets grow by the languages in the order of their share in the full mixture; the set
 with the best likelihood less a penalty per language (half the logarithm of the number of words, times
-``PENALTY``) is taken.
+``PENALTY``) is taken. A document's set stops growing only when no larger one can be better: no proportions have a
+likelihood above that of the full mixture plus ``n log(max g)``, where ``g`` are the mean ratios of a language's
+likelihood of a word to the mixture's (by Jensen's inequality).
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ TRAINING_DOCS = 6_000
 LEAST_DOCS = 100
 ROUNDS = 8
 PENALTY = 2.0
-#: Largest number of languages in a document's set.
-LARGEST_SET = 4
 #: Distinct words that a worker remembers; above it the memo starts anew.
 MEMO_WORDS = 200_000
 
@@ -126,33 +126,45 @@ def mixtures(scores: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndar
     """
     size = scores.shape[1]
     n_words = np.bincount(owner, minlength=count)
+    best = np.zeros((count, size))
+    has = np.flatnonzero(n_words)
+    if not len(has):
+        return best, n_words
     top = scores.max(axis=1, keepdims=True)
     odds = np.exp(np.maximum(scores - top, -60.0))
-    has = np.flatnonzero(n_words)
-    starts = (np.cumsum(n_words) - n_words)[has]
 
-    def run(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        theta = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-        for _ in range(ROUNDS):
-            weighted = theta[owner] * odds
+    def run(docs: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS):
+        """Proportions, log-likelihoods and highest mean ratios of some documents, each on its own."""
+        chosen = np.zeros(count, bool)
+        chosen[docs] = True
+        own = odds if len(docs) == len(has) else odds[chosen[owner]]
+        sizes = n_words[docs]
+        at, starts = np.repeat(np.arange(len(docs)), sizes), np.cumsum(sizes) - sizes
+        theta = allowed / allowed.sum(axis=1, keepdims=True)
+        for _ in range(rounds):
+            weighted = theta[at] * own
             weighted /= np.maximum(weighted.sum(axis=1, keepdims=True), 1e-30)
-            sums = np.zeros_like(theta)
-            sums[has] = np.add.reduceat(weighted, starts, axis=0) if len(has) else sums[has]
-            theta = sums / np.maximum(n_words[:, None], 1)
-        fit = np.log(np.maximum((theta[owner] * odds).sum(axis=1), 1e-30))
-        return theta, np.bincount(owner, weights=fit, minlength=count)
-
-    full, _ = run(np.ones((count, size)))
-    order = np.argsort(-full, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    cost = PENALTY * 0.5 * np.log(np.maximum(n_words, 2))
-    best, value = np.zeros((count, size)), np.full(count, -np.inf)
-    for k in range(1, min(LARGEST_SET, size) + 1):
-        theta, fit = run((rank < k).astype(np.float64))
-        penalised = fit - cost * k
-        better = penalised > value
-        best[better], value[better] = theta[better], penalised[better]
-        if k > 1 and not better.any():
+            theta = np.add.reduceat(weighted, starts, axis=0) / sizes[:, None]
+        mixed = np.maximum((theta[at] * own).sum(axis=1), 1e-30)
+        ratios = np.add.reduceat(own / mixed[:, None], starts, axis=0) / sizes[:, None]
+        return theta, np.bincount(at, weights=np.log(mixed), minlength=len(docs)), ratios.max(axis=1)
+
+    full, full_fit, ratio = run(has, np.ones((len(has), size)))
+    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+    n = n_words[has]
+    limit = full_fit + n * np.log(ratio) + 1e-6  # and what rounding may add
+    cost = PENALTY * 0.5 * np.log(np.maximum(n, 2))
+    value, going = np.full(len(has), -np.inf), np.arange(len(has))
+    for k in range(1, size + 1):
+        if k == size:
+            theta, fit = full[going], full_fit[going]
+        else:
+            theta, fit, _ = run(has[going], (rank[going] < k).astype(np.float64), ROUNDS if k > 1 else 0)
+        penalised = fit - cost[going] * k
+        better = penalised > value[going]
+        best[has[going[better]]], value[going[better]] = theta[better], penalised[better]
+        going = going[limit[going] - cost[going] * (k + 1) > value[going]]
+        if not len(going):
             break
     return best, n_words
 

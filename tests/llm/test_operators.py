@@ -318,6 +318,26 @@ def test_mixture_of_two_languages():
     assert n[0] == 40 and abs(shares[0][0] - 0.75) < 0.01 and abs(shares[0][1] - 0.25) < 0.01 and shares[0][2] == 0
 
 
+def test_mixtures_do_not_depend_on_their_neighbours():
+    import numpy as np
+
+    # The second language by share gains little, the third one much: one more language is worth it only with both.
+    three = np.array([[0.0, -9.0, -9.0]] * 60 + [[-3.5, 0.0, -9.0]] * 6 + [[-30.0, -30.0, 0.0]] * 2)
+    mixed = np.array([[0.0, -9.0, -9.0]] * 30 + [[-9.0, 0.0, -9.0]] * 30)
+    plain = np.array([[0.0, -9.0, -9.0]] * 50)
+    alone = langid.mixtures(three, np.zeros(68, int), 1)[0][0]
+    both = langid.mixtures(np.concatenate([plain, three, mixed]), np.repeat([0, 2, 3], [50, 68, 60]), 5)[0]
+    assert alone[2] > 0 and (both[2] == alone).all() and (both[0] == [1, 0, 0]).all() and not both[[1, 4]].any()
+
+
+def test_mixture_of_seven_languages():
+    import numpy as np
+
+    scores = np.where(np.eye(7, dtype=bool), 0.0, -9.0).repeat(30, axis=0)
+    shares, _ = langid.mixtures(scores, np.zeros(210, int), 1)
+    assert (abs(shares[0] - 1 / 7) < 0.01).all()
+
+
 def test_quality_of_held_out_texts(texts_spark):
     truth = {r.doc_id: r.quality for r in texts_spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op3_quality_ftrl"](texts_spark, SF).collect() if r.held_out and r.doc_id in truth]
