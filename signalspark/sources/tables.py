@@ -16,6 +16,8 @@ from signalspark.session import materialize
 from signalspark.sources import csv
 
 SERIES_ORDER = "_order"
+#: The window as a number; windows that are none come after all others.
+WINDOW_ORDER = "_window"
 
 
 @dataclass(frozen=True)
@@ -94,11 +96,17 @@ def joined_rows(
 
 
 def with_series_order(rows: DataFrame) -> DataFrame:
-    """One number that never decreases along (task order, repetition, window), to cut long series by."""
-    window = F.coalesce(F.col("Window").try_cast("double"), F.lit(65535.0))
-    inner = F.greatest(F.lit(0.0), F.least(F.floor(window).cast("double"), F.lit(65535.0)))
-    middle = F.greatest(F.lit(0.0), F.least(F.col("rep_norm").cast("double"), F.lit(65535.0)))
-    return rows.withColumn(SERIES_ORDER, F.col("task_order") * 4294967296.0 + middle * 65536.0 + inner)
+    """The window as a number, and one number that never decreases along (task order, repetition, window).
+
+    Long series are cut by the latter. Rows that share it (many windows beyond millions do) are ordered by the three
+    themselves.
+    """
+    window = F.col("Window").try_cast("double")
+    window = F.when(window.isNull() | F.isnan(window), F.lit(float("inf"))).otherwise(window)
+    at = F.greatest(F.lit(0.0), F.least(window, F.lit(1e15)))
+    middle = F.greatest(F.lit(0.0), F.least(F.col("rep_norm").cast("double"), F.lit(1048575.0)))
+    order = F.col("task_order") * 1048576.0 + middle + at / (at + 65536.0)
+    return rows.withColumns({WINDOW_ORDER: window, SERIES_ORDER: order})
 
 
 def feature_dataset(
@@ -125,7 +133,7 @@ def typed_frame(rows: DataFrame, schema: SignalSchema, options: TableOptions, ti
     layout = SeriesLayout.fit(rows, "ID", SERIES_ORDER)
     codes = clean.label_codes(rows, "class_norm", clean.vocabulary_layout(rows, "class_norm"))
     rows = clean.category_codes(rows, "class_norm", schema.specialization, materialize(codes, "codes"))
-    series = [SERIES_ORDER, "task_order", "rep_norm", "Window", *([tie] if tie else [])]
+    series = [SERIES_ORDER, "task_order", "rep_norm", WINDOW_ORDER, "Window", *([tie] if tie else [])]
     rows = number_rows(rows, ["ID"], series, layout, pos=schema.time_idx)
 
     def measured(name: str):

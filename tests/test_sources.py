@@ -138,6 +138,22 @@ def test_feature_tables(spark, tmp_path, request, cut):
     assert {r.worker_id for r in router.load(spark, {"dataset": kept}, SCHEMA).collect()} == {"7"}
 
 
+@pytest.mark.parametrize("cut", [False, True])
+def test_feature_tables_with_late_windows(spark, tmp_path, request, cut):
+    if cut:
+        request.getfixturevalue("cut_series")
+    root = str(tmp_path)
+    windows = [100_000, 70_000, 9_000, 65_536, 65_535, *range(200_000, 200_030), 1_000_000]
+    lines = [f"7,Rest,0,{w},{w},1,1,1" for w in windows] + [f"7,Rest,{r},0,{-r},1,1,1" for r in (100_000, 70_000)]
+    put(root, "features/bio_features_60s.csv", "ID,Class,Repetition,Window,HRV_MeanNN,EDA_mean,EMG_RMSE,RRV_MeanBB\n" + "\n".join(lines) + "\n")
+    labels = [f"7,rest,{r},50,3" for r in (0, 70_000, 100_000)]
+    put(root, "features/labels.csv", "ID,Class,Repetition,NASA,Valence\n" + "\n".join(labels) + "\n")
+    put(root, "participants_task_overview.csv", "ID,rest_0\n7,x\n")
+    cfg = {"dataset": {"name": "multiphysio", "path": root, "multiphysio": {"min_rows_per_worker": 1}}}
+    got = [r.ecg for r in router.load(spark, cfg, SCHEMA).orderBy("time_idx").collect()]
+    assert got == [*map(float, sorted(windows)), -70_000.0, -100_000.0]
+
+
 def test_labels_need_their_columns(spark):
     bio = spark.createDataFrame([("1", "rest", "0", 0)], "ID string, Class string, Repetition string, Window int")
     with pytest.raises(ValueError, match="NASA"):
