@@ -29,9 +29,3 @@ def cut_series(spark):
 @pytest.fixture(scope="session")
 def sf():
     return SF_DIR
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted by the given or all columns."""
-    names = list(order) or df.columns
-    return [tuple(r) for r in df.orderBy(*names).collect()]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from signalspark.layout import SeriesLayout, exact_quantiles, number_rows, running_totals

@@ -3,7 +3,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from signalspark.operators import compare
 from signalspark.plans import diagnostics, experiment
