@@ -17,11 +17,12 @@ MODULES = (
     "fertility",
     "shards",
     "secrets",
+    "ranked",
 )
 
 
 def load() -> tuple[dict, dict]:
-    """Queries and SQL of the ten operators, and the pipeline over them."""
+    """Queries and SQL of the operators."""
     for module in MODULES:
         import_module(f"signalspark.llm.{module}")
     return QUERIES, SQL
