@@ -18,6 +18,8 @@ MODULES = (
     "shards",
     "secrets",
     "ranked",
+    "conversations",
+    "licenses",
 )
 
 
