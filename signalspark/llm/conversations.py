@@ -392,7 +392,81 @@ def _found(column: str, none: Column) -> Column:
     return F.coalesce(F.col(column), none).alias(column)
 
 
-@query()
+def _sql_option(letter: str, cost: str, to: str, line: str | None, when: str = "true") -> str:
+    rows = f"{to}.r" if line is None else f"list_prepend({line}, {to}.r)"
+    return f"CASE WHEN {when} THEN {{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 'r': {rows}}} END"
+
+
+def _sql_row(q: int) -> str:
+    """Least edit of one row in state q, as (cost, letters, rows) with all that follows."""
+    kept = [f"'{'sua'[k]}' THEN s{to}" for (state, k), to in KEPT.items() if state == q]
+    to = f"(CASE initial WHEN {' WHEN '.join(kept)} END)"
+    forced = ROLES[EMITS[FORCED[q]]]
+    options = [
+        _sql_option("D", f"{DELETE}", f"s{q}", None),
+        _sql_option("K", f"CASE WHEN cut THEN {TRUNCATED} ELSE 0 END", to, "role || ':' || text", f"NOT gone AND {to} IS NOT NULL"),
+        _sql_option("R", f"{REROLE} + CASE WHEN cut THEN {TRUNCATED} ELSE 0 END", f"s{FORCED[q]}", f"'{forced}:' || text", "NOT gone"),
+    ]
+    return f"list_min([{', '.join(options)}]) AS t{q}"
+
+
+def _sql_inserted(q: int, own: str, to: str) -> str:
+    return f"list_min([{own}, {_sql_option('I', str(INSERT), to, repr(ROLES[EMITS[FORCED[q]]] + ':'))}])"
+
+
+#: The least (cost, letters) of every state, row by row from each conversation's end. CRC32 by its table of 256
+#: remainders, which a rule gives.
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS t
+  FROM range(256) r(n)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: unicode(x)::BIGINT) AS key
+  FROM conversations),
+kinds AS (
+  SELECT * EXCLUDE (t), xor(4294967295, list_reduce([4294967295] || key,
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM kinds),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') AS ending FROM damaged),
+seen AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate FROM placed),
+faults AS (SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND ending AS cut FROM seen),
+back(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT conv_id, max(n) + 1, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}},
+    {{'c': 6::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']}}, {{'c': 3::BIGINT, 'a': 'I', 'r': ['assistant:']}},
+    {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} FROM faults GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, {_sql_inserted(0, "t0", "u")}, {_sql_inserted(1, "t1", "u")}, u, {_sql_inserted(3, "t3", "t2")}
+  FROM (SELECT *, {_sql_inserted(2, "t2", "t3")} AS u FROM (
+    SELECT f.conv_id, f.pos, {", ".join(_sql_row(q) for q in range(4))}
+    FROM back JOIN faults f ON f.conv_id IS NOT DISTINCT FROM back.conv_id AND f.pos = back.pos - 1))),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(duplicate) AS duplicate, count_if(cut) AS truncated FROM faults GROUP BY conv_id),
+pairs AS (
+  SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS p FROM faults),
+wrong AS (SELECT conv_id, count_if(p NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit,
+  sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN wrong w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.pos = 1
+"""
+
+
+@query(OP12_SQL)
 def op12_viterbi_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     mended = repair(damaged(rows))

@@ -223,7 +223,55 @@ def _joined(labels) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-@query()
+def _rows(pairs) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
+
+
+OP13_SQL = rf"""
+WITH low AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+lined AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS l
+  FROM low),
+sized AS (
+  SELECT doc_id, line, regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lined),
+parted AS (
+  SELECT *, sum((len(w) = 0)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line) AS part,
+    coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized),
+word AS (
+  SELECT doc_id, line, part, before + generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS w FROM parted WHERE len(w) > 0),
+pair AS (
+  SELECT *, lead(w) OVER d AS w2, lead(w, 2) OVER d AS w3, lead(line) OVER d AS line2, lead(part) OVER d AS part2
+  FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+phrase(p, label) AS (VALUES {_rows(PHRASES.items())}),
+base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels
+  FROM pair JOIN phrase ON p = concat_ws(' ', w, w2) OR p = concat_ws(' ', w, w2, w3) GROUP BY doc_id),
+template(label, text) AS (VALUES {_rows(TEMPLATES)}),
+tw AS (
+  SELECT row_number() OVER () AS t, label, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM template),
+tp AS (
+  SELECT DISTINCT t, label, w[i] AS w, w[i + 1] AS w2 FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)),
+tn AS (SELECT t, count(*) AS n FROM tp GROUP BY t),
+block AS (
+  SELECT doc_id, 0 AS kind, line AS k, w, w2 FROM pair WHERE line = line2
+  UNION SELECT doc_id, 1, part, w, w2 FROM pair WHERE part = part2),
+met AS (
+  SELECT doc_id, label, count(*) / max(n) AS share FROM block JOIN tp USING (w, w2) JOIN tn USING (t)
+  GROUP BY doc_id, kind, k, t, label HAVING {THRESHOLD[1]} * count(*) >= {THRESHOLD[0]} * max(n)),
+own AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM met GROUP BY doc_id),
+total AS (SELECT doc_id, sum(len(w))::BIGINT AS n_words FROM sized GROUP BY doc_id)
+SELECT low.doc_id, n_words, coalesce(base.n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, array_to_string(list_sort(list_distinct(coalesce(base.labels, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(own.labels, []))), ',') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM low JOIN total USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+@query(OP13_SQL)
 def op13_template_join(spark, sf_dir):
     found = find_licenses(table(spark, sf_dir, "documents"))
     own = F.transform("base", lambda b: b["label"])

@@ -16,7 +16,7 @@ from signalspark.llm.common import drawn
 from signalspark.llm.components import connected
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, piece_ids string"
 QUERIES, SQL = queries.load()
 
@@ -52,9 +52,10 @@ def test_query_equals_sql(texts_spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(SQL[name]).df()
-    got = QUERIES[name](texts_spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(str, got.values.tolist())) == sorted(map(str, want.values.tolist()))
+    want = con.execute(SQL[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](texts_spark, SF).select(columns).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want.fetchall()))
 
 
 def test_token_counts_equal_the_library(awkward):
