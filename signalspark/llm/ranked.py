@@ -6,8 +6,9 @@ of bounded size, of which Spark holds one a row; however many documents share an
 
 For a set of query items each stratum has a bound: the best that a document with the largest counts seen in one of
 its blocks could score. An item visits strata from the highest bound down, more of them in each round, and leaves
-out those whose bound is under the score of its last place so far. Nothing is lost: the results are those of scoring
-all documents.
+out those whose bound is under the score of its last place so far. A round is told to the tasks as two bounds per
+item, between which a block's own bound must lie; so blocks are read where they are and never shuffled. Nothing is
+lost: the results are those of scoring all documents.
 
 Query items are handled in blocks of about ``QUERY_BYTES`` of terms, which bounds what is sent to every task.
 """
@@ -257,8 +258,11 @@ class _Leaders:
             self.floor[item] = max(self.floor[item], scores[order[-1]])
 
 
-def score_blocks(asked: QueryBlock, floor: np.ndarray, top: int) -> Callable:
-    """Scores the items that visit a block against its documents; each task returns its best ones per item."""
+def score_blocks(asked: QueryBlock, floor: np.ndarray, low: np.ndarray, high: np.ndarray, top: int) -> Callable:
+    """Scores the items that visit a block against its documents; each task returns its best ones per item.
+
+    An item visits the blocks whose bound is at least ``low``, under ``high``, and not under its last place's score.
+    """
     pairs = np.searchsorted(asked.item, np.arange(len(asked.numbers) + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +271,7 @@ def score_blocks(asked: QueryBlock, floor: np.ndarray, top: int) -> Callable:
             for i, m in enumerate(batch.column("m").to_pylist()):
                 places = asked.places(batch.column("terms")[i].values)
                 bounds = block_bounds(asked, m, places, _row_values(batch, i, "max_tf"))
-                visit = np.unique(_row_values(batch, i, "items"))
-                visit = visit[bounds[visit] >= np.maximum(1, leaders.floor[visit])]
+                visit = np.flatnonzero((bounds >= np.maximum(low, leaders.floor)) & (bounds < high))
                 if not len(visit):
                     continue
                 ids, docs = _row_values(batch, i, "doc_ids"), _row_values(batch, i, "docs")
@@ -312,20 +315,25 @@ def _search_block(index: Index, asked: QueryBlock, top: int) -> DataFrame:
     bounds = stored(stratum_bounds(index, asked).withColumn("place", F.row_number().over(ranked)), "stratum-bounds")
     furthest = bounds.agg(F.max("place")).first()[0] or 0
     best = spark.createDataFrame([], "item long, doc_id long, score long, place int")
-    floor, reached = np.zeros(len(asked.numbers), np.int64), 0
+    floor, high, reached = np.zeros(len(asked.numbers), np.int64), np.full(len(asked.numbers), np.iinfo(np.int64).max), 0
     while reached < furthest:
         reach = min(furthest, max(FIRST_STRATA, reached * FIRST_STRATA))
-        floors = spark.createDataFrame([(k, int(s)) for k, s in enumerate(floor)], "item long, floor long")
-        visits = bounds.where((F.col("place") > reached) & (F.col("place") <= reach)).join(F.broadcast(floors), "item")
-        visits = visits.where("bound >= floor").groupBy("m").agg(F.collect_list("item").alias("items"))
-        found = index.blocks.join(visits, "m").mapInArrow(score_blocks(asked, floor, top), "item long, doc_id long, score long")
+        # At most one number per item of the block; an item with no stratum at this place visits all that are left.
+        low = np.ones(len(asked.numbers), np.int64)
+        if reach < furthest:
+            for row in bounds.where(F.col("place") == reach).collect():
+                low[row["item"]] = row["bound"]
+        scored = score_blocks(asked, floor, low, high, top)
+        found = index.blocks.mapInArrow(scored, "item long, doc_id long, score long")
         order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
         both = best.select("item", "doc_id", "score").unionByName(found)
         best = stored(both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top), "leaders")
         # At most one number per item of the block.
         for row in best.where(F.col("place") == top).collect():
             floor[row["item"]] = row["score"]
-        reached = reach
+        high, reached = low, reach
+        if (floor >= high).all():
+            break
     names = spark.createDataFrame([(k, n) for k, n in enumerate(asked.numbers)], "item long, number long")
     return best.join(F.broadcast(names), "item").select("number", "doc_id", "score", "place")
 
