@@ -1,139 +1,323 @@
 """Online normalisation and window cutting on a stream of signal rows.
 
-State is kept per worker and bounded: warm-up rows and running moments, or the rows of one open window. A
-worker's rows of one trigger are handled together, so triggers should be rate limited at the source
-(``maxFilesPerTrigger`` and the like). Rows that arrive behind a worker's newest row are dropped.
+Rows may arrive in any order within the watermark's delay. Each worker's rows wait in keyed state, in slices of event
+time; when the watermark has passed a slice its timer releases it, in order, to the recurrence or the window cutter.
+A worker thus needs the rows of its open slices and a state of fixed size: the warm-up rows and moments, or the last
+rows of the open window. One slice of one worker is in memory at a time.
+
+Rows of a slice that has been released are late. They are not dropped: they come out at once, marked ``late``, and
+``drain`` writes them to a folder of their own, with their number. Rows without a worker are heartbeats, which only
+move the watermark; ``drain`` ends with one, so that the last slices and short workers come out too.
+
+State lives in RocksDB, which ``drain`` sets for its query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from signalspark.operators.normalize import online_states, warm_start
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MICROS = 1000
+#: Event time of the closing heartbeat, in microseconds: the year 9999.
+CLOSING = 253_370_764_800_000_000
 
-def _arrivals(batches: Iterator[pd.DataFrame], order: Sequence[str], newest: tuple | None) -> pd.DataFrame:
-    rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-    if newest is None:
-        return rows
-    places = pd.Series(list(zip(*[rows[c] for c in order], strict=True)), index=rows.index)
-    return rows[places > newest]
 
+@dataclass(frozen=True)
+class Arrival:
+    """How rows are put in order: the watermark's ``delay``, the length of a slice, and after how long without newer
+    rows a worker counts as ended (its timer may come later, never sooner)."""
 
-def normalize_stream(
-    df: DataFrame, columns: Sequence[str], worker: str, order: Sequence[str], alpha: float, warmup: int
-) -> DataFrame:
-    """Exponential z-score per worker; rows wait until the worker's warm-up is complete."""
-    columns, order, warm = list(columns), list(order), max(3, warmup)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in (worker, *order))
-    marks = ", ".join(f"m{i} {kinds[c]}" for i, c in enumerate(order))
-    out_schema = fields + ", " + ", ".join(
-        f"{c} double, baseline_mu_{c} double, baseline_sigma_{c} double" for c in columns
-    )
-    place = ", ".join(f"o{i}: {kinds[c]}" for i, c in enumerate(order))
-    head_type = f"array<struct<{place}, x: array<double>>>"
-    state_schema = f"{marks}, ready boolean, head {head_type}, mu array<double>, var array<double>"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, ready, head, mu, var = None, False, [], None, None
-        if state.exists:
-            *newest, ready, head, mu, var = state.get
-            newest = tuple(newest)
-        rows = _arrivals(batches, order, newest)
-        if len(rows):
-            newest = tuple(rows[c].iloc[-1].item() for c in order)
-        if not ready:
-            waiting = [(*h[: len(order)], list(h[len(order)])) for h in (tuple(h) for h in head)]
-            fresh = zip(*[rows[c] for c in order], rows[columns].to_numpy(dtype=float).tolist(), strict=True)
-            waiting += [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in fresh]
-            if len(waiting) < warm:
-                state.update((*newest, False, waiting, [], []))
-                return
-            rows = pd.DataFrame({c: [w[i] for w in waiting] for i, c in enumerate(order)})
-            values = np.asarray([w[-1] for w in waiting], dtype=float)
-            for j, c in enumerate(columns):
-                rows[c] = values[:, j]
-            starts = [warm_start(rows[c].to_numpy()[:warm]) for c in columns]
-            mu, var = [m for m, _ in starts], [s**2 for _, s in starts]
-        out = rows[order].copy()
-        out.insert(0, worker, key[0])
-        mu, var = list(mu), list(var)
-        for j, c in enumerate(columns):
+    delay: str = "1 hour"
+    slice_ms: int = 3_600_000
+    idle_ms: int = 86_400_000
+
+
+class InOrder(StatefulProcessor):
+    """Hands each worker's rows to ``release`` slice by slice, sorted, and calls ``finish`` once it has ended.
+
+    ``order`` columns sort the rows; the first is a time in microseconds. ``values`` are doubles.
+    """
+
+    def __init__(self, worker: str, order: Sequence[str], kinds: Sequence[str], values: Sequence[str], arrival: Arrival):
+        self.worker, self.order, self.kinds, self.values = worker, list(order), list(kinds), list(values)
+        self.arrival = arrival
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [f"o{i} array<{k}>" for i, k in enumerate(self.kinds)] + [f"v{i} array<double>" for i in range(len(self.values))]
+        self.waiting = handle.getMapState("waiting", "slice long", ", ".join(fields))
+        # First slice that is not released, the newest row's time, and the timer that ends the worker (or -1).
+        self.place = handle.getValueState("place", "open long, newest long, ends long")
+
+    def release(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def finish(self) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def late_rows(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:
+            return
+        opened, newest, ends = self.place.get() if self.place.exists() else (None, None, -1)
+        for chunk in rows:
+            at = chunk[self.order[0]].to_numpy(dtype=np.int64)
+            piece = at // (self.arrival.slice_ms * MICROS)
+            late = np.zeros(len(chunk), dtype=bool) if opened is None else piece < opened
+            if late.any():
+                yield self._named(key, self.late_rows(chunk[late]), True)
+            for one in np.unique(piece[~late]).tolist():
+                self._wait(one, chunk[(piece == one) & ~late])
+            if (~late).any():
+                last = int(at[~late].max())
+                newest = last if newest is None else max(newest, last)
+        if newest is None:
+            return
+        due = newest // MICROS + self.arrival.idle_ms
+        if due > ends:
+            if ends >= 0:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(due)
+            ends = due
+        self.place.update((-(1 << 62) if opened is None else opened, newest, ends))
+
+    def _wait(self, piece: int, rows: pd.DataFrame) -> None:
+        own = [rows[c].tolist() for c in self.order] + [rows[c].to_numpy(dtype=float).tolist() for c in self.values]
+        if self.waiting.containsKey((piece,)):
+            own = [[*old, *new] for old, new in zip(self.waiting.getValue((piece,)), own, strict=True)]
+        else:
+            self.handle.registerTimer((piece + 1) * self.arrival.slice_ms)
+        self.waiting.updateValue((piece,), tuple(own))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        opened, newest, ends = self.place.get()
+        ready = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.arrival.slice_ms <= now)
+        for piece in ready:
+            rows = pd.DataFrame(dict(zip([*self.order, *self.values], self.waiting.getValue((piece,)), strict=True)))
+            self.waiting.removeKey((piece,))
+            opened = piece + 1
+            yield self._named(key, self.release(rows.sort_values(self.order, kind="stable", ignore_index=True)), False)
+        ended = ends >= 0 and now >= ends and not list(self.waiting.keys())
+        if ended:
+            yield self._named(key, self.finish(), False)
+        self.place.update((opened, newest, -1 if ended else ends))
+
+    def _named(self, key, out: pd.DataFrame, late: bool) -> pd.DataFrame:
+        out.insert(0, self.worker, pd.Series([key[0]] * len(out), index=out.index, dtype=object))
+        out["late"] = late
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+class Normalizer(InOrder):
+    def __init__(self, *args, alpha: float, warm: int):
+        super().__init__(*args)
+        self.alpha, self.warm = alpha, warm
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        fields = [f"o{i} array<{k}>" for i, k in enumerate(self.kinds)] + [f"v{i} array<double>" for i in range(len(self.values))]
+        self.head = handle.getValueState("head", ", ".join(fields))
+        self.moments = handle.getValueState("moments", "mu array<double>, var array<double>")
+
+    def _frame(self, rows: pd.DataFrame, z: dict | None) -> pd.DataFrame:
+        out = rows[self.order].reset_index(drop=True)
+        for c in self.values:
             x = rows[c].to_numpy(dtype=float)
-            if not len(x):
-                out[c], out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = x, x, x
-                continue
-            means, sigmas, (mu[j], var[j]) = online_states(x, mu[j], var[j], alpha)
-            out[c] = (np.where(np.isfinite(x), x, means) - means) / np.maximum(sigmas, 1e-6)
-            out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = means, sigmas
-        state.update((*newest, True, [], mu, var))
-        if len(out):
-            yield out
+            out[c], out[f"baseline_mu_{c}"], out[f"baseline_sigma_{c}"] = (x, np.nan, np.nan) if z is None else z[c]
+        return out
 
-    return df.select(worker, *order, *columns).groupBy(worker).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+    def late_rows(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return self._frame(rows, None)
 
+    def _with_held(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows behind those of the warm-up that were released before."""
+        if not self.head.exists():
+            return rows
+        held = pd.DataFrame(dict(zip([*self.order, *self.values], self.head.get(), strict=True)))
+        return pd.concat([held, rows], ignore_index=True) if len(rows) else held
 
-def window_stream(
-    df: DataFrame, column: str, label: str, worker: str, order: Sequence[str], length: int, horizon: int, step: int = 1
-) -> DataFrame:
-    """Windows of ``length`` rows with the label ``horizon`` rows later, as soon as that row arrives."""
-    order = list(order)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    marks = ", ".join(f"m{i} {kinds[c]}" for i, c in enumerate(order))
-    state_schema = f"{marks}, seen long, x array<double>, y array<double>"
-    out_schema = f"`{worker}` {kinds[worker]}, start_idx long, label_idx long, mean double, y double"
-    span = length + horizon
-
-    def cut(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, seen, x, y = None, 0, [], []
-        if state.exists:
-            *newest, seen, x, y = state.get
-            newest = tuple(newest)
-        rows = _arrivals(batches, order, newest)
+    def release(self, rows: pd.DataFrame) -> pd.DataFrame:
+        if not self.moments.exists():
+            rows = self._with_held(rows)
+            if len(rows) < self.warm:
+                self.head.update(tuple(rows[c].tolist() for c in [*self.order, *self.values]))
+                return self._frame(rows[:0], None)
+            self.head.clear()
+            self._start(rows)
+        return self._scored(rows)
+
+    def finish(self) -> pd.DataFrame:
+        """A worker that ended before its warm-up was complete: started from the rows it has."""
+        rows = self._with_held(pd.DataFrame({c: [] for c in [*self.order, *self.values]}))
         if not len(rows):
-            return
-        x = np.concatenate([np.asarray(x, dtype=float), rows[column].to_numpy(dtype=float)])
-        y = np.concatenate([np.asarray(y, dtype=float), rows[label].to_numpy(dtype=float)])
+            return self._frame(rows, None)
+        self.head.clear()
+        self._start(rows)
+        return self._scored(rows)
+
+    def _start(self, rows: pd.DataFrame) -> None:
+        starts = [warm_start(rows[c].to_numpy(dtype=float)[: self.warm]) for c in self.values]
+        self.moments.update(([float(m) for m, _ in starts], [float(s) ** 2 for _, s in starts]))
+
+    def _scored(self, rows: pd.DataFrame) -> pd.DataFrame:
+        mu, var = (list(m) for m in self.moments.get())
+        z = {}
+        for j, c in enumerate(self.values):
+            x = rows[c].to_numpy(dtype=float)
+            means, sigmas, (mu[j], var[j]) = online_states(x, mu[j], var[j], self.alpha)
+            z[c] = (np.where(np.isfinite(x), x, means) - means) / np.maximum(sigmas, 1e-6), means, sigmas
+        self.moments.update(([float(m) for m in mu], [float(v) for v in var]))
+        return self._frame(rows, z)
+
+
+class WindowCutter(InOrder):
+    def __init__(self, *args, length: int, horizon: int, step: int):
+        super().__init__(*args)
+        self.length, self.span, self.step = length, length + horizon, max(1, step)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open_rows = handle.getValueState("open_rows", "seen long, x array<double>, y array<double>")
+
+    def _frame(self, starts, means, labels) -> pd.DataFrame:
+        starts = np.asarray(starts, dtype=np.int64)
+        return pd.DataFrame({"start_idx": starts, "label_idx": starts + self.span - 1, "mean": means, "y": labels})
+
+    def late_rows(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """A late row has no place; its value and label stand in the window's columns."""
+        out = self._frame(np.zeros(len(rows)), rows[self.values[0]].to_numpy(float), rows[self.values[1]].to_numpy(float))
+        return out.assign(start_idx=-1, label_idx=-1)
+
+    def release(self, rows: pd.DataFrame) -> pd.DataFrame:
+        seen, x, y = self.open_rows.get() if self.open_rows.exists() else (0, [], [])
+        x, y = (np.concatenate([old, rows[c].to_numpy(float)]) for old, c in zip((x, y), self.values, strict=True))
         first = seen - (len(x) - len(rows))
         seen += len(rows)
-        starts = np.arange(first, seen - span + 1)
-        starts = starts[(starts % max(1, step)) == 0]
-        if len(starts):
-            views = np.lib.stride_tricks.sliding_window_view(x, length)
-            yield pd.DataFrame(
-                {
-                    worker: key[0],
-                    "start_idx": starts,
-                    "label_idx": starts + span - 1,
-                    "mean": views[starts - first].mean(axis=1),
-                    "y": y[starts - first + span - 1],
-                }
+        starts = np.arange(first + (-first) % self.step, seen - self.span + 1, self.step)
+        kept = max(0, len(x) - (self.span - 1))
+        self.open_rows.update((int(seen), x[kept:].tolist(), y[kept:].tolist()))
+        if not len(starts):
+            return self._frame([], [], [])
+        views = np.lib.stride_tricks.sliding_window_view(x, self.length)[starts - first]
+        return self._frame(starts, views.mean(axis=1), y[starts - first + self.span - 1])
+
+    def finish(self) -> pd.DataFrame:
+        """Windows come out as soon as their label is known; an ended worker has none left."""
+        return self._frame([], [], [])
+
+
+def _keyed(df: DataFrame, worker: str, order: Sequence[str], values: Sequence[str], arrival: Arrival, make, fields: str) -> DataFrame:
+    """Runs a processor per worker.
+
+    The watermark moves with the event time, but the processor sees a plain column: Spark would silently drop rows
+    behind the watermark otherwise, and they are late only if their own worker's slice is gone.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    timed = df.withColumn("_event", F.timestamp_micros(order[0])).withWatermark("_event", arrival.delay)
+    rows = timed.select(worker, *order, *[F.col(c).cast("double").alias(c) for c in values])
+    processor = make(worker, order, [kinds[c] for c in order], values, arrival)
+    schema = f"`{worker}` {kinds[worker]}, {fields}, late boolean"
+    return rows.groupBy(worker).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def normalize_stream(
+    df: DataFrame, columns: Sequence[str], worker: str, order: Sequence[str], alpha: float, warmup: int, arrival: Arrival = Arrival()
+) -> DataFrame:
+    """Exponential z-score per worker, as the batch form gives it for the rows in order.
+
+    The first of ``order`` is a time in microseconds, and ``order`` tells a worker's rows apart. Rows wait until the
+    warm-up is complete, or until the worker has ended with fewer. Late rows keep their values and have no baseline.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    fields = [f"`{c}` {kinds[c]}" for c in order]
+    fields += [f"`{c}` double, `baseline_mu_{c}` double, `baseline_sigma_{c}` double" for c in columns]
+
+    def make(*args) -> Normalizer:
+        return Normalizer(*args, alpha=alpha, warm=max(3, warmup))
+
+    return _keyed(df, worker, list(order), list(columns), arrival, make, ", ".join(fields))
+
+
+def window_stream(
+    df: DataFrame, column: str, label: str, worker: str, order: Sequence[str], length: int, horizon: int, step: int = 1,
+    arrival: Arrival = Arrival(),
+) -> DataFrame:
+    """Windows of ``length`` rows with the label ``horizon`` rows later, once that row's slice is released.
+
+    A late row comes out with start -1, its value as ``mean`` and its label as ``y``.
+    """
+
+    def make(*args) -> WindowCutter:
+        return WindowCutter(*args, length=length, horizon=horizon, step=step)
+
+    fields = "start_idx long, label_idx long, mean double, y double"
+    return _keyed(df, worker, list(order), [column, label], arrival, make, fields)
+
+
+def with_heartbeats(df: DataFrame, folder: str) -> DataFrame:
+    """The stream and the heartbeats that ``drain`` puts into ``folder``."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(folder)
+    return df.unionByName(df.sparkSession.readStream.schema(df.schema).parquet(folder))
+
+
+@dataclass(frozen=True)
+class Drained:
+    """``rows`` in time, the side output ``late``, and how many rows that has."""
+
+    rows: DataFrame
+    late: DataFrame
+
+    def late_count(self) -> int:
+        return self.late.count()
+
+
+def drain(stream: DataFrame, path: str, heartbeats: str | None = None, time: str | None = None) -> Drained:
+    """Process what the source holds now, into files, and read the results.
+
+    With the folder and time column of ``with_heartbeats`` the stream is closed: a heartbeat from the far future
+    releases all that waits. Otherwise the rows of open slices stay in the state for the next call.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .partitionBy("late")
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    try:
+        run()
+        if heartbeats is not None:
+            empty = spark.read.parquet(heartbeats).schema
+            closing = spark.range(1).select(
+                *[F.lit(CLOSING if f.name == time else None).cast(f.dataType).alias(f.name) for f in empty]
             )
-        kept = max(0, len(x) - (span - 1))
-        newest = tuple(rows[c].iloc[-1].item() for c in order)
-        state.update((*newest, int(seen), x[kept:].tolist(), y[kept:].tolist()))
-
-    return df.select(worker, *order, column, label).groupBy(worker).applyInPandasWithState(
-        cut, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def drain(stream: DataFrame, path: str) -> DataFrame:
-    """Process what the source holds now, into files, and read the result."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+            closing.write.mode("append").parquet(heartbeats)
+            run()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return Drained(*[rows.where(F.col("late") == late).drop("late") for late in (False, True)])
