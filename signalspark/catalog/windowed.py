@@ -254,7 +254,7 @@ def beat_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     rows = number_rows(lines, ["worker_id"], order, layout, "_seg_pos", "_seg_n")
     rows = rows.withColumn("time_idx", F.col("_seg_pos").cast("int"))
     cut = cutter(layout, SL, SH, SSTEP)
-    sampled = cut.cut(rows, [*cut.meta(), cut.samples("ecg").alias("_ecg")])
+    sampled = cut.take(rows, cut.marks(), {"_ecg": cut.run("ecg")})
     signals = N.window_signals(F.col("_ecg"), F.col("_ecg"), SL, HZ, True, 0.05, 3)
     spectrum = sampled.select("worker_id", "start_idx", signals.alias("_s")).select("worker_id", "start_idx", "_s.*")
     return spectrum.select("worker_id", "start_idx", *[X.r6(c).alias(c) for c in ("LF", "HF", "LF_HF")])

@@ -58,12 +58,14 @@ def feature_table(
         if extra in schema.signals:
             cheap[f"{extra}_mean"] = F.avg(extra).over(frame)
             cheap[f"{extra}_std"] = F.stddev_pop(extra).over(frame)
-    columns = [*cutter.meta(), *[v.alias(k) for k, v in cheap.items()]]
-    columns += [cutter.samples("ecg").alias("_ecg"), cutter.samples("eda").alias("_eda")]
-    windows = cutter.cut(df, columns)
     if in_jvm:
+        columns = [*cutter.meta(), *[v.alias(k) for k, v in cheap.items()]]
+        columns += [cutter.samples("ecg").alias("_ecg"), cutter.samples("eda").alias("_eda")]
+        windows = cutter.cut(df, columns)
         sampled = _sample_features(windows, cutter.length, hz, frequency, scr_threshold, scr_distance)
     else:
+        frames = {k: (v, 0) for k, v in cheap.items()}
+        windows = cutter.take(df, cutter.marks() | frames, {"_ecg": cutter.run("ecg"), "_eda": cutter.run("eda")})
         signals = N.window_signals(
             F.col("_ecg"), F.col("_eda"), cutter.length, hz, frequency, scr_threshold, scr_distance
         )

@@ -52,28 +52,23 @@ def pad_unseen(df: DataFrame, schema: SignalSchema, target: str) -> DataFrame:
 def sequence_set(df: DataFrame, cutter: Cutter, target: str, use_profiles: bool) -> DataFrame:
     """Full encoder of ``length`` steps and decoder of ``horizon`` steps around every window.
 
-    Unknown reals (signals) have an encoder only; known ones (context, hazard, profile, phase) both parts.
+    Unknown reals (signals) have an encoder only; known ones (context, hazard, profile, phase) both parts. A null
+    keeps its step (in a signal or known real of the encoder as NaN).
     """
     schema = cutter.schema
     known = [*schema.context, schema.hazard]
     if use_profiles:
         known += [f"baseline_{s}_{c}" for s in ("mu", "sigma") for c in schema.physiology]
-    ahead = cutter.series.rowsBetween(cutter.length, cutter.length + cutter.horizon - 1)
-
-    def future(c: str):
-        return F.collect_list(c).over(ahead)
-
-    columns = [
-        F.col(schema.time_idx).cast("int").alias("start_idx"),
-        cutter.label(schema.time_idx).cast("int").alias("label_time_idx"),
-        *[F.col(c) for c in (schema.specialization, schema.experience)],
-        *[cutter.samples(c).alias(f"enc_{c}") for c in [*schema.physiology, *known]],
-        F.collect_list(schema.phase).over(cutter.frame).alias(f"enc_{schema.phase}"),
-        *[future(c).alias(f"dec_{c}") for c in [*known, schema.phase]],
-        future(target).alias("dec_target"),
-        cutter.label(target).alias("y"),
-    ]
-    return cutter.cut(df, columns)
+    label = cutter.length + cutter.horizon - 1
+    time = F.col(schema.time_idx).cast("int")
+    scalars = {"start_idx": (time, 0), "label_time_idx": (time, label)}
+    scalars |= {c: (F.col(c), 0) for c in (schema.specialization, schema.experience)}
+    arrays = {f"enc_{c}": cutter.run(c) for c in [*schema.physiology, *known]}
+    arrays[f"enc_{schema.phase}"] = (F.col(schema.phase), 0, cutter.length)
+    arrays |= {f"dec_{c}": (F.col(c), cutter.length, cutter.horizon) for c in [*known, schema.phase]}
+    arrays["dec_target"] = (F.col(target), cutter.length, cutter.horizon)
+    windows = cutter.take(df, scalars | {"y": (F.col(target), label)}, arrays)
+    return windows.select(*[c for c in windows.columns if c != "y"], "y")
 
 
 def last_per_series(windows: DataFrame, worker: str, order: str = "start_idx") -> DataFrame:
