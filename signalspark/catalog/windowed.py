@@ -11,6 +11,7 @@ from signalspark.functions import samples as N
 from signalspark.layout import SeriesLayout, number_rows
 from signalspark.operators import features, normalize, relate, sequences, stats, windows
 from signalspark.operators.windows import Cutter
+from signalspark.schema import SignalSchema
 
 L, H, STEP = 10, 2, 3
 TL, TH = 4, 1
@@ -144,8 +145,12 @@ def _peaks_sql(source: str, value: str, out: str, extra: str = "") -> str:
 
 
 def beat_sql(hz: float) -> str:
+    return f"""{_peaks_sql("cells", "ecg", "beat")}, {heart_sql(hz)}"""
+
+
+def heart_sql(hz: float) -> str:
     key = "worker_id, split, s"
-    return f"""{_peaks_sql("cells", "ecg", "beat")}, gap AS (
+    return f"""gap AS (
   SELECT {key}, p, (p - lag(p) OVER (PARTITION BY {key} ORDER BY p)) / {hz}::DOUBLE AS g FROM beat
 ), jump AS (
   SELECT {key}, g, (g - lag(g) OVER (PARTITION BY {key} ORDER BY p)) * 1000 AS d FROM gap
@@ -206,6 +211,80 @@ def window_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("worker_id", "split", "start_idx", *[X.r6(c).alias(c) for c in names])
 
 
+def thinned_sql(source: str, out: str, distance: int) -> str:
+    """``out``: the peaks p of ``source`` that are left when taller ones, then later ones, close their neighbourhood."""
+    key = "worker_id, split, s"
+    free = f"len(list_filter(k.ps, lambda q: abs(q - n.p) < {distance})) = 0"
+    return f"""{out}_place AS (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY h DESC, p DESC) AS r FROM {source}
+), {out}_kept AS (
+  SELECT {key}, r, [p] AS ps FROM {out}_place WHERE r = 1
+  UNION ALL
+  SELECT k.worker_id, k.split, k.s, k.r + 1, CASE WHEN {free} THEN list_append(k.ps, n.p) ELSE k.ps END
+  FROM {out}_kept k JOIN {out}_place n ON n.worker_id = k.worker_id AND n.split = k.split AND n.s = k.s AND n.r = k.r + 1
+), {out} AS (
+  SELECT {key}, unnest(ps) AS p FROM (
+    SELECT * FROM {out}_kept QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY r DESC) = 1)
+)"""
+
+
+# Long windows on the lines of each supplier: kernels of 256 samples, beats 38 and skin responses 200 samples apart. The
+# comparison rounds samples to nine digits before it looks for responses, so their mean height is compared to four.
+LONG_L, LONG_H, LONG_STEP, LONG_HZ, LONG_APART = 300, 5, 100, 128.0, 200
+LONG = SignalSchema(physiology=("ecg", "eda", "temp", "resp", "accel"), context=())
+LONG_SQL = f"""WITH RECURSIVE seg AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS worker_id, 'all' AS split, l_extendedprice AS ecg,
+    l_extendedprice / 7000 AS eda, l_discount * 10 + l_quantity / 100 AS temp, l_quantity AS resp, l_tax * 7 AS accel,
+    row_number() OVER w - 1 AS pos, row_number() OVER w - 1 AS time_idx, count(*) OVER (PARTITION BY l_suppkey) AS seg_n
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)
+), {X.windows_sql("seg", LONG_L, LONG_H, LONG_STEP)}, cells AS (SELECT * FROM cell WHERE o < {LONG_L}),
+{_peaks_sql("cells", "ecg", "top")}, {thinned_sql("top", "beat", int(0.3 * LONG_HZ))},
+{heart_sql(LONG_HZ)},
+{skin_sql(LONG_L, LONG_HZ, 0.05, LONG_APART)}, rest AS (
+  SELECT worker_id, split, s, min(start_idx) AS start_idx, avg(temp) AS temp_mean, stddev_pop(temp) AS temp_std,
+    regr_slope(temp, o) AS temp_slope, avg(resp) AS resp_mean, stddev_pop(resp) AS resp_std, avg(accel) AS accel_mean,
+    stddev_pop(accel) AS accel_std FROM cells GROUP BY worker_id, split, s)
+SELECT worker_id, CAST(start_idx AS INTEGER) AS start_idx, {", ".join(
+    f"round({c}, 6) + 0.0 AS {c}" for c in (
+        "meanHR", "RMSSD", "SDNN", "pNN50", "scl_mean", "scl_var", "temp_mean", "temp_std", "temp_slope", "resp_mean",
+        "resp_std", "accel_mean", "accel_std"))},
+  coalesce(scr_count, 0.0::DOUBLE) AS scr_count, round(coalesce(scr_mean_amp, 0.0::DOUBLE), 4) + 0.0 AS scr_mean_amp
+FROM rest LEFT JOIN heart USING (worker_id, split, s) LEFT JOIN scr USING (worker_id, split, s)
+  LEFT JOIN skin USING (worker_id, split, s)"""
+
+
+def supplier_series(spark: SparkSession, sf: str, columns: dict) -> tuple[DataFrame, SeriesLayout]:
+    """The lines of each supplier in order, as one series, with the given signal columns."""
+    lines = X.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("worker_id"),
+        F.lit("all").alias("split"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_extendedprice",
+        *[v.alias(k) for k, v in columns.items()],
+        F.lit(0.0).alias("y_stress"),
+        F.lit(0.0).alias("y_comfort_proxy"),
+    )
+    layout = SeriesLayout.fit(lines, "worker_id", "l_orderkey")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    rows = number_rows(lines, ["worker_id"], order, layout, "_seg_pos", "_seg_n")
+    return rows.withColumn("time_idx", F.col("_seg_pos").cast("int")), layout
+
+
+@query(LONG_SQL)
+def long_window_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of long windows, breath and motion channels included."""
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    columns = {"ecg": price, "eda": price / 7000, "temp": F.col("l_discount") * 10 + quantity / 100}
+    rows, layout = supplier_series(spark, sf, columns | {"resp": quantity, "accel": F.col("l_tax") * 7})
+    cut = Cutter(LONG, LONG_L, LONG_H, LONG_STEP, layout)
+    table = features.feature_table(rows, cut, LONG_HZ, frequency=False, scr_distance=LONG_APART)
+    names = [c for c in features.feature_names(table) if c not in ("distance_last", "speed_last")]
+    rounded = {c: X.r6(c) for c in names} | {"scr_mean_amp": F.round("scr_mean_amp", 4) + F.lit(0.0)}
+    return table.select("worker_id", "start_idx", *[v.alias(c) for c, v in rounded.items()])
+
+
 # Beat spectrum on longer series: the lines of each supplier, with the price as the signal.
 SL, SH, SSTEP = 80, 2, 40
 SPECTRUM_SQL = f"""WITH seg AS (
@@ -239,20 +318,7 @@ FROM win w LEFT JOIN two USING (worker_id, split, s)"""
 
 @query(SPECTRUM_SQL)
 def beat_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    lines = X.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("worker_id"),
-        F.lit("all").alias("split"),
-        F.col("l_extendedprice").alias("ecg"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        F.lit(0.0).alias("y_stress"),
-        F.lit(0.0).alias("y_comfort_proxy"),
-    )
-    layout = SeriesLayout.fit(lines, "worker_id", "l_orderkey")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "ecg"]
-    rows = number_rows(lines, ["worker_id"], order, layout, "_seg_pos", "_seg_n")
-    rows = rows.withColumn("time_idx", F.col("_seg_pos").cast("int"))
+    rows, layout = supplier_series(spark, sf, {"ecg": F.col("l_extendedprice")})
     cut = cutter(layout, SL, SH, SSTEP)
     sampled = cut.take(rows, cut.marks(), {"_ecg": cut.run("ecg")})
     signals = N.window_signals(F.col("_ecg"), F.col("_ecg"), SL, HZ, True, 0.05, 3)

@@ -36,28 +36,42 @@ def peak_mask(windows: np.ndarray) -> np.ndarray:
     return mask
 
 
+def _best_nearby(rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Largest rank in each range low:high, from maxima over runs of powers of two."""
+    width = high - low
+    level = np.frexp(width)[1] - 1
+    out, runs = np.empty_like(rank), rank
+    for k in range(int(level.max()) + 1):
+        if k:
+            runs = np.maximum(runs[: len(rank) - (1 << k) + 1], runs[1 << (k - 1) :][: len(rank) - (1 << k) + 1])
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(runs[low[at]], runs[high[at] - (1 << k)])
+    return out
+
+
 def thin(mask: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
     """Tallest peaks first, none closer than ``distance``; among equals the later one goes first.
 
-    Per round every peak that beats its open neighbours is kept and closes them: the same choice as going
-    through the peaks by height one at a time.
+    Per round every peak that beats its open neighbours is kept and closes them: the same choice as going through the
+    peaks by height one at a time. Only peaks are looked at. A round takes their number times the logarithm of how
+    many lie within the distance, and a window of n samples needs n / distance rounds at most.
     """
     if distance <= 2:
         return mask
-    reach = range(1, min(distance, mask.shape[1]))
-    kept, open_ = np.zeros_like(mask), mask.copy()
-    while open_.any():
-        best = open_.copy()
-        for k in reach:
-            left, right = height[:, :-k], height[:, k:]
-            best[:, :-k] &= ~(open_[:, k:] & (right >= left))
-            best[:, k:] &= ~(open_[:, :-k] & (left > right))
-        closed = best.copy()
-        for k in reach:
-            closed[:, k:] |= best[:, :-k]
-            closed[:, :-k] |= best[:, k:]
-        kept |= best
-        open_ &= ~closed
+    row, at = np.nonzero(mask)
+    # Rows lie too far apart to meet.
+    place = row * (mask.shape[1] + distance) + at
+    rank = np.empty(len(place), np.int64)
+    rank[np.lexsort((place, height[row, at]))] = np.arange(len(place))
+    kept, open_ = np.zeros_like(mask), np.arange(len(place))
+    while len(open_):
+        here = place[open_]
+        low = np.searchsorted(here, here - distance + 1, "left")
+        high = np.searchsorted(here, here + distance - 1, "right")
+        best = _best_nearby(rank[open_], low, high) == rank[open_]
+        kept[row[open_[best]], at[open_[best]]] = True
+        closing = np.concatenate([[0], np.cumsum(best)])
+        open_ = open_[closing[high] == closing[low]]
     return kept
 
 
@@ -116,18 +130,26 @@ def _spectrum(gap_row: np.ndarray, gap: np.ndarray, gaps: np.ndarray) -> dict[st
 
 
 def tonic_level(eda: np.ndarray, hz: float) -> np.ndarray:
-    """Moving average with zero padding and a constant divisor; short windows are their own level."""
+    """Moving average with zero padding and a constant divisor; short windows are their own level.
+
+    The padded samples are cut into blocks as long as the kernel. A kernel reaches over the end of one block and the
+    beginning of the next, so its sum is a running sum from the right and one from the left: two additions a sample,
+    whatever the kernel, and nothing is ever subtracted.
+    """
     length = eda.shape[1]
     if length <= 3:
         return eda
     kernel = max(3, int(min(length - 1, hz * 2)))
-    back, ahead = kernel // 2, (kernel - 1) // 2
-    if kernel > 64:
-        sums = np.concatenate([np.zeros((len(eda), 1)), np.cumsum(eda, axis=1)], axis=1)
-        i = np.arange(length)
-        return (sums[:, np.minimum(i + ahead + 1, length)] - sums[:, np.maximum(i - back, 0)]) / kernel
-    padded = np.pad(eda, ((0, 0), (back, ahead)))
-    return sum(padded[:, k : k + length] for k in range(kernel)) / kernel
+    back = kernel // 2
+    blocks = -(-(length + kernel - 1) // kernel) + 1
+    padded = np.zeros((len(eda), blocks * kernel))
+    padded[:, back : back + length] = eda
+    cut = padded.reshape(len(eda), blocks, kernel)
+    upto = np.cumsum(cut, axis=2).reshape(len(eda), -1)
+    onward = np.cumsum(cut[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(eda), -1)
+    # A kernel that starts with a block is that block.
+    ends = np.where(np.arange(length) % kernel == 0, 0.0, upto[:, kernel - 1 : kernel - 1 + length])
+    return (onward[:, :length] + ends) / kernel
 
 
 def skin_features(eda: np.ndarray, hz: float, threshold: float, distance: int) -> dict[str, np.ndarray]:

@@ -104,7 +104,17 @@ def test_spaced_peaks(spark, distance):
         assert np.nonzero(kept[row])[0].tolist() == want == jvm[row]
 
 
-@pytest.mark.parametrize(("length", "hz"), [(3, 4.0), (4, 4.0), (10, 4.0), (60, 4.0), (9, 0.02), (200, 64.0)])
+@pytest.mark.parametrize("distance", [3, 30, 200, 5_000])
+def test_spaced_peaks_at_large_distances(distance):
+    rng = np.random.default_rng(distance)
+    windows = np.stack([rng.normal(size=3_000), rng.integers(0, 3, 3_000), np.arange(3_000) + 9 * (-1.0) ** np.arange(3_000), np.zeros(3_000)])
+    mask = N.peak_mask(windows)
+    kept = N.thin(mask, windows, distance)
+    for row in range(len(windows)):
+        assert np.nonzero(kept[row])[0].tolist() == greedy(np.nonzero(mask[row])[0].tolist(), windows[row], distance)
+
+
+@pytest.mark.parametrize(("length", "hz"), [(3, 4.0), (4, 4.0), (10, 4.0), (60, 4.0), (9, 0.02), (200, 64.0), (200, 32.0), (200, 32.5), (700, 250.0), (301, 1000.0)])
 def test_tonic_is_a_same_size_convolution(spark, length, hz):
     x = np.random.default_rng(length).normal(size=length)
     want = x
