@@ -215,19 +215,22 @@ def profile_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {X.HELD_OUT}, {baseline_sql("ecg", "hazard_zone <> 0")},
-any_safe AS (SELECT DISTINCT worker_id FROM seg WHERE split = 'train' AND hazard_zone <> 0)
-SELECT worker_id, round(mu_ecg, 6) + 0.0 AS baseline_mu_ecg, round(sd_ecg, 6) + 0.0 AS baseline_sigma_ecg
-FROM base_ecg JOIN any_safe USING (worker_id)"""
+    f"""WITH {X.HELD_OUT}, safe AS (SELECT * FROM seg WHERE hazard_zone <> 0),
+{baseline_sql("ecg", "hazard_zone <> 0").replace("base_ecg", "base_safe")},
+{baseline_sql("ecg").replace("base_ecg", "base_all")},
+any_safe AS (SELECT DISTINCT worker_id FROM safe WHERE split = 'train'),
+overall AS (SELECT avg(ecg) AS mu, stddev_samp(ecg) + 1e-6::DOUBLE AS sd FROM safe WHERE split = 'train'),
+chosen AS (SELECT * FROM base_safe UNION ALL SELECT * FROM base_all WHERE worker_id NOT IN (FROM any_safe))
+SELECT worker_id, round(coalesce(mu_ecg, mu), 6) + 0.0 AS baseline_mu_ecg,
+  round(coalesce(sd_ecg, sd), 6) + 0.0 AS baseline_sigma_ecg
+FROM (SELECT DISTINCT worker_id FROM seg WHERE split = 'train') LEFT JOIN chosen USING (worker_id), overall"""
 )
 def profile_safe_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines fitted only on flagged rows, for the workers that have some with a signal."""
+    """Baselines fitted on flagged rows; on all rows of workers that have none, and overall where no signal is left."""
     layout = X.layout_of(spark, sf)
     train = X.held_out(spark, sf, layout).where("split = 'train'")
     table = profiles.worker_baselines(train, ["ecg"], ALPHA, "worker_id", "_seg_pos", layout, "hazard_zone")
-    flagged = train.where("hazard_zone <> 0 and ecg is not null").select("worker_id").distinct()
-    fitted = table.join(flagged, "worker_id", "left_semi")
-    return fitted.select("worker_id", *[X.r6(c).alias(c) for c in ("baseline_mu_ecg", "baseline_sigma_ecg")])
+    return table.select("worker_id", *[X.r6(c).alias(c) for c in ("baseline_mu_ecg", "baseline_sigma_ecg")])
 
 
 @query(

@@ -121,10 +121,9 @@ SELECT CAST(shortest AS BIGINT) AS shortest,
 def window_length_fit(spark: SparkSession, sf: str) -> DataFrame:
     """The configured length of 60 with a horizon of 5, shrunk to what the shortest part allows."""
     layout = X.layout_of(spark, sf)
-    sizes = X.timed(spark, sf, layout).groupBy("worker_id", "split").count()
-    shortest = F.min("count")
-    fitted = F.when(shortest <= 60, F.greatest(F.lit(4).cast("long"), shortest - 6)).otherwise(60)
-    return sizes.agg(shortest.alias("shortest"), fitted.cast("long").alias("window_length"))
+    shortest = windows.shortest_series(X.timed(spark, sf, layout), "worker_id")
+    fitted = windows.fitted_length(shortest, 60, 5)
+    return spark.createDataFrame([(shortest, fitted)], "shortest long, window_length long")
 
 
 # The comparison finds peaks as runs of equal values that are higher than both neighbours inside the window.

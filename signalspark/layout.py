@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.session import materialize
+
 TASK_ROWS = 1_000_000
 TASK_ROWS_SETTING = "signalspark.task.rows"
 MAX_PIECES = 10_000
@@ -146,6 +148,24 @@ def number_rows(
     )
 
 
+def number_sorted(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """The rows with ``out``: 0, 1, 2, ... in ascending order of columns that tell all rows apart.
+
+    Spark deals the rows to ranges at sampled values of ``order`` and sorts each; the rows are written with their place
+    in their range, and the sizes of the ranges before it, one number a task, give the rest. The result is read from
+    files, so that a small one is known to be small.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "sorted-ranges")
+    # The upper bits of such a number are the task's, the lower 33 count its rows.
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    number = F.col("_offset") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return materialize(placed.join(offsets, "_range").select(*df.columns, number.alias(out)), "numbered")
+
+
 def add_block(df: DataFrame, layout: SeriesLayout, pos: str, out: str = "_block") -> DataFrame:
     """Positional block of a row; one single block when series are short."""
     return df.withColumn(out, F.floor(F.col(pos) / F.lit(layout.block)) if layout.cut else F.lit(0).cast("long"))

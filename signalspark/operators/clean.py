@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalspark.functions import scalar as S
-from signalspark.layout import SeriesLayout, number_rows
+from signalspark.layout import SeriesLayout, number_rows, number_sorted
 from signalspark.schema import OPTIONAL_CHANNELS, SignalSchema
 
 # Older exports name the core signals differently.
@@ -126,17 +126,13 @@ def drop_at_random(df: DataFrame, columns: Sequence[str], keys: Sequence[str], r
     return df.withColumns({c: F.when(draw(c) >= rate, F.col(c)) for c in columns})
 
 
-def text_head(text):
-    """First six bytes as a number: non-decreasing in text order."""
-    head = F.rpad(F.substring(F.encode(text, "utf-8"), 1, 6), 6, F.lit(b"\x00"))
-    return F.conv(F.hex(head), 16, 10).cast("double")
+def label_codes(df: DataFrame, column: str) -> DataFrame:
+    """Each distinct label with its index in sorted order, from files; null is no label.
 
-
-def label_codes(df: DataFrame, column: str, layout: SeriesLayout | None = None) -> DataFrame:
-    """Each distinct label with its index in sorted order. ``vocabulary_layout`` says how when they are many."""
-    labels = vocabulary(df, column)
-    codes = number_rows(labels, ["_all"], ["_head", "_label"], layout or SeriesLayout(), pos="_code")
-    return codes.select("_label", "_code")
+    However many labels there are, and whatever they share: ranges are split at whole labels.
+    """
+    labels = df.select(F.col(column).alias("_label")).where("_label is not null").distinct()
+    return number_sorted(labels, ["_label"], "_code")
 
 
 def category_codes(df: DataFrame, column: str, out: str, codes: DataFrame) -> DataFrame:
@@ -145,15 +141,6 @@ def category_codes(df: DataFrame, column: str, out: str, codes: DataFrame) -> Da
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_code", "_label")
 
 
-def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    labels = df.select(F.col(column).alias("_label")).where("_label is not null").distinct()
-    return labels.withColumns({"_all": F.lit(0), "_head": text_head(F.col("_label"))})
-
-
-def vocabulary_layout(df: DataFrame, column: str) -> SeriesLayout:
-    return SeriesLayout.fit(vocabulary(df, column), "_all", "_head")
-
-
 def has_targets(df: DataFrame, schema: SignalSchema) -> DataFrame:
     return df.dropna(subset=[schema.stress, schema.comfort])
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.operators import relate, sample
+from signalspark.operators import clean, relate, sample
 from signalspark.operators.windows import Cutter
 from signalspark.schema import SignalSchema
 
@@ -90,12 +89,13 @@ def set_sizes(windows: DataFrame, worker: str, label: str) -> DataFrame:
 
 
 def index_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Integer category indices fitted on training; unseen values share one extra slot."""
-    names = list(columns)
-    indexer = StringIndexer(
-        inputCols=names,
-        outputCols=[f"{c}_code" for c in names],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    )
-    return indexer.fit(df.where(F.col("split") == "train")).transform(df)
+    """Category indices in text order, fitted on training; unseen values and null share one extra slot.
+
+    The labels stay in Spark: only their number reaches the driver, however many there are.
+    """
+    for c in columns:
+        codes = clean.label_codes(df.where(F.col("split") == "train"), c)
+        unseen = codes.count()
+        joined = df.join(codes, F.col(c) == F.col("_label"), "left")
+        df = joined.withColumn(f"{c}_code", F.coalesce("_code", F.lit(unseen)).cast("double")).drop("_label", "_code")
+    return df

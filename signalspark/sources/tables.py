@@ -131,8 +131,8 @@ def feature_dataset(
 def typed_frame(rows: DataFrame, schema: SignalSchema, options: TableOptions, tie: str | None = None) -> DataFrame:
     """Joined rows to the signal frame. Time steps are numbered before rows without signals are dropped."""
     layout = SeriesLayout.fit(rows, "ID", SERIES_ORDER)
-    codes = clean.label_codes(rows, "class_norm", clean.vocabulary_layout(rows, "class_norm"))
-    rows = clean.category_codes(rows, "class_norm", schema.specialization, materialize(codes, "codes"))
+    codes = clean.label_codes(rows, "class_norm")
+    rows = clean.category_codes(rows, "class_norm", schema.specialization, codes)
     series = [SERIES_ORDER, "task_order", "rep_norm", WINDOW_ORDER, "Window", *([tie] if tie else [])]
     rows = number_rows(rows, ["ID"], series, layout, pos=schema.time_idx)
 

@@ -52,9 +52,17 @@ def test_time_axis_from_ingest_order(spark):
 def test_category_codes_with_null(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("abcdefgh",), ("abcdefga",)], "c string")
     want = [(None, -1), ("a", 0), ("abcdefga", 1), ("abcdefgh", 2), ("b", 3), ("b", 3)]
-    for layout in (None, SeriesLayout.fit(clean.vocabulary(df, "c"), "_all", "_head", 2)):
-        coded = clean.category_codes(df, "c", "code", clean.label_codes(df, "c", layout))
-        assert sorted(rows(coded.select("c", "code")), key=str) == sorted(want, key=str)
+    coded = clean.category_codes(df, "c", "code", clean.label_codes(df, "c"))
+    assert sorted(rows(coded.select("c", "code")), key=str) == sorted(want, key=str)
+    assert clean.label_codes(df.where("false"), "c").count() == 0
+
+
+def test_codes_of_a_million_labels_with_a_common_prefix(spark):
+    labels = spark.range(1_000_000).select(F.format_string("a-long-common-prefix-ß-%07d", "id").alias("c"), "id")
+    codes = clean.label_codes(labels.unionAll(labels), "c")
+    joined = codes.join(labels, F.col("_label") == F.col("c"))
+    assert joined.where("id = _code").count() == joined.count() == codes.count() == 1_000_000
+    assert codes.withColumn("p", F.input_file_name()).groupBy("p").count().count() > 1
 
 
 def test_min_rows(spark):
