@@ -11,7 +11,7 @@ from signalspark.functions import scalar as S
 from signalspark.operators import clean, relate
 from signalspark.schema import SignalSchema
 from signalspark.session import shared_folder
-from signalspark.sources import csv, records
+from signalspark.sources import csv, records, router
 
 
 @query(
@@ -267,3 +267,45 @@ def absent_requested_subjects(spark: SparkSession, sf: str) -> DataFrame:
         S.strict_subject_id(F.col("raw")).alias("subject")
     )
     return relate.absent(asked, have, "subject")
+
+
+@query(
+    f"""WITH {X.SIG} SELECT worker_id, CAST(time_idx AS INTEGER) AS time_idx, round(value, 6) + 0.0 AS ecg,
+  CAST(value > 50 AS DOUBLE) AS y_stress, CASE WHEN value > 50 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y_comfort_proxy
+FROM sig"""
+)
+def csv_without_time_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Legacy columns and a numeric timestamp, through the router: steps are counted in time order per worker."""
+    path = shared_folder(spark, "legacy")
+    value = F.col("value")
+    legacy = X.table(spark, sf, "events").select(
+        F.col("user_id").alias("worker_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
+        *[value.alias(c) for c in ("hr", "gsr", "hrv_rmssd")],
+        (value > 50).cast("int").alias("target"),
+    )
+    legacy.write.option("header", True).csv(path)
+    raw = router.load(spark, {"dataset": {"name": "csv", "path": path}}, X.SCHEMA)
+    typed = clean.typed_projection(raw, X.SCHEMA, **clean.time_axis(raw, X.SCHEMA))
+    return typed.select("worker_id", "time_idx", X.r6("ecg").alias("ecg"), "y_stress", "y_comfort_proxy")
+
+
+@query(
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events
+  WHERE event_id % 4 IN (1, 2))
+SELECT 'S' || user_id AS worker_id, CAST(event_id AS INTEGER) AS time_idx, CAST(event_id AS DOUBLE) AS timestamp,
+  CASE event_id % 4 WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y_stress, 'default' AS task_phase
+FROM t WHERE k % 3 = 0"""
+)
+def subject_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Subject exports through the router: labelled rows, every third kept, missing columns by default."""
+    columns = [
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("worker_id"),
+        F.col("event_id").alias("time_idx"),
+        (F.col("event_id") % 4).alias("protocol_label"),
+        *[F.col("value").alias(c) for c in X.SCHEMA.physiology],
+    ]
+    path = _exported(spark, sf, "subjects", columns)
+    cfg = {"dataset": {"name": "subjects", "path": path, "downsample_factor": 3, "stress_include_amusement": False}}
+    typed = clean.typed_projection(router.load(spark, cfg, X.SCHEMA), X.SCHEMA)
+    return typed.select("worker_id", "time_idx", "timestamp", "y_stress", "task_phase")

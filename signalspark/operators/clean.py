@@ -14,6 +14,8 @@ from signalspark.schema import OPTIONAL_CHANNELS, SignalSchema
 
 # Older exports name the core signals differently.
 LEGACY_SIGNALS = {"ecg": "hr", "eda": "gsr", "temp": "hrv_rmssd"}
+#: Place of a row in its source, where that is known.
+INGEST_ORDER = "ingest_order"
 
 
 def is_text(df: DataFrame, name: str) -> bool:
@@ -42,13 +44,14 @@ def ensure_columns(
         if schema.comfort not in df.columns:
             df = df.withColumn(schema.comfort, S.clip(1.0 - target, 0.0, 1.0))
     if schema.timestamp not in df.columns:
-        if schema.time_idx in df.columns:
-            df = df.withColumn(schema.timestamp, F.col(schema.time_idx))
-        else:
-            df = _count_up(df, schema, [ingest_order], schema.timestamp, layout)
+        if schema.time_idx not in df.columns:
+            df = _count_up(df, schema, [ingest_order], schema.time_idx, layout)
+        df = df.withColumn(schema.timestamp, F.col(schema.time_idx))
     if schema.time_idx not in df.columns:
-        order = [schema.timestamp, ingest_order] if ingest_order else [schema.timestamp]
-        df = _count_up(df, schema, order, schema.time_idx, layout)
+        # Text would sort 10 before 9.
+        df = df.withColumn("_time", as_number(df, schema.timestamp))
+        df = _count_up(df, schema, ["_time", *([ingest_order] if ingest_order else [])], schema.time_idx, layout)
+        df = df.drop("_time")
     for name, legacy in LEGACY_SIGNALS.items():
         if name not in df.columns and legacy in df.columns:
             df = df.withColumn(name, F.col(legacy))
@@ -62,6 +65,14 @@ def ensure_columns(
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
 
+def time_axis(df: DataFrame, schema: SignalSchema) -> dict:
+    """What ``ensure_columns`` needs for a frame without a time index: its source order and how its series are cut."""
+    if schema.time_idx in df.columns or INGEST_ORDER not in df.columns:
+        return {}
+    time = as_number(df, schema.timestamp) if schema.timestamp in df.columns else F.col(INGEST_ORDER)
+    return {"ingest_order": INGEST_ORDER, "layout": SeriesLayout.fit(df.withColumn("_time", time), schema.worker, "_time")}
+
+
 def _count_up(df: DataFrame, schema: SignalSchema, order: Sequence[str | None], out: str, layout) -> DataFrame:
     if None in order:
         raise ValueError(f"'{out}' is absent and no ingest_order column says how rows follow each other")

@@ -179,5 +179,12 @@ def fitted_length(shortest: int, length: int, horizon: int) -> int:
     return max(4, shortest - horizon - 1) if shortest <= length else length
 
 
+def require_windows(counts: DataFrame) -> DataFrame:
+    """The window counts of ``balance``, unless there is no window at all: a look at a few stored rows."""
+    if counts.isEmpty():
+        raise ValueError("no windows: every series is shorter than a window and its horizon")
+    return counts
+
+
 def balance(windows: DataFrame, label: str = "y_stress") -> DataFrame:
     return windows.groupBy("split", label).agg(F.count(F.lit(1)).alias("windows"))

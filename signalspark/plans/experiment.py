@@ -196,9 +196,9 @@ def run(
     """The whole experiment. A model that fails is reported and leaves the rest of the run intact."""
     schema = SignalSchema.from_config(cfg)
     raw = router.load(spark, cfg, schema) if frame is None else frame
-    prepared = prepare(clean.typed_projection(raw, schema), schema, cfg, assignment)
+    prepared = prepare(clean.typed_projection(raw, schema, **clean.time_axis(raw, schema)), schema, cfg, assignment)
     table = materialize(features_of(prepared, cfg), "features")
-    balance = windows.balance(table)
+    balance = windows.require_windows(materialize(windows.balance(table), "balance"))
     switches = cfg.get("models", {})
     errors: list[tuple[str, str | None]] = []
     parts: list[DataFrame] = []
@@ -270,7 +270,7 @@ def run_balanced(spark: SparkSession, cfg: Mapping, frame: DataFrame | None = No
     """Assign subjects to balanced splits, check class coverage, then run and accept or reject the outcome."""
     schema = SignalSchema.from_config(cfg)
     raw = router.load(spark, cfg, schema) if frame is None else frame
-    typed = clean.typed_projection(raw, schema)
+    typed = clean.typed_projection(raw, schema, **clean.time_axis(raw, schema))
     rule = cfg.get("split", {})
     least = [int(rule.get(f"min_{s}_positive_windows", 20)) for s in ("val", "test")]
     load = split.worker_load(typed, schema)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
-from signalspark.layout import SeriesLayout
+from signalspark.layout import SeriesLayout, number_rows
 from signalspark.operators import clean, sample
 from signalspark.schema import SignalSchema
+from signalspark.session import materialize
 
 SOURCE_ORDER = ("_file", "_block_start", "_line")
 
@@ -26,31 +28,53 @@ def _with_order(df: DataFrame) -> DataFrame:
     )
 
 
-def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line to the files that carry it. Files without a data row are left out.
+def header_names(line: str) -> list[str]:
+    """Column names of a header line; blank and repeated ones are told apart by their place."""
+    names, seen = next(csv.reader([line])), set()
+    for i, name in enumerate(names):
+        names[i] = name if name else f"_c{i}"
+        names[i] += str(i) if names[i] in seen else ""
+        seen.add(names[i])
+    return names
 
-    One entry per file reaches the driver, as in any file listing; the lines are reduced in the tasks.
+
+def _fields(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
+
+def scan(spark: SparkSession, path: str, with_order: bool = False) -> DataFrame:
+    """All CSV files below a folder, unioned by name; files of different columns may mix.
+
+    Each file's first line is found in the tasks and joined to its rows by the file's path; the driver sees the
+    distinct header lines only, however many files there are. Rows are parsed under their own header. Files without a
+    data row are left out, lines without anything are skipped. With ``with_order`` a row says where it came from and
+    which columns its file has; the metadata of ``_columns`` lists the distinct sets.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-    rows = lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        "value",
-    ).where(F.trim("value") != "")
-    first = rows.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.count(F.lit(1)).alias("lines"))
-    found: dict[str, list[str]] = {}
-    for r in first.where("lines > 1").orderBy("file").collect():
-        found.setdefault(r["header"], []).append(r["file"])
-    return found
-
-
-def scan(spark: SparkSession, path: str, with_order: bool = False, encoding: str = "utf-8") -> DataFrame:
-    """All CSV files below a folder, unioned by name; files of different columns may mix."""
-    groups = headers(spark, path)
-    if not groups:
+    lines = _with_order(lines).where(F.trim("value") != "")
+    at = F.struct("_block_start", "_line")
+    first = lines.groupBy("_file").agg(F.min_by("value", at).alias("_header"), F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = materialize(first.where("_n > 1").drop("_n"), "csv-headers")
+    headers = [r["_header"] for r in first.select("_header").distinct().orderBy("_header").collect()]
+    if not headers:
         raise FileNotFoundError(f"no CSV rows below {path}")
-    frames = [read_file(spark, files, with_order, encoding) for files in groups.values()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    sets = [header_names(h) for h in headers]
+    rows = lines.join(first, "_file").where(at != F.col("_first"))
+    own = [F.col("_header") == h for h in headers]
+    parsed = {
+        f"_row{k}": F.when(here, F.from_csv("value", _fields(names)))
+        for k, (here, names) in enumerate(zip(own, sets, strict=True))
+    }
+    rows = rows.withColumns(parsed)
+    columns = {}
+    for k, names in enumerate(sets):
+        for name in names:
+            columns.setdefault(name, []).append(F.col(f"_row{k}").getField(name))
+    out = [F.coalesce(*values).alias(name) for name, values in columns.items()]
+    if not with_order:
+        return rows.select(*out)
+    which = F.coalesce(*[F.when(here, F.array(*map(F.lit, names))) for here, names in zip(own, sets, strict=True)])
+    return rows.select(*out, *SOURCE_ORDER, which.alias("_columns", metadata={"sets": json.dumps(sets)}))
 
 
 def read_file(
@@ -74,6 +98,36 @@ def participants_overview(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ID", S.strip(F.col("ID")))
 
 
+def with_file_time(df: DataFrame, schema: SignalSchema) -> DataFrame:
+    """Time columns of scanned rows, for the files that lack them: rows are counted in their file, from 0.
+
+    A missing timestamp is the time index where the file has one. Rows are counted only if some file needs it.
+    """
+    sets = json.loads(df.schema["_columns"].metadata["sets"]) if "_columns" in df.columns else [df.columns]
+
+    def stated(name: str):
+        if name not in df.columns:
+            return F.lit(False)
+        return F.array_contains("_columns", name) if "_columns" in df.columns else F.lit(True)
+
+    def given(name: str):
+        return F.when(stated(name), F.col(name)) if name in df.columns else F.lit(None).cast("string")
+
+    columns = list(df.columns)
+    if not all(schema.time_idx in names for names in sets):
+        # Splits of a file come in any order, so their place in the file comes first.
+        layout = SeriesLayout.fit(df, "_file", "_block_start")
+        df = number_rows(df, ["_file"], ["_block_start", "_line"], layout, pos="_row", total="_rows").drop("_rows")
+        counted = F.col("_row").cast("string")
+    else:
+        counted = F.lit(None).cast("string")
+    index = F.coalesce(given(schema.time_idx), F.when(~stated(schema.time_idx), counted))
+    stamp = F.coalesce(given(schema.timestamp), F.when(~stated(schema.timestamp), index))
+    out = df.withColumns({"_index": index, "_stamp": stamp})
+    out = out.withColumns({schema.time_idx: F.col("_index"), schema.timestamp: F.col("_stamp")})
+    return out.select(*columns, *[c for c in (schema.time_idx, schema.timestamp) if c not in columns])
+
+
 def subject_exports(df: DataFrame, schema: SignalSchema, include_amusement: bool = False) -> DataFrame:
     """Per-subject exports, scanned with source order, to labelled rows.
 
@@ -82,7 +136,7 @@ def subject_exports(df: DataFrame, schema: SignalSchema, include_amusement: bool
     """
     stem = F.regexp_extract(F.col("_file"), r"([^/]+)\.csv$", 1)
     worker = F.coalesce(F.col(schema.worker), stem) if schema.worker in df.columns else stem
-    df = df.withColumn(schema.worker, S.subject_id(worker))
+    df = with_file_time(df.withColumn(schema.worker, S.subject_id(worker)), schema)
     if schema.protocol not in df.columns:
         if not {schema.stress, schema.comfort} <= set(df.columns):
             raise ValueError(f"exports need '{schema.protocol}' or both targets")

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.layout import SeriesLayout
+from signalspark.layout import SeriesLayout, number_sorted
+from signalspark.operators import clean
 from signalspark.schema import SignalSchema
 from signalspark.sources import csv, records, tables
 
@@ -26,7 +27,7 @@ def load(spark: SparkSession, cfg: Mapping, schema: SignalSchema) -> DataFrame:
     if name == "csv":
         for candidate in (path, paths.get("raw_file"), paths.get("raw_dir")):
             if candidate:
-                return csv.generic(spark, candidate, schema)
+                return _in_source_order(csv.generic(spark, candidate, schema, with_order=True), schema)
         raise FileNotFoundError("no CSV path configured")
     cached = paths.get("raw_cache")
     if not cached:
@@ -34,6 +35,13 @@ def load(spark: SparkSession, cfg: Mapping, schema: SignalSchema) -> DataFrame:
     return spark.read.parquet(cached)
 
 
+def _in_source_order(df: DataFrame, schema: SignalSchema) -> DataFrame:
+    """Rows without a time index get their place in the source, from which one can be counted."""
+    if schema.time_idx not in df.columns:
+        df = number_sorted(df, csv.SOURCE_ORDER, clean.INGEST_ORDER)
+    return df.drop(*csv.SOURCE_ORDER, "_columns")
+
+
 def _subjects(spark: SparkSession, dataset: Mapping, path: str | None, schema: SignalSchema) -> DataFrame:
     if not path:
         raise FileNotFoundError("dataset.path is required for subject data")

@@ -35,6 +35,49 @@ def test_scan_mixes_columns_and_skips_empty_files(spark, tmp_path):
         csv.scan(spark, os.path.join(root, "none"))
 
 
+def test_scan_of_many_small_files_with_odd_headers(spark, tmp_path):
+    root = str(tmp_path)
+    heads = ["a,b", "b,`c d`,a", '"x, y",a', "a,a,"]
+    for k in range(400):
+        width = len(csv.header_names(heads[k % 4]))
+        put(root, f"d{k % 7}/f{k}.csv", heads[k % 4] + "\n\n" + ",".join(f"{k}-{i}" for i in range(width)) + "\n" + heads[k % 4] + "\n")
+    out = csv.scan(spark, root, with_order=True)
+    assert set(out.columns) - {*csv.SOURCE_ORDER, "_columns"} == {"a", "b", "`c d`", "x, y", "a1", "_c2"}
+    got = {r["a"]: r for r in out.collect()}
+    assert out.count() == 800  # a repeated header line is a row like any other
+    assert got["0-0"]["b"] == "0-1" and got["1-2"]["`c d`"] == "1-1" and got["2-1"]["x, y"] == "2-0"
+    assert got["3-0"]["a1"] == "3-1" and got["3-0"]["_c2"] == "3-2" and got["3-0"]["b"] is None
+
+
+def test_time_of_exports_is_counted_per_file(spark, tmp_path):
+    root = str(tmp_path)
+    put(root, "S1.csv", "protocol_label,ecg\n" + "".join(f"1,{i}\n" for i in range(12)))
+    put(root, "S2.csv", "protocol_label,ecg,time_idx\n2,0,5\n1,1,7\n")
+    put(root, "S3.csv", "protocol_label,ecg,timestamp\n2,0,0.5\n1,1,0.25\n")
+    df = csv.subject_exports(csv.scan(spark, root, with_order=True), SCHEMA)
+    got = rows(df.selectExpr("worker_id", "int(ecg) as ecg", "double(time_idx) as i", "double(timestamp) as t"))
+    want = [("S1", i, float(i), float(i)) for i in range(12)]
+    assert got == sorted([*want, ("S2", 0, 5.0, 5.0), ("S2", 1, 7.0, 7.0), ("S3", 0, 0.0, 0.5), ("S3", 1, 1.0, 0.25)])
+
+
+@pytest.mark.parametrize("stamp", [None, "timestamp"])
+def test_csv_without_time_index_through_the_router(spark, tmp_path, stamp, cut_series):
+    """Legacy columns; rows follow the source order, or a timestamp whose text would sort otherwise."""
+    root = str(tmp_path)
+    for name, first in (("a", 0), ("b", 60)):
+        lines = [f"{'w' if i % 3 else 'v'},{i},{i},{i},{i % 2}" + (f",{1000 - i}" if stamp else "") for i in range(first, first + 60)]
+        put(root, f"{name}.csv", "worker_id,hr,gsr,hrv_rmssd,target" + (",timestamp" if stamp else "") + "\n" + "\n".join(lines) + "\n")
+    raw = router.load(spark, {"dataset": {"name": "csv", "path": root}}, SCHEMA)
+    typed = clean.typed_projection(raw, SCHEMA, **clean.time_axis(raw, SCHEMA))
+    got = typed.select("worker_id", "time_idx", "timestamp", F.col("ecg").cast("int").alias("ecg"), "y_stress")
+    want = []
+    for w, rest in (("v", (0,)), ("w", (1, 2))):
+        own = [i for i in range(120) if i % 3 in rest]
+        own = own[::-1] if stamp else own
+        want += [(w, k, float(1000 - i if stamp else k), i, float(i % 2)) for k, i in enumerate(own)]
+    assert rows(got) == sorted(want)
+
+
 def test_subject_exports_decide_per_file(spark, tmp_path):
     root = str(tmp_path)
     put(root, "s2.csv", "protocol_label,ecg,eda,temp,time_idx\n1,1,1,1,0\nx,1,1,1,1\n2,1,1,1,2\n3,1,1,1,3\n")
