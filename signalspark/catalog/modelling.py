@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalspark import sinks
 from signalspark.catalog import fixtures as X
 from signalspark.catalog import query
-from signalspark.catalog.evaluation import scored
-from signalspark.catalog.windowed import HZ, cutter, prepared
+from signalspark.catalog.evaluation import SCORED, scored
+from signalspark.catalog.windowed import HZ, STEP, H, L, cutter, prepared
 from signalspark.operators import features, models, normalize, profiles, sequences
 from signalspark.plans import experiment
-from signalspark.session import materialize
+from signalspark.session import materialize, shared_folder
 
 PARAMS = {"max_depth": 3, "n_estimators": 5, "learning_rate": 0.2, "calibration": "isotonic"}
 CFG = {"xgboost": PARAMS, "tft": {"hidden_size": 8, "max_iter": 10}}
@@ -50,6 +51,27 @@ def boosted_regressor(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(table, models.fit_boosted(table, names, "y_comfort", "regression", PARAMS))
 
 
+@query(
+    f"""WITH {X.HELD_OUT}, {X.windows_sql("seg", L, H, STEP)}
+SELECT worker_id, split, CAST(start_idx AS INTEGER) AS start_idx, 0.0::DOUBLE AS isotonic, 0.0::DOUBLE AS platt,
+  0.0::DOUBLE AS regressor FROM win"""
+)
+def reloaded_models(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the scores of written and reloaded models are from the fresh ones, for every window."""
+    table, names = training_table(spark, sf)
+    kinds = {"isotonic": ("y_stress", "classification"), "platt": ("y_stress", "classification")}
+    kinds["regressor"] = ("y_comfort", "regression")
+    out = table.select("worker_id", "split", "start_idx", *names)
+    for kind, (label, task) in kinds.items():
+        fitted = models.fit_boosted(table, names, label, task, {**PARAMS, "calibration": kind})
+        path = shared_folder(spark, f"model-{kind}")
+        sinks.write_model(fitted, spark, path)
+        fresh = fitted.score(out).withColumnRenamed("p", "_fresh")
+        again = sinks.read_model(spark, path).score(fresh)
+        out = again.withColumn(kind, F.abs(F.col("p") - F.col("_fresh"))).drop("p", "_fresh")
+    return out.select("worker_id", "split", "start_idx", *kinds)
+
+
 @query()
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     table, names = training_table(spark, sf)
@@ -82,14 +104,31 @@ def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("p_raw").alias("score"), X.r6("p_calibrated").alias("p"))
 
 
-@query()
+# Newton steps for the intercept a and the slope b; the slope is held back by one row's weight.
+PLATT_SQL = f"""WITH RECURSIVE {SCORED}, d AS (
+  SELECT p, y, count(*)::DOUBLE AS w FROM scored GROUP BY p, y
+), t AS (SELECT sum(w) AS n FROM d), newton(i, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, a - (bb * ga - ab * gb) / (aa * bb - ab * ab), b - (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+    SELECT i, a, b, sum(w * (m - y)) / n AS ga, (sum(w * (m - y) * p) + b) / n AS gb, sum(w * m * (1 - m)) / n AS aa,
+      sum(w * m * (1 - m) * p) / n AS ab, (sum(w * m * (1 - m) * p * p) + 1) / n AS bb
+    FROM (SELECT i, a, b, p, y, w, n, 1 / (1 + exp(-(a + b * p))) AS m FROM newton, d, t WHERE i < 40)
+    GROUP BY i, a, b, n)
+)
+SELECT DISTINCT round(p, 6) + 0.0 AS p_raw, round(1 / (1 + exp(-(a + b * p))), 4) + 0.0 AS p
+FROM newton, d WHERE i = 40"""
+
+
+@query(PLATT_SQL)
 def platt_calibration(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored(spark, sf).select(F.col("p").alias("p_raw"), "y")
     fitted = models.Fitted(["p_raw"], None, constant=0.0, calibrator=models.fit_calibrator(rows, "platt"), platt=True)
     grid = rows.select("p_raw").distinct()
     vector = grid.withColumn("_score", models.array_to_vector(F.array("p_raw")))
     out = fitted.calibrator.transform(vector)
-    return out.select("p_raw", models.vector_to_array("probability")[1].alias("p"))
+    calibrated = F.round(models.vector_to_array("probability")[1], 4) + F.lit(0.0)
+    return out.select(X.r6("p_raw").alias("p_raw"), calibrated.alias("p"))
 
 
 @query()

@@ -52,6 +52,25 @@ class Fitted:
         if stages:
             PipelineModel(stages).write().overwrite().save(f"{path}/stages")
 
+    def facts(self) -> dict:
+        """What the stages don't hold."""
+        return {
+            "feature_names": self.names,
+            "constant": self.constant,
+            "platt": self.platt,
+            "importances": self.importances,
+        }
+
+    @classmethod
+    def load(cls, path: str, facts: dict) -> Fitted:
+        """The scorer that ``save`` wrote, with its ``facts``; a constant one has no stages."""
+        own = [(name, float(weight)) for name, weight in facts.get("importances", [])]
+        names = list(facts["feature_names"])
+        if facts["constant"] is not None:
+            return cls(names, None, constant=facts["constant"], importances=own)
+        model, *rest = PipelineModel.load(f"{path}/stages").stages
+        return cls(names, model, calibrator=rest[0] if rest else None, platt=facts["platt"], importances=own)
+
 
 def assemble(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="error").transform(df)
@@ -109,7 +128,7 @@ def fit_calibrator(val: DataFrame, method: str):
     merged = merged.withColumn("_score", array_to_vector(F.array("p_raw")))
     rows = max(1, val.count())
     return LogisticRegression(
-        featuresCol="_score", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, tol=1e-9
+        featuresCol="_score", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, tol=1e-14, maxIter=500
     ).fit(merged)
 
 

@@ -43,7 +43,11 @@ def cache_raw(df: DataFrame, path: str) -> DataFrame:
 def write_model(fitted: Fitted, spark, path: str) -> None:
     """Model and calibrator stages, with the feature names next to them."""
     fitted.save(path)
-    facts = {"feature_names": fitted.names, "constant": fitted.constant, "platt": fitted.platt}
-    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(
+    spark.createDataFrame([(json.dumps(fitted.facts()),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/facts"
     )
+
+
+def read_model(spark, path: str) -> Fitted:
+    """A scorer written by ``write_model``; it scores as it did before."""
+    return Fitted.load(path, json.loads(spark.read.text(f"{path}/facts").first()["value"]))

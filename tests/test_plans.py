@@ -5,6 +5,7 @@ import random
 import pytest
 from helpers import rows
 
+from signalspark import sinks
 from signalspark.operators import compare
 from signalspark.plans import diagnostics, experiment
 from signalspark.schema import SignalSchema
@@ -62,6 +63,8 @@ def test_time_split_run_writes_everything(spark, frame, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/splits").count() == 1600
     assert spark.read.option("header", True).csv(f"{out}/meta").count() == 680
     facts = json.loads(spark.read.text(f"{out}/models/stress/facts").first()[0])
+    again = sinks.read_model(spark, f"{out}/models/stress")
+    assert again.names == facts["feature_names"] and len(again.importances) == len(again.names)
     assert "temp_slope" in facts["feature_names"] and "profile_baseline_mu_ecg" in facts["feature_names"]
     for name in ("numeric_stats", "profile_stats", "feature_stats", "matrix_stats", "metrics", "importance/stress"):
         assert not spark.read.json(f"{out}/{name}").isEmpty()
