@@ -6,12 +6,15 @@ sums, and only that table is put in order, in pieces when it is long.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
-from signalspark.layout import add_piece, exact_quantiles, running_totals
+from signalspark.layout import add_piece, running_totals
+from signalspark.session import materialize
 
 EDGE = 1e-6
 CANDIDATES = 200
@@ -149,26 +152,54 @@ def regression_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def threshold_candidates(scored: DataFrame, task_rows: int | None = None) -> list[float]:
+def score_table(scored: DataFrame) -> DataFrame:
+    """(p, pos, neg, n) of the distinct clipped scores, from files: the rows themselves are read once, here.
+
+    Tables of several parts of the rows are merged by adding up. ``n`` counts rows without a label too.
+    """
+    rows = scored.select(clipped(F.col("p")).alias("p"), "y").where("p is not null")
+    y = F.col("y")
+    table = rows.groupBy("p").agg(
+        F.coalesce(F.sum((y == 1).cast("long")), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum((y != 1).cast("long")), F.lit(0)).alias("neg"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return materialize(table, "scores")
+
+
+def score_quantiles(scores: DataFrame, shares: list[float], task_rows: int | None = None) -> list[float]:
+    """Linearly interpolated quantiles of all rows, looked up in the running counts of a score table."""
+    total = scores.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scores")).first()
+    if not total["n"]:
+        return []
+    places = [(total["n"] - 1) * s for s in shares]
+    ranks = sorted({r for place in places for r in (math.floor(place), math.ceil(place))})
+    upto = running_totals(scores, "p", ["n"], task_rows=task_rows, rows=total["scores"])
+    inside = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("cum_n") - F.col("n")) & (r < F.col("cum_n")))
+    # At most two scores per share.
+    at = {r["rank"]: r["p"] for r in upto.select("p", F.explode(inside).alias("rank")).collect()}
+    low_high = [(at[math.floor(place)], at[math.ceil(place)], place - math.floor(place)) for place in places]
+    return [low + (high - low) * part for low, high, part in low_high]
+
+
+def threshold_candidates(scores: DataFrame, task_rows: int | None = None) -> list[float]:
     """Evenly spaced thresholds and score quantiles, sorted and distinct: at most twice CANDIDATES."""
     grid = [float(x) for x in np.linspace(0.001, 0.999, CANDIDATES)]
-    found = exact_quantiles(scored.select(clipped(F.col("p")).alias("p")), ["p"], grid, task_rows)["p"] or []
+    found = score_quantiles(scores, grid, task_rows)
     return sorted({min(max(x, 0.0), 1.0) for x in [*grid, *found]})
 
 
-def threshold_sweep(scored: DataFrame, candidates: list[float]) -> DataFrame:
+def threshold_sweep(scores: DataFrame, candidates: list[float]) -> DataFrame:
     """Rates at every candidate threshold.
 
-    Each row is counted once, in the interval between candidates its score falls in; at most 401 interval
-    counts are then summed from the top.
+    Each score is counted once, in the interval between candidates it falls in; at most 401 interval counts are then
+    summed from the top.
     """
-    rows = add_piece(scored.select(clipped(F.col("p")).alias("p"), "y"), "p", candidates, "step")
-    counts = rows.groupBy("step").agg(
-        F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg")
-    )
+    rows = add_piece(scores, "p", candidates, "step")
+    counts = rows.groupBy("step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # Step k holds the scores at or above exactly k candidates; candidate k is number k counted from 1.
     table = [(i, t) for i, t in enumerate([None, *candidates])]
-    steps = scored.sparkSession.createDataFrame(table, "step int, threshold double").coalesce(1)
+    steps = scores.sparkSession.createDataFrame(table, "step int, threshold double").coalesce(1)
     full = steps.join(F.broadcast(counts), "step", "left").fillna(0, ["pos", "neg"])
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(F.lit(0))
@@ -204,9 +235,10 @@ def select_threshold(
 ) -> DataFrame:
     """The threshold that serves ``policy`` best on validation rows, one row; 0.5 with a reason if none does.
 
-    Ties go to the lowest threshold.
+    Ties go to the lowest threshold. Quantiles, rates and the share at one half all come from one table of scores.
     """
-    sweep = threshold_sweep(scored, threshold_candidates(scored, task_rows))
+    scores = score_table(scored)
+    sweep = threshold_sweep(scores, threshold_candidates(scores, task_rows))
     allowed = F.lit(bool(allow_pathological)) | F.col("pred_rate").between(min_pred_rate, max_pred_rate)
     centred = F.desc(-F.abs(F.col("threshold") - 0.5))
     if policy == "recall_at_precision":
@@ -220,10 +252,9 @@ def select_threshold(
     kept = sweep.where(allowed)
     chosen = kept.where(feasible).orderBy(*best, F.asc("threshold")).limit(1)
     some = kept.agg((F.count(F.lit(1)) > 0).alias("any_allowed"))
-    y, p = F.col("y"), clipped(F.col("p"))
-    base = scored.agg(
-        (F.countDistinct("y") < 2).alias("one_class"), F.avg((p >= 0.5).cast("double")).alias("rate_at_half")
-    )
+    above = F.sum(F.when(F.col("p") >= 0.5, F.col("n")).otherwise(0))
+    single = (F.coalesce(F.sum("pos"), F.lit(0)) == 0) | (F.coalesce(F.sum("neg"), F.lit(0)) == 0)
+    base = scores.agg(single.alias("one_class"), (above / F.sum("n")).alias("rate_at_half"))
     # All three sides are one row.
     row = base.crossJoin(F.broadcast(some)).join(F.broadcast(chosen), F.lit(True), "left")
     why = (
