@@ -8,13 +8,14 @@ whose own shingles fill its prefix is done, and only the others go on, with thei
 * *prefix*: similar classes share a shingle among the first ``n - ceil(t n) + 1`` of the rare-first order;
 * *length*: a class can't reach the threshold with one of less than ``t`` times its size;
 * *position*: what follows the shared prefix shingle in both must still hold the overlap that is needed;
-* *suffix*: shared shingles are tallied by hash; the sum of the smaller tallies bounds the overlap.
+* *suffix*: shared shingles are tallied by hash, and the sum of the smaller tallies bounds the overlap; so do the
+  parities of finer tallies: each that differs stands for a shingle that only one of the two has.
 
 Pairs that pass are verified once, by the lists of shared shingles (all that two classes can have in common is
-in them). Only components are asked for, so pairs are not enumerated within them: first each class is compared
-with the heads of its prefix lists, the links found are closed to components, and only then are the remaining
-pairs, those across components, compared. A large group of copies costs a comparison per copy, and no link
-between different components is lost.
+in them). Only components are asked for, so pairs are not enumerated within them: each class is compared with a few
+heads of its prefix lists, the links found are closed to components, and this is repeated with other heads while the
+pairs across components are many and fall. Then all of these that are left are compared. A large group of copies so
+costs a few comparisons per copy, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ WORDS = 5
 #: Similar from 75 of 100 on.
 PERCENT = 75
 BINS = 16
+#: 64-bit words of parities.
+PARITY_WORDS = 4
+#: Heads of one token's list in one round.
+HEADS = 4
 #: Bytes of text for each shingle, about; only the layout of the exchange depends on it.
 SHINGLE_BYTES = 6
 
@@ -146,8 +151,20 @@ def _rare_first(width: int, key_bits: int, percent: int):
     return run
 
 
+PREFIX = "token long, class long, n long, alone long, place long, bins array<int>, " + ", ".join(
+    f"odd{k} long" for k in range(PARITY_WORDS)
+)
+
+
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Whether the number of members is odd, for 64 x PARITY_WORDS bins by hash, as 64-bit words."""
+    bins = np.bincount((own >> np.uint64(8)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+    return np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(percent: int):
-    """(token, class, n, place, bins) of each prefix shingle; place counts the shingles before it in the order."""
+    """(token, class, n, alone, place, tallies) of each prefix shingle; place counts the shingles before it in the
+    order, alone those of them that no other document has."""
 
     def run(batches):
         for batch in batches:
@@ -163,24 +180,84 @@ def _prefixes(percent: int):
                         "token": pa.array(tokens, pa.int64()),
                         "class": pa.array([row["class"]] * m, pa.int64()),
                         "n": pa.array([n] * m, pa.int64()),
+                        "alone": pa.array([alone] * m, pa.int64()),
                         "place": pa.array(np.arange(alone, alone + m), pa.int64()),
                         "bins": pa.array([bins] * m, pa.list_(pa.int32())),
                     }
+                    | {f"odd{k}": pa.array([word] * m, pa.int64()) for k, word in enumerate(_parities(own).tolist())}
                 )
+        release()
 
     return run
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
     """The length, positional and suffix filters for two prefix rows with one token."""
-    nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "place") for s in (x, y))
+    nx, ny, px, py, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "place", "alone") for s in (x, y))
     need = F.ceil((nx + ny) * percent / (100.0 + percent) - 1e-9)
     length = (100 * F.least(nx, ny)) >= percent * F.greatest(nx, ny)
     # Both lists are in one order, so what they share besides the token comes before it in both or after it.
-    position = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1) >= need
+    position = F.least(px - ax, py - ay) + 1 + F.least(nx - px - 1, ny - py - 1) >= need
+    apart = sum((F.bit_count(F.col(f"{x}.odd{k}").bitwiseXOR(F.col(f"{y}.odd{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    parity = (nx - ax) + (ny - ay) - apart >= 2 * need
     smaller = F.zip_with(F.col(f"{x}.bins"), F.col(f"{y}.bins"), lambda a, b: F.least(a, b))
     suffix = F.aggregate(smaller, F.lit(0), lambda total, one: total + one) >= need
-    return length & position & suffix
+    return length & position & parity & suffix
+
+
+def _to_heads(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a class and a head of one of its tokens, of different components, that pass the filters.
+
+    The heads of a token are the first classes of its list in HEADS orders, drawn anew each turn; a class asks one of
+    them for each token. The orders are those of all tokens, so that lists of one membership have the same heads and a
+    class of a large group meets HEADS others, not one for each token.
+    """
+    names = ["class", "component", "n", "alone", "place", "bins", *(f"odd{k}" for k in range(PARITY_WORDS))]
+    part = F.pmod(F.col("token"), F.lit(HEADS))
+    first = F.min(F.struct(F.xxhash64("class", part, F.lit(turn)).alias("order"), *names)).alias("h")
+    heads = placed.groupBy("token").agg(first).select("token", *[f"h.{c}" for c in names])
+    x, y = placed.alias("x"), heads.alias("y")
+    apart = F.col("x.component") != F.col("y.component")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible("x", "y", percent))
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+
+
+def _across(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The prefix rows of tokens that several components have, with the component that the links give the class."""
+    placed = prefix.withColumn("component", F.col("class"))
+    if links is not None:
+        named = stored(connected(links), "components").select(F.col("node").alias("class"), F.col("component").alias("found"))
+        placed = prefix.join(named, "class", "left").withColumn("component", F.coalesce("found", "class")).drop("found")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return stored(placed.join(mixed.select("token"), "token", "left_semi"), "across")
+
+
+def _pairs_left(across: DataFrame) -> tuple[int, float]:
+    """Rows, and pairs of rows with one token and different components (one row reaches the driver)."""
+    cells = across.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    lists = cells.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    row = lists.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+    return int(row[0] or 0), row[1] or 0.0
+
+
+def _links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join exactly the classes which all links together join.
+
+    Rounds of heads go on while the pairs left are more than the rows and the round before took off a fifth of
+    them; every pair left then is compared.
+    """
+    across, links, turn = _across(prefix, None), None, 0
+    rows, left = _pairs_left(across)
+    while turn == 0 or (left > rows and left <= 0.8 * before):
+        found = _verified(_to_heads(across, percent, turn), sets, percent)
+        links = stored(found if links is None else links.unionByName(found), "head-links")
+        across, before, turn = _across(prefix, links), left, turn + 1
+        rows, left = _pairs_left(across)
+    x, y = across.alias("x"), across.alias("y")
+    apart = F.col("x.component") < F.col("y.component")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible("x", "y", percent))
+    rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    return stored(links.unionByName(_verified(rest, sets, percent)).distinct(), "links")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,29 +301,8 @@ def near_duplicates(
     heads = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
     going = rows.where("shared is not null").groupBy("class")
     sets = stored(going.agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared")), "shared-sets")
-    prefix = stored(sets.mapInArrow(_prefixes(percent), "token long, class long, n long, place long, bins array<int>"), "prefixes")
-    # Tokens of one class only match nothing.
-    head = prefix.groupBy("token").agg(
-        F.min(F.struct("class", "n", "place", "bins")).alias("h"), F.max("class").alias("other")
-    ).where("h.class <> other").select("token", "h.*")
-    pairs = (
-        prefix.alias("x")
-        .join(head.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & _possible("x", "y", percent))
-        .select(F.col("y.class").alias("a"), F.col("x.class").alias("b"))
-    )
-    first = stored(_verified(pairs, sets, percent), "first-links")
-    named = stored(connected(first), "first-components")
-    placed = prefix.join(named.select(F.col("node").alias("class"), "component"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")
-    )
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    across = stored(placed.join(mixed.select("token"), "token", "left_semi"), "across")
-    rest = (
-        across.alias("x")
-        .join(across.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", percent))
-        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    )
-    links = stored(first.union(_verified(rest, sets, percent)).distinct(), "links")
+    prefix = stored(sets.mapInArrow(_prefixes(percent), PREFIX), "prefixes")
+    links = _links(prefix, sets, percent)
     joined = connected(links).select(F.col("node").alias("class"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     classes = heads.join(joined, "class", "left").join(degree, "class", "left")
