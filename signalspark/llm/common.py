@@ -75,6 +75,32 @@ def release() -> None:
         trim(0)
 
 
+class Memo(dict):
+    """What a worker remembers of words: byte strings, bounded by their bytes and an entry's own.
+
+    ``trim`` before a slice of texts starts it anew when it is full, so it holds ``limit`` and one slice at most.
+    Workers live on between tasks: a task clears its memos when it ends.
+    """
+
+    ENTRY_BYTES = 200
+
+    def __init__(self, limit: int = 32 << 20):
+        super().__init__()
+        self.limit, self.bytes = limit, 0
+
+    def learn(self, words: list, values: list) -> None:
+        self.update(zip(words, values, strict=True))
+        self.bytes += sum(map(len, words)) + sum(map(len, values)) + self.ENTRY_BYTES * len(words)
+
+    def trim(self) -> None:
+        if self.bytes > self.limit:
+            self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """Consecutive slices of about ``limit`` bytes as UTF-8 byte strings; null is the empty text.
 

@@ -2,7 +2,7 @@
 
 A text is measured by each vocabulary: characters per token, the share of tokens that stand for single bytes of
 characters the vocabulary lacks, and the entropy of its tokens in bits. Words are encoded once and remembered
-within bounds. Rejection bands belong to the script that most of the text's words are written in.
+within a bound of bytes until the task ends. Rejection bands belong to the script that most of the text's words are written in.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -19,13 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, release, table, text_slices
+from signalspark.llm.common import Memo, query, release, table, text_slices
 from signalspark.llm.token_counts import vocabulary_path
 
 #: Any of the public vocabulary files; each adds its own measures, and a text is rejected if one of them is.
 VOCABULARIES = ("byte_bpe_multi_50k.tiktoken",)
-#: Distinct words that a worker remembers for each vocabulary; above it the memo starts anew.
-MEMO_WORDS = 200_000
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -85,7 +84,7 @@ ARROW_MEASURES = pa.struct(
 FIT_NAMES = [field.split()[0] for field in FIT.split(", ")]
 
 _encoders: dict[str, _Words] = {}
-_scripts: dict[bytes, str] = {}
+_scripts = Memo()
 
 
 def script_of(word: str) -> str:
@@ -102,7 +101,7 @@ class _Words:
 
     def __init__(self, name: str):
         path = vocabulary_path(name)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
         if name.endswith(".model"):
             import sentencepiece
 
@@ -128,11 +127,10 @@ class _Words:
         self.code = np.uint16 if self.size <= 1 << 16 else np.uint32
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        self.memo.trim()
         new = [w for w in words if w not in self.memo]
         ids = self.encode([w.decode("utf-8", "replace") for w in new])
-        self.memo.update((w, np.array(i, self.code).tobytes()) for w, i in zip(new, ids, strict=True))
+        self.memo.learn(new, [np.array(i, self.code).tobytes() for i in ids])
 
     def fit(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
         ids = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.code)
@@ -185,9 +183,9 @@ def measure_texts(texts: list[bytes], vocabularies=VOCABULARIES) -> list[dict]:
     encoders = [_encoder(name) for name in vocabularies]
     for encoder in encoders:
         encoder.learn(distinct)
-    if len(_scripts) > MEMO_WORDS:
-        _scripts.clear()
-    _scripts.update((w, script_of(w.decode("utf-8", "replace"))) for w in distinct if w not in _scripts)
+    _scripts.trim()
+    new = [w for w in distinct if w not in _scripts]
+    _scripts.learn(new, [script_of(w.decode("utf-8", "replace")) for w in new])
     out = []
     for text, words, repeats in zip(texts, split, repeated_words(split).tolist(), strict=True):
         symbols = len(text) - len(text.translate(None, SYMBOLS))
@@ -217,10 +215,12 @@ def measured(text: Column, vocabularies=VOCABULARIES) -> Column:
     """The measures of a text as a struct; a null text is measured as the empty one."""
 
     @arrow_udf(MEASURES)
-    def measure(texts: pa.Array) -> pa.Array:
-        got = pa.array([m for held in text_slices(texts) for m in measure_texts(held, vocabularies)], ARROW_MEASURES)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([m for held in text_slices(texts) for m in measure_texts(held, vocabularies)], ARROW_MEASURES)
+        for memo in (_scripts, *[encoder.memo for encoder in _encoders.values()]):
+            memo.clear()
         release()
-        return got
 
     return measure(text)
 
