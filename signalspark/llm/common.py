@@ -66,6 +66,14 @@ def drawn(rows: DataFrame, key: str, bound: int, stratum: str | None = None, lea
     return some.dropDuplicates([key] if stratum is None else [key, stratum])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` behind so many underscores that no column of the frame is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release() -> None:
     """Give freed memory back to the system. Python workers live on between tasks and stages: what their allocators
     keep would add up with the next stage's, beside the executor's JVM."""
@@ -76,7 +84,7 @@ def release() -> None:
 
 
 class Memo(dict):
-    """What a worker remembers of words: byte strings, bounded by their bytes and an entry's own.
+    """What a worker remembers of words: byte strings or numbers, bounded by their bytes and an entry's own.
 
     ``trim`` before a slice of texts starts it anew when it is full, so it holds ``limit`` and one slice at most.
     Workers live on between tasks: a task clears its memos when it ends.
@@ -90,7 +98,8 @@ class Memo(dict):
 
     def learn(self, words: list, values: list) -> None:
         self.update(zip(words, values, strict=True))
-        self.bytes += sum(map(len, words)) + sum(map(len, values)) + self.ENTRY_BYTES * len(words)
+        held = sum(len(value) for value in values if not isinstance(value, int))
+        self.bytes += sum(map(len, words)) + held + self.ENTRY_BYTES * len(words)
 
     def trim(self) -> None:
         if self.bytes > self.limit:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import drawn, query, table
+from signalspark.llm.common import drawn, query, table, unused
 
 # Fixed patterns of the base scan: kind, pattern, shortest match, regex group whose length counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,28 +33,40 @@ TRAINING_DOCS = 20_000
 #: transition a chance.
 UNIFORM_RANDOM = 0.5
 UNIFORM_WORDS = 0.002
+#: Code points of the blocks that a text is cut into before parts of it are taken, as a power of two.
+BLOCK_BITS = 11
 
 
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
+def _running(values: Column, count: Column, fold) -> Column:
+    """Running folds of an array of ``count`` numbers, by doubling: each round reaches twice as far back.
+
+    Time is n log n. An array that grows by one element a step would be copied at each.
+    """
+
+    def further(done: Column, turn: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), turn)
+        return F.transform(done, lambda v, i: F.when(i >= reach, fold(v, F.get(done, i - reach))).otherwise(v))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(count)) - 1), values, further)
+
+
 def spans_of(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     """Adds ``out``: start, end (code points, end exclusive) and string of the pattern's matches, from the left.
 
-    The text between matches, from splitting at the same pattern, gives their places. Only texts with a match are
-    split.
+    The text between matches, from splitting at the same pattern, gives their places: a match ends after all gaps
+    and matches up to its own. Only texts with a match are split.
     """
     found = df.withColumn(out, F.coalesce(_matches(F.col(text), pattern), F.array().cast("array<string>")))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    found = found.withColumn("_gaps", F.when(F.size(out) > 0, gaps))
-    steps = F.expr(
-        f"aggregate(sequence(1, size({out})), struct(0 as at, cast(array() as array<struct<s:int,e:int,t:string>>) as got), "
-        f"(a, k) -> struct(a.at + _gaps[k - 1] + length({out}[k - 1]) as at, concat(a.got, array(struct("
-        f"a.at + _gaps[k - 1] as s, a.at + _gaps[k - 1] + length({out}[k - 1]) as e, {out}[k - 1] as t))) as got), a -> a.got)"
-    )
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(out)), out, lambda gap, t: gap + F.length(t))
+    ends = _running(steps, F.size(out), lambda a, b: a + b)
+    spans = F.zip_with(ends, out, lambda e, t: F.struct((e - F.length(t)).alias("s"), e.alias("e"), t.alias("t")))
     empty = F.array().cast("array<struct<s:int,e:int,t:string>>")
-    return found.withColumn(out, F.when(F.size(out) > 0, steps).otherwise(empty)).drop("_gaps")
+    return found.withColumn(out, F.when(F.size(out) > 0, spans).otherwise(empty))
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -123,23 +135,40 @@ def corpus_samples(docs: DataFrame, text: str, bound: int = TRAINING_DOCS) -> Da
 def find_secrets(docs: DataFrame, text: str = "text", ratios: list[float] | None = None) -> DataFrame:
     """Adds ``assign``, ``access``, ``hex`` and ``markov``: arrays of spans (s, e, t) of each kind.
 
-    A null or empty text has none. Rows are scanned one by one, so repeated rows get the same spans. Columns of
-    these names are replaced. ``ratios`` are those of ``fit_models``; without them the models are fitted on the
-    documents' own labelled strings.
+    A null or empty text has none, an empty table stays empty. Rows are scanned one by one, so repeated rows get the
+    same spans. Columns of these names are replaced. Time is nearly linear in a text's length and in its matches.
+    ``ratios`` are those of ``fit_models``; without them the models are fitted on the documents' own labelled strings.
     """
     if ratios is None:
         ratios = fit_models(corpus_samples(docs, text))
     size = len(ALPHABET)
     # A constant: the optimiser folds it into one array.
     table_of = F.split(F.lit(",".join(f"{r:.5f}" for r in ratios)), ",").cast("array<double>")
-    df = base_spans(docs, text)
-    df = spans_of(df, text, CANDIDATE, "markov").withColumn("_ratios", table_of)
-    judged = F.expr(
-        f"filter(transform(markov, x -> struct(x.s, x.e, x.t, aggregate(sequence(2, length(x.t)), 0.0D, (sum, k) -> "
-        f"sum + _ratios[(instr('{ALPHABET}', substr(x.t, k - 1, 1)) - 1) * {size} + instr('{ALPHABET}', substr(x.t, k, 1)) - 1]"
-        f") as ratio)), x -> x.ratio >= {LEAST_SUM} and x.ratio >= {LEAST_MEAN} * (length(x.t) - 1))"
+    df = spans_of(base_spans(docs, text), text, CANDIDATE, "markov")
+
+    def summed(codes: Column) -> Column:
+        one = F.size(codes) - 1
+        pairs = F.zip_with(F.slice(codes, F.lit(1), one), F.slice(codes, F.lit(2), one), lambda a, b: a * size + b)
+        return F.aggregate(pairs, F.lit(0.0), lambda total, at: total + F.get(table_of, at))
+
+    # A run is cut into characters once; each then has its place in the alphabet, from 0.
+    codes = F.transform(
+        "markov",
+        lambda x: F.struct(
+            x["s"].alias("s"),
+            x["e"].alias("e"),
+            x["t"].alias("t"),
+            F.transform(F.split(x["t"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("c"),
+        ),
+    )
+    judged = F.transform(
+        codes, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), summed(x["c"]).alias("ratio"))
+    )
+    likely = F.filter(
+        judged, lambda x: (x["ratio"] >= LEAST_SUM) & (x["ratio"] >= LEAST_MEAN * (F.length(x["t"]) - 1))
     )
-    return df.withColumn("markov", F.transform(judged, lambda x: F.struct(x["s"], x["e"], x["t"]))).drop("_ratios")
+    plain = F.transform(likely, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t")))
+    return df.withColumn("markov", plain)
 
 
 def joined_spans(kinds: tuple[str, ...]) -> Column:
@@ -154,15 +183,30 @@ def joined_spans(kinds: tuple[str, ...]) -> Column:
 
 
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span by ``mark``, overlapping ones together; needs the columns of ``find_secrets``."""
-    every = F.array_sort(F.concat(*[F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))") for k in KINDS]))
-    found = df.withColumn("_every", every)
-    clean = F.expr(
-        f"aggregate(_every, struct(0 as at, '' as done), (a, x) -> struct(greatest(a.at, x.e) as at, "
-        f"if(x.s >= a.at, concat(a.done, substr({text}, a.at + 1, x.s - a.at), '{mark}'), a.done) as done), "
-        f"a -> concat(a.done, substr({text}, a.at + 1)))"
-    )
-    return found.withColumn(text, F.when(F.size("_every") > 0, clean).otherwise(F.col(text))).drop("_every")
+    """Replaces every span by ``mark``, overlapping ones together; needs the columns of ``find_secrets``.
+
+    What stays is taken from blocks of the text, as reaching a place in a long string takes a walk from its start.
+    Texts without a span stay as they are, null too.
+    """
+    every, upto, blocks = (unused(df, name) for name in ("_every", "_upto", "_blocks"))
+    spans = F.array_sort(F.concat(*[F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))") for k in KINDS]))
+    found = df.withColumn(every, spans)
+    some = F.size(every) > 0
+    # How far the spans before each one reach, and all of them.
+    reached = _running(F.transform(every, lambda x: x["e"]), F.size(every), F.greatest)
+    found = found.withColumn(upto, F.when(some, F.concat(F.array(F.lit(0)), reached)))
+    found = found.withColumn(blocks, F.when(some, _matches(F.col(text), f"(?s).{{1,{1 << BLOCK_BITS}}}")))
+
+    def part(a: Column, b: Column) -> Column:
+        first = F.shiftright(a, BLOCK_BITS)
+        held = F.slice(blocks, first + 1, F.shiftright(b, BLOCK_BITS) - first + 1)
+        return F.substr(F.array_join(held, ""), a.bitwiseAND((1 << BLOCK_BITS) - 1) + 1, b - a)
+
+    starts = F.zip_with(every, F.slice(upto, F.lit(1), F.size(every)), lambda x, a: F.struct(a.alias("a"), x["s"].alias("s")))
+    opens = F.filter(starts, lambda x: x["s"] >= x["a"])
+    pieces = F.transform(opens, lambda x: F.concat(part(x["a"], x["s"]), F.lit(mark)))
+    clean = F.array_join(F.concat(pieces, F.array(part(F.element_at(upto, -1), F.length(text)))), "")
+    return found.withColumn(text, F.when(some, clean).otherwise(F.col(text))).drop(every, upto, blocks)
 
 
 @query()
