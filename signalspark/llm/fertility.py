@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import Memo, query, release, table, text_slices
+from signalspark.llm.common import Memo, query, release, table, text_slices, unused
 from signalspark.llm.token_counts import vocabulary_path
 
 #: Any of the public vocabulary files; each adds its own measures, and a text is rejected if one of them is.
@@ -39,14 +39,19 @@ _STARTS = [s for s, _ in SCRIPT_STARTS]
 SCRIPTS = sorted({s for _, s in SCRIPT_STARTS} | {"none"})
 
 
+#: n tokens have log2(n) bits of entropy at most. The lower limits hold in full from so many tokens on; a shorter text
+#: must reach the same share of the bits that it can have. The mean of the characters of n tokens strays by about
+#: 1 / sqrt(n) of itself; that much is allowed below its lower limit.
+FULL_TOKENS = 100
+
+
 @dataclass(frozen=True)
 class Band:
-    """Accepted ranges. A text of fewer than ``min_tokens`` tokens is too short to measure and passes."""
+    """Accepted ranges, for texts of every length."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: tuple[float, float]
-    min_tokens: int = 100
 
 
 #: By script, for byte-level vocabularies. Han, kana and Thai write words without spaces and have few characters
@@ -228,12 +233,15 @@ def measured(text: Column, vocabularies=VOCABULARIES) -> Column:
 def in_band(script: Column, fit: Column, bands: dict[str, Band] = BANDS, other: Band = OTHER_BAND) -> Column:
     """Whether one vocabulary's measures lie in the band of the text's script."""
 
+    n = F.greatest(fit["n_tokens"], F.lit(1)).cast("double")
+    part, strays = F.least(F.lit(1.0), F.log2(n) / math.log2(FULL_TOKENS)), 1 / F.sqrt(n)
+
     def inside(band: Band) -> Column:
+        (few, many), (low, high) = band.chars_per_token, band.entropy
         return (
-            (fit["n_tokens"] < band.min_tokens)
-            | fit["chars_per_token"].between(*band.chars_per_token)
+            fit["chars_per_token"].between(few * (1 - strays), F.lit(many))
             & (fit["byte_share"] <= band.byte_share)
-            & fit["entropy"].between(*band.entropy)
+            & fit["entropy"].between(low * part, F.lit(high))
         )
 
     verdict = F.when(script.isNull(), F.lit(True))
@@ -246,11 +254,12 @@ def with_rules(docs: DataFrame, text: str = "text", vocabularies=VOCABULARIES, b
     """Adds the base measures, ``script``, ``fit``, ``base_failed`` and ``kept``; columns of these names are replaced.
 
     Null and empty texts have no words, so they fail the base rules. Rows are judged one by one: repeated rows get
-    the same verdict, an empty table stays empty.
+    the same verdict, an empty table stays empty. Texts of any length are measured whole.
     """
     # The measures stand alone in a projection, so that the optimiser doesn't call Python once per field.
-    got = docs.withColumn("_m", measured(F.col(text), vocabularies))
-    got = got.withColumns({name: F.col(f"_m.{name}") for name in (*BASE, "script", "fit")}).drop("_m")
+    held = unused(docs, "_m")
+    got = docs.withColumn(held, measured(F.col(text), vocabularies))
+    got = got.withColumns({name: F.col(held)[name] for name in (*BASE, "script", "fit")}).drop(held)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fits = F.forall("fit", lambda one: in_band(F.col("script"), one, bands))
     return got.withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
