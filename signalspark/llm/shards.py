@@ -26,7 +26,7 @@ TIE_BITS = 30
 HEAVY = 64
 #: Rows numbered in one task.
 PIECE_ROWS = 200_000
-DIMENSIONS = ("d_size", "d_letters", "d_lines", "d_mix")
+DIMENSIONS = ("d_size", "d_letters", "d_lines", "d_words", "d_digits")
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,8 @@ class Split:
 def metadata(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, text_key, dimensions): each dimension a whole number from 0 to BINS - 1.
 
-    A null text counts as the empty one. The dimensions are the logarithm of the size, the share of bytes beyond
-    ASCII, bytes per line, and a mix of the text that is evenly spread.
+    A null text counts as the empty one. The dimensions are the logarithms of the size, of the bytes per line and of
+    the bytes per word, and the shares of bytes beyond ASCII and of digits.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc).alias("doc_id"), raw.alias("_t")).select(
@@ -52,19 +52,22 @@ def metadata(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
         F.crc32(F.col("_t").cast("binary")).alias("text_crc32"),
         F.xxhash64("_t").alias("text_key"),
         F.char_length("_t").alias("_chars"),
-        (F.length(F.translate("_t", "\n", "")) * -1 + F.char_length("_t") + 1).alias("_lines"),
+        (F.char_length("_t") - F.char_length(F.translate("_t", "\n", "")) + 1).alias("_lines"),
+        (F.char_length("_t") - F.char_length(F.translate("_t", " \t\r\n", "")) + 1).alias("_words"),
+        (F.char_length("_t") - F.char_length(F.translate("_t", "0123456789", ""))).alias("_digits"),
     )
     scaled = {
         "d_size": F.log2("size") / 48,
         "d_letters": (F.col("size") - F.col("_chars") - 1) / F.col("size") / 0.75,
         "d_lines": F.log2(F.col("size") / F.col("_lines") + 1) / 48,
-        "d_mix": F.pmod("text_key", F.lit(BINS)) / BINS,
+        "d_words": F.log2(F.col("size") / F.col("_words") + 1) / 48,
+        "d_digits": F.col("_digits") / F.col("size"),
     }
     limits = {
         name: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(value * BINS))).cast("int")
         for name, value in scaled.items()
     }
-    return base.withColumns(limits).drop("_chars", "_lines")
+    return base.withColumns(limits).drop("_chars", "_lines", "_words", "_digits")
 
 
 def _below(split: Split) -> Column:
