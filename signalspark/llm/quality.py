@@ -11,6 +11,7 @@ round, makes one pass of updates, and the states are averaged.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import SLICE_BYTES, drawn, query, stored, table, text_slices
+from signalspark.llm.common import Memo, drawn, query, release, stored, table, text_slices
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on about so many labelled documents, spread over the labels by a hash of the id.
@@ -30,11 +31,9 @@ ROUNDS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: Shares are multiplied by this, so that frequent features move the score within a few updates.
 SCALE = 8.0
-#: Distinct words that a worker remembers; above it the memo starts anew.
-MEMO_WORDS = 200_000
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
-_memo: dict[bytes, bytes] = {}
+_memo = Memo()
 
 
 def _hash(text: str) -> int:
@@ -58,12 +57,10 @@ def _codes(word: bytes) -> bytes:
 
 def features(text: bytes) -> np.ndarray:
     """Buckets of all n-grams of a text, repeated ones too."""
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
+    _memo.trim()
     words = text.split()
-    for word in set(words):
-        if word not in _memo:
-            _memo[word] = _codes(word)
+    new = [word for word in set(words) if word not in _memo]
+    _memo.learn(new, [_codes(word) for word in new])
     one = np.frombuffer(b"".join(map(_memo.__getitem__, words)), np.uint64)
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ one[1:]
     two ^= two >> np.uint64(29)
@@ -95,13 +92,15 @@ def _learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray
         n[at] += g * g
 
 
-def fit(examples: DataFrame, text: str = "text", label: str = "label") -> np.ndarray:
+def fit(examples: DataFrame, text: str = "text", label: str = "label", doc: str | None = None) -> np.ndarray:
     """Weights (BUCKETS and the intercept) from labelled rows.
 
-    What reaches the driver is one state per partition and round. Without rows all weights are 0: every score is
-    one half.
+    Rows are dealt to the partitions by ``doc``, so that copies of one text are spread; without it by their text.
+    Repeated rows are learned from each time. What reaches the driver is one state per partition and round. Without
+    rows, or from an empty table, all weights are 0: every score is one half.
     """
-    ready = stored(examples.select(text, F.col(label).cast("int").alias("label")).repartition(PARTITIONS, F.xxhash64(text)), "quality-examples")
+    chosen = examples.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(doc or text).alias("deal"))
+    ready = stored(chosen.repartition(PARTITIONS, "deal").select("text", "label"), "quality-examples")
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for turn in range(ROUNDS):
         sent = (z.astype(np.float32), n.astype(np.float32))
@@ -112,6 +111,7 @@ def fit(examples: DataFrame, text: str = "text", label: str = "label") -> np.nda
             for batch in batches:
                 for raw, label in zip(batch.column(0).cast(pa.large_binary()), batch.column(1), strict=True):
                     rows.append((*_shares(raw.as_py() or b""), label.as_py()))
+            _memo.clear()
             np.random.default_rng(turn).shuffle(rows)
             _learn(own_z, own_n, rows)
             if rows:
@@ -133,7 +133,7 @@ def fit(examples: DataFrame, text: str = "text", label: str = "label") -> np.nda
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, bound: int = TRAINING_DOCS) -> DataFrame:
-    """(text, label) of about ``bound`` labelled documents; rows without a label or text are left out.
+    """(doc, text, label) of about ``bound`` labelled documents; rows without a label or text are left out.
 
     The chosen labels are at most about ``bound`` rows of two numbers, so they are sent to the documents' tasks and
     the texts of the other documents stay where they are.
@@ -141,21 +141,26 @@ def examples_of(docs: DataFrame, labels: DataFrame, doc: str, text: str, label:
     labelled = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("_doc"), F.col(label).alias("label"))
     some = drawn(labelled.where("_doc is not null"), "_doc", bound, "label", LEAST_DOCS)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(some), "_doc").select("text", "label")
+    return texts.join(F.broadcast(some), "_doc").select(F.col("_doc").alias("doc"), "text", "label")
 
 
 def quality_score(text: Column, weights: np.ndarray) -> Column:
-    """Probability of label 1; null and empty texts have the intercept's."""
+    """Probability of label 1; null and empty texts have the intercept's.
+
+    Texts of any length are scored whole, repeated rows alike; an empty table stays empty.
+    """
 
     @arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for held in text_slices(texts, SLICE_BYTES):
-            for raw in held:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for raw in (raw for held in text_slices(texts) for raw in held):
                 at = features(raw)
                 dot = SCALE * float(weights[at].sum(dtype=np.float64)) / max(len(at), 1) + float(weights[BUCKETS])
                 out.append(1.0 / (1.0 + np.exp(-max(-35.0, min(35.0, dot)))))
-        return pa.array(out, pa.float64())
+            yield pa.array(out, pa.float64())
+        _memo.clear()
+        release()
 
     return run(text)
 
@@ -164,6 +169,6 @@ def quality_score(text: Column, weights: np.ndarray) -> Column:
 def op3_quality_ftrl(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    weights = fit(examples_of(docs, labels.where(~held_out), "doc_id", "text", "quality"))
+    weights = fit(examples_of(docs, labels.where(~held_out), "doc_id", "text", "quality"), doc="doc")
     scored = docs.select("doc_id", held_out.alias("held_out"), quality_score(F.col("text"), weights).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
