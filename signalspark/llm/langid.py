@@ -11,6 +11,7 @@ likelihood of a word to the mixture's (by Jensen's inequality).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import drawn, query, table, text_slices
+from signalspark.llm.common import Memo, drawn, query, release, table, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -29,10 +30,9 @@ TRAINING_DOCS = 6_000
 LEAST_DOCS = 100
 ROUNDS = 8
 PENALTY = 2.0
-#: Distinct words that a worker remembers; above it the memo starts anew.
-MEMO_WORDS = 200_000
 
-_memos: dict[int, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+#: Scores of words (as bytes of float32) by the key of the fitted model; one model at a time.
+_memos: dict[int, Memo] = {}
 
 
 def _letters(part: bytes) -> bytes:
@@ -87,7 +87,8 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bound: int = TRAINING_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (BUCKETS x languages), from about ``bound`` distinct labelled texts.
 
-    Rows without a language or text are left out. At most BUCKETS numbers per language reach the driver.
+    Rows without a language or text are left out; copies of a text count once. At most BUCKETS numbers per language
+    reach the driver. An empty table gives no languages, and then every text is ``und``.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = gram_counts(drawn(labelled.select(text, lang), text, bound, lang, LEAST_DOCS), text, lang).collect()
@@ -101,10 +102,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bound: int = TR
 
 def _word_scores(words: list[bytes], logs: np.ndarray, key: int) -> np.ndarray:
     """Log-likelihood of each word (repeated ones too) in each language, by a memo of distinct words."""
-    memo, stores = _memos.setdefault(key, ({}, [np.zeros((0, logs.shape[1]), np.float32)]))
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-        stores[0] = stores[0][:0]
+    if key not in _memos:
+        _memos.clear()
+    memo = _memos.setdefault(key, Memo())
+    memo.trim()
     new = [w for w in set(words) if w not in memo]
     if new:
         spelled = [_letters(w) for w in new]
@@ -113,10 +114,8 @@ def _word_scores(words: list[bytes], logs: np.ndarray, key: int) -> np.ndarray:
         for k in range(logs.shape[1]):
             scores[:, k] = np.bincount(owner, weights=logs[buckets, k], minlength=len(new))
         scores[[not s for s in spelled]] = np.nan  # no letters: no evidence
-        base = len(stores[0])
-        memo.update(zip(new, range(base, base + len(new)), strict=True))
-        stores[0] = np.concatenate([stores[0], scores.astype(np.float32)])
-    return stores[0][np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
+        memo.learn(new, [row.tobytes() for row in scores.astype(np.float32)])
+    return np.frombuffer(b"".join(map(memo.__getitem__, words)), np.float32).reshape(len(words), logs.shape[1])
 
 
 def mixtures(scores: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,16 +188,20 @@ def identify(texts: list[bytes], languages: list[str], logs: np.ndarray, key: in
 def language(text: Column, languages: list[str], logs: np.ndarray) -> Column:
     """struct<lang, score, shares>: the main language, its proportion, and the proportions by language.
 
-    Null texts and texts without a letter are ``und`` with score 0.
+    Null texts and texts without a letter are ``und`` with score 0. Texts of any length are judged whole, and each on
+    its own: repeated rows get one result, an empty table stays empty.
     """
     key = hash(logs.tobytes())
 
     @arrow_udf("struct<lang:string,score:double,shares:array<double>>")
-    def run(texts: pa.Array) -> pa.Array:
-        got = [one for held in text_slices(texts) for one in identify(held, languages, logs, key)]
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ("lang", "score", "shares")
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.float64()))])
-        return pa.array([dict(zip(names, one, strict=True)) for one in got], kind)
+        for texts in batches:
+            got = [one for held in text_slices(texts) for one in identify(held, languages, logs, key)]
+            yield pa.array([dict(zip(names, one, strict=True)) for one in got], kind)
+        _memos.clear()
+        release()
 
     return run(text)
 

@@ -25,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, release, table, text_slices
+from signalspark.llm.common import Memo, query, release, table, text_slices, unused
 from signalspark.llm.token_counts import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct chunks that start a new memo; the one before is kept beside it, and what is met again moves over.
-MEMO_CHUNKS = 150_000
+#: Bytes of chunks and their ids that start a new memo; the one before is kept beside it, and what is met again moves
+#: over. Chunks are held as strings of up to four bytes a character.
+MEMO_BYTES = 32 << 20
 #: Characters of new chunks that are indexed together.
 INDEX_CHARS = 1 << 20
 #: Bytes of text whose new chunks are learned together.
@@ -91,8 +92,7 @@ class _Pieces:
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [byte_of.get(i, t.replace(MARK, " ").encode("utf-8")) for i, t in enumerate(self.texts)]
         #: Chunk to its ids, as bytes of the type ``code``.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo, self.older = Memo(MEMO_BYTES), Memo(MEMO_BYTES)
 
     def _symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
@@ -255,13 +255,12 @@ class _Pieces:
         size = 0
         for chunk in [*sorted(plain - self.memo.keys(), key=len), None]:
             if held and (chunk is None or size + len(chunk) > INDEX_CHARS):
-                self.memo.update(zip(held, self.relax(held), strict=True))
+                self.memo.learn(held, self.relax(held))
                 held, size = [], 0
             if chunk is not None:
                 held.append(chunk)
                 size += len(chunk) + 1
-        for chunk in runs:
-            self.memo[chunk] = self._marks_first(chunk)
+        self.memo.learn(runs, [self._marks_first(chunk) for chunk in runs])
 
     def _marks_first(self, chunk: str) -> bytes:
         """A run of marks and what follows it.
@@ -307,14 +306,14 @@ class _Pieces:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The piece ids of each UTF-8 text."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, self.memo
+        if self.memo.bytes > MEMO_BYTES:
+            self.memo, self.older = Memo(MEMO_BYTES), self.memo
         split = [
             CHUNK.findall(MARK + text.decode("utf-8", "replace").replace(" ", MARK)) if text else [] for text in texts
         ]
         new = set(chain.from_iterable(split)) - self.memo.keys()
         again = new & self.older.keys()
-        self.memo.update((c, self.older[c]) for c in again)
+        self.memo.learn(list(again), [self.older[c] for c in again])
         self.learn(list(new - again))
         known = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(known, chunks)), self.code) for chunks in split]
@@ -396,10 +395,12 @@ def with_pieces(
 ) -> DataFrame:
     """Adds the piece ids and whether they decode to the text; columns of these names are replaced.
 
-    Rows are kept as they are, repeated ones too.
+    Rows are kept as they are, repeated ones too; null and empty texts have no pieces, an empty table stays empty.
+    Texts of any length are encoded whole.
     """
-    got = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, check)], coded(F.col(text), model).alias("_coded"))
-    return got.withColumns({out: F.col("_coded.ids"), check: F.col("_coded.round_trip")}).drop("_coded")
+    held = unused(docs, "_coded")
+    got = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, check)], coded(F.col(text), model).alias(held))
+    return got.withColumns({out: F.col(held)["ids"], check: F.col(held)["round_trip"]}).drop(held)
 
 
 @query()

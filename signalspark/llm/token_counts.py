@@ -2,30 +2,30 @@
 
 White space separates the tokens of the word tokenizer: its pattern drops it, no special string holds any, and
 neither its normaliser nor its lower-casing looks across it. ASCII white space is thus a safe boundary, at which
-texts of any length are split; each distinct part is encoded once per batch (and kept while the bounded memo of a
-worker lasts), and a text's count is the sum over its parts.
+texts of any length are split; each distinct part is encoded once per batch (and kept while the task's memo, bounded
+by bytes, lasts), and a text's count is the sum over its parts.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalspark.llm.common import query, table, text_slices
+from signalspark.llm.common import Memo, query, release, table, text_slices
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct text parts that a worker remembers; above it the memo starts anew.
-MEMO_PARTS = 400_000
+#: Bytes of the text parts that a worker remembers until a task ends.
+MEMO_BYTES = 64 << 20
 #: Bytes of new text parts that go to the encoder in one call.
 CALL_BYTES = 1 << 18
 
 _tokenizers: dict[str, object] = {}
-_memos: dict[str, dict[bytes, int]] = {}
+_memos: dict[str, Memo] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -64,12 +64,11 @@ def encode_lengths(parts: list[bytes], name: str) -> list[int]:
 
 def count_texts(texts: list[bytes], name: str = VOCABULARY) -> list[int]:
     """Tokens of each UTF-8 text."""
-    memo = _memos.setdefault(name, {})
-    if len(memo) > MEMO_PARTS:
-        memo.clear()
+    memo = _memos.setdefault(name, Memo(MEMO_BYTES))
+    memo.trim()
     split = [text.split() for text in texts]
     new = list({part for parts in split for part in parts if part not in memo})
-    memo.update(zip(new, encode_lengths(new, name), strict=True))
+    memo.learn(new, encode_lengths(new, name))
     return [sum(map(memo.__getitem__, parts)) for parts in split]
 
 
@@ -77,8 +76,11 @@ def token_counter(name: str = VOCABULARY) -> Callable:
     """An Arrow function from texts to token counts; a null text has none."""
 
     @arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array([n for held in text_slices(texts) for n in count_texts(held, name)], pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([n for held in text_slices(texts) for n in count_texts(held, name)], pa.int64())
+        _memos.clear()
+        release()
 
     return count
 
@@ -88,8 +90,9 @@ def with_token_counts(
 ) -> DataFrame:
     """Adds the token count and ``over_limit``; columns of these names are replaced.
 
-    Null and empty texts have 0 tokens and are never over the limit. Rows are kept as they are, repeated ones too;
-    special strings inside a text count as the library's default has it.
+    Null and empty texts have 0 tokens and are never over the limit. Rows are kept as they are, repeated ones too; an
+    empty table stays empty. Texts of any length are counted whole; special strings inside a text count as the
+    library's default has it.
     """
     counted = docs.withColumn(out, token_counter(name)(F.col(text)))
     return counted.withColumn("over_limit", F.col(out) > limit)
