@@ -88,27 +88,51 @@ def _least(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def strings_of(texts: list[bytes], span: int, token: int):
-    """Yields, for runs of texts, (owner, start, leading token, string hash) of all their span-byte strings."""
+def _chunks(texts: list[bytes]):
+    """Runs of texts of about CHUNK_BYTES: the first one's number, their bytes and sizes."""
     at = 0
     while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK_BYTES):
             size += len(texts[stop])
             stop += 1
-        data = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
-        sizes = np.array([len(t) for t in texts[at:stop]], np.int64)
-        if size >= span:
-            tokens, strings = _rolling(data, (token, span))
-            lead = _least(_mix(tokens), span - token + 1)
-            ends = np.cumsum(sizes)
-            owner = np.repeat(np.arange(at, stop), sizes)[: len(strings)]
-            start = np.arange(len(strings)) - (ends - sizes)[owner - at]
-            whole = start + span <= sizes[owner - at]
-            yield owner[whole], start[whole], lead[whole], _mix(strings[whole])
+        yield at, np.frombuffer(b"".join(texts[at:stop]), np.uint8), np.array([len(t) for t in texts[at:stop]], np.int64)
         at = stop
 
 
+def strings_of(texts: list[bytes], span: int):
+    """Yields, for runs of texts, (owner, start, hash) of all their span-byte strings."""
+    for at, data, sizes in _chunks(texts):
+        if len(data) >= span:
+            strings = _rolling(data, (span,))[0]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[: len(strings)]
+            start = np.arange(len(strings)) - (np.cumsum(sizes) - sizes)[owner]
+            whole = start + span <= sizes[owner]
+            yield owner[whole] + at, start[whole], _mix(strings[whole])
+
+
+def leads_of(texts: list[bytes], span: int, token: int):
+    """Yields, for runs of texts, (owner, start, count, leading token) of each stretch of neighbouring span-byte
+    strings of one text that have one leading token."""
+    for at, data, sizes in _chunks(texts):
+        if len(data) < span:
+            continue
+        lead = _least(_mix(_rolling(data, (token,))[0]), span - token + 1)
+        ends = np.cumsum(sizes)
+        fresh = np.ones(len(lead), bool)
+        np.not_equal(lead[1:], lead[:-1], out=fresh[1:])
+        # Strings of a text end where the next text's would begin: neither these nor those across are its own.
+        begins, lasts = ends - sizes, ends - span + 1
+        fresh[begins[begins < len(lead)]] = True
+        fresh[lasts[(lasts >= 0) & (lasts < len(lead))]] = True
+        first = np.flatnonzero(fresh)
+        owner = np.searchsorted(ends, first, "right")
+        start = first - begins[owner]
+        own = start + span <= sizes[owner]
+        count = np.diff(np.append(first, len(lead)))
+        yield owner[own] + at, start[own], count[own], lead[first[own]]
+
+
 def _first_documents(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order; for each its smallest document, doubled, plus 1 if the key has several."""
     if not len(keys):
@@ -123,11 +147,9 @@ def _first_documents(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np
 def _token_keys(span: int, token: int, drop: np.uint64) -> B.KeysOf:
     def keys_of(texts, ids):
         keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for owner, _, lead, _ in strings_of(texts, span, token):
-            fresh = np.ones(len(lead), bool)
-            fresh[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
-            keys.append(lead[fresh] >> drop)
-            docs.append(ids[owner[fresh]])
+        for owner, _, _, lead in leads_of(texts, span, token):
+            keys.append(lead >> drop)
+            docs.append(ids[owner])
         return _first_documents(np.concatenate(keys), np.concatenate(docs))
 
     return keys_of
@@ -176,6 +198,14 @@ class _Pieces:
         return before.astype(bool)[self.group] | (self.low[self.group] < self.docs)
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of numbers."""
+    value = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        value = _mix((value ^ column) * np.uint64(_FACTOR) + np.uint64(1))
+    return value
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of texts, and where each begins."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -186,29 +216,20 @@ class _Runs:
     """The runs of a block: neighbouring strings with one shared leading token, at most span of them."""
 
     def __init__(self, texts, ids, span, token, drop, hash_drop, shared: np.ndarray):
-        parts, tokens = [], [np.zeros(0, np.uint64)]
-        for owner, start, lead, string in strings_of(texts, span, token):
-            # Neighbouring strings mostly have one leading token: it is looked up once per run.
-            fresh = np.ones(len(lead), bool)
-            fresh[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
-            change = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(change, len(string)))
-            # A run ends after span strings: its bytes are those of its first and its last string.
-            first = np.flatnonzero((np.arange(len(string)) - np.repeat(change, sizes)) % span == 0)
-            many = np.diff(np.append(first, len(string)))
-            tokens.append(lead[first] >> drop)
-            parts.append((owner[first], start[first], many, string[first], string[first + many - 1]))
-        known = np.unique(np.concatenate(tokens))  # the keys that were asked about, in the same order
-        flags = shared.astype(bool)
-        whole = np.zeros(0, np.int64)
-        columns = (whole, whole, whole, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        hits = [flags[np.searchsorted(known, own)] for own in tokens[1:]]
-        kept = [[c[hit] for c in part] for part, hit in zip(parts, hits, strict=True)]
-        self.owner, self.start, self.sizes, head, tail = (np.concatenate(c) for c in zip(columns, *kept, strict=True))
-        hashes = _mix(_mix(head * np.uint64(_FACTOR) + self.sizes.astype(np.uint64)) + tail) >> hash_drop
+        none = np.zeros(0, np.int64)
+        parts = zip((none, none, none, np.zeros(0, np.uint64)), *leads_of(texts, span, token), strict=True)
+        owner, start, sizes, lead = (np.concatenate(c) for c in parts)
+        known = np.unique(lead >> drop)  # the keys that were asked about, in the same order
+        hit = shared.astype(bool)[np.searchsorted(known, lead >> drop)]
+        owner, start, sizes = owner[hit], start[hit], sizes[hit]
+        # A longer stretch is several runs: span strings cover 2 span - 1 bytes.
+        many = -(-sizes // span)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.owner, self.start = np.repeat(owner, many), np.repeat(start, many) + nth * span
+        self.sizes = np.minimum(np.repeat(sizes, many) - nth * span, span)
         data, begins = _joined(texts)
         rows = B.byte_rows(data, begins[self.owner] + self.start, self.sizes + span - 1, 2 * span - 1)
-        self.pieces = _Pieces(hashes, ids[self.owner], rows)
+        self.pieces = _Pieces(row_hashes(rows) >> hash_drop, ids[self.owner], rows)
 
     def packed(self, which: np.ndarray) -> bytes:
         """Owner, start and size of the chosen runs."""
@@ -227,12 +248,11 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class _Strings:
     """The span-byte strings of the runs that no smaller document has whole."""
 
-    def __init__(self, texts, ids, span, token, hash_drop, left: bytes):
+    def __init__(self, texts, ids, span, hash_drop, left: bytes):
         owner, start, sizes = _unpacked(left)
         held = [texts[o][a : a + n + span - 1] for o, a, n in zip(owner.tolist(), start.tolist(), sizes.tolist(), strict=True)]
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        parts = ((run, at, string) for run, at, _, string in strings_of(held, span, token))
-        run, at, string = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
+        run, at, string = (np.concatenate(c) for c in zip(empty, *strings_of(held, span), strict=True))
         self.span, self.hashes = span, string >> hash_drop
         self.owner, self.start = owner[run], start[run] + at
         self.docs = ids[self.owner]
@@ -285,8 +305,9 @@ def repeated_spans(
     """A row per document: sizes, removed byte runs, the kept bytes (if wanted) and their SHA-256.
 
     Null and empty texts, and texts under ``span`` bytes, lose nothing. Rows of one id are one document and don't
-    remove each other's bytes; rows without an id come after all others. Candidates are found by hashes of as many
-    bits as the input's size asks for, and compared byte for byte.
+    remove each other's bytes; rows without an id come after all others. An empty table stays empty; a text above a
+    block's size is a block of its own, in one task's memory. Candidates are found by hashes of as many bits as the
+    input's size asks for, and compared byte for byte.
     """
     stock = B.to_blocks(docs, id_name, text)
     total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
@@ -304,7 +325,7 @@ def repeated_spans(
 
     def strings_in(row) -> tuple[np.ndarray, list[bytes], _Strings]:
         ids, texts = B.open_block(row["ids"], row["sizes"], row["texts"])
-        return ids, texts, _Strings(texts, ids, span, token, string_drop, row["left_runs"])
+        return ids, texts, _Strings(texts, ids, span, string_drop, row["left_runs"])
 
     def sort_out(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.llm import decontaminate, fertility, jaccard, langid, pieces, quality, queries, secrets, shards, suffixes
+from signalspark.llm import blocks, decontaminate, fertility, jaccard, langid, pieces, quality, queries, secrets, shards, suffixes
 from signalspark.llm import token_counts
 from signalspark.llm.common import drawn
 from signalspark.llm.components import connected
@@ -183,17 +183,17 @@ def colliding_strings(of_run):
     tokens = suffixes._mix(suffixes._rolling(np.frombuffer(b"".join(heads), np.uint8), (24,))[0][::24])
     head, token = heads[int(tokens.argmin())], tokens.min()
     texts = [head + bytes(t) for t in letters[rng.integers(0, 26, (400_000, 26))]]
+    lead = np.concatenate([part[3] for part in suffixes.leads_of(texts, 50, 24)])
+    if of_run:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        keys = suffixes.row_hashes(blocks.byte_rows(data, np.arange(len(texts)) * 50, np.full(len(texts), 50), 99))
+    else:
+        keys = np.concatenate([part[2] for part in suffixes.strings_of(texts, 50)])
     seen = {}
-    at = 0
-    for owner, _, lead, string in suffixes.strings_of(texts, 50, 24):
-        keys = string
-        if of_run:
-            keys = suffixes._mix(suffixes._mix(string * np.uint64(suffixes._FACTOR) + np.uint64(1)) + string)
-        for o, own, key in zip(owner.tolist(), lead.tolist(), (keys >> np.uint64(32)).tolist(), strict=True):
-            if own == token and texts[seen.setdefault(key, o)] != texts[o]:
-                return texts[seen[key]].decode(), texts[o].decode()
-        at += len(owner)
-    raise AssertionError(f"no match among {at} strings")
+    for o, (own, key) in enumerate(zip(lead.tolist(), (keys >> np.uint64(32)).tolist(), strict=True)):
+        if own == token and texts[seen.setdefault(key, o)] != texts[o]:
+            return texts[seen[key]].decode(), texts[o].decode()
+    raise AssertionError(f"no match among {len(keys)} strings")
 
 
 @pytest.mark.parametrize("of_run", [False, True])
@@ -256,6 +256,84 @@ def test_secret_scan(texts_spark, empty):
     assert secrets.find_secrets(empty, ratios=ratios).count() == 0
 
 
+def test_secrets_of_very_long_texts(texts_spark):
+    """A run of 10^5 characters, thousands of matches, texts without spaces and beyond the basic plane; clashing columns."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ratios = secrets.fit_models(
+        texts_spark.createDataFrame(
+            [("ordinary_words_of_texts", False)] * 20 + [("".join(rng.choices(letters, k=40)), True) for _ in range(200)],
+            "token string, is_random boolean",
+        )
+    )
+    run = "".join(rng.choices(letters, k=100_000))
+    many = "".join(f"ü🙂{'🙂' * rng.randrange(3)} token={rng.randrange(10**7, 10**8)} " for _ in range(3_000))
+    texts = [run, many, "🙂" * 5_000 + " AKIA" + "QZ7" * 6 + "🙂" * 2_047, "中" * 30_000]
+    docs = texts_spark.createDataFrame([(i, t, "a", "b", "c") for i, t in enumerate(texts)], "doc_id long, text string, _every string, _upto string, _blocks string")
+    found = secrets.find_secrets(docs, ratios=ratios)
+    for row in secrets.redacted(found.withColumn("old", F.col("text"))).collect():
+        text = texts[row.doc_id]
+        assert sorted((x.s, k, x.e) for k, kind in enumerate(secrets.KINDS[:3]) for x in row[kind]) == brute_base(text)
+        spans = sorted((x.s, x.e) for kind in secrets.KINDS for x in row[kind])
+        want, at = "", 0
+        for s, e in spans:
+            want += text[at:s] + "[SECRET]" if s >= at else ""
+            at = max(at, e)
+        assert row.text == want + text[at:] and (row._every, row._upto, row._blocks) == ("a", "b", "c")
+        for x in row.markov:
+            codes = [secrets.ALPHABET.index(c) for c in x.t]
+            ratio = sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(codes, codes[1:]))
+            assert ratio >= secrets.LEAST_SUM - 0.01 * len(codes) and ratio >= (secrets.LEAST_MEAN - 0.01) * (len(codes) - 1)
+
+
+def test_secret_ratios_by_brute_force(texts_spark):
+    """A run is a span if and only if the models' ratio says so."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    labelled = [("the_ordinary_words_of_some_texts", False)] * 30 + [("".join(rng.choices(letters, k=40)), True) for _ in range(300)]
+    ratios = secrets.fit_models(texts_spark.createDataFrame(labelled, "token string, is_random boolean"))
+    runs = ["".join(rng.choices(letters, k=rng.randrange(16, 60))) for _ in range(200)]
+    runs += ["_".join(rng.choices("the ordinary words of some texts".split(), k=rng.randrange(4, 9))) for _ in range(200)]
+    runs += [a[:12] + b[:12] for a, b in zip(runs[:200], runs[200:])]
+    docs = texts_spark.createDataFrame([(i, f"({r})") for i, r in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.markov] for r in secrets.find_secrets(docs, ratios=ratios).collect()}
+    ratios, verdicts = [round(r, 5) for r in ratios], Counter()
+    for i, run in enumerate(runs):
+        codes = [secrets.ALPHABET.index(c) for c in run]
+        ratio = sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(codes, codes[1:]))
+        want = len(run) >= 16 and ratio >= secrets.LEAST_SUM and ratio >= secrets.LEAST_MEAN * (len(run) - 1)
+        assert got[i] == ([(1, 1 + len(run))] if want else [])
+        verdicts[want, i // 200] += 1
+    assert verdicts[True, 0] > 150 and verdicts[True, 1] == 0
+
+
+def test_rules_judge_short_texts(texts_spark):
+    """Characters per token, byte share and entropy count at every length."""
+    rng = random.Random(8)
+    clean = ["The river runs past the old stone house and the green fields where seven people met in the light of the morning sun"]
+    clean += ["A short note says that every member of the group should bring one book and read a part of it to all the others"]
+    garbled = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=5)) for _ in range(24)) for _ in range(3)]
+    garbled += ["a b " * 15, " ".join(["word"] * 22)]
+    docs = texts_spark.createDataFrame([(i, t, "clash") for i, t in enumerate(clean + garbled)], "doc_id long, text string, _m string")
+    rows = {r.doc_id: r for r in fertility.with_rules(docs).collect()}
+    assert all(r.fit[0].n_tokens < 130 and r._m == "clash" for r in rows.values())
+    assert [rows[i].kept for i in range(len(rows))] == [True] * len(clean) + [False] * len(garbled)
+
+
+def test_quality_of_many_copies(texts_spark, awkward, empty):
+    """A text that most rows share is dealt to all partitions; awkward rows get scores, copies the same one."""
+    rows = [(i, "the same copied text of many rows" if i % 3 else f"own text {i}", i % 2) for i in range(300)]
+    examples = texts_spark.createDataFrame(rows, "doc long, text string, label int")
+    weights = quality.fit(examples, doc="doc")
+    got = awkward.select("doc_id", "text", quality.quality_score(F.col("text"), weights).alias("s")).collect()
+    by_text = defaultdict(set)
+    for r in got:
+        assert 0 <= r.s <= 1
+        by_text[r.text or ""].add(r.s)
+    assert len(got) == awkward.count() and all(len(s) == 1 for s in by_text.values())
+    assert empty.select(quality.quality_score(F.col("text"), weights)).count() == 0
+
+
 def test_quality_rules(awkward, empty):
     rows = fertility.with_rules(awkward).collect()
     assert len(rows) == awkward.count()
