@@ -210,6 +210,17 @@ def first_of_equals(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def places(keys: np.ndarray) -> np.ndarray:
+    """For each key its place among the distinct ones in ascending order, in which a block has asked about them."""
+    order = np.argsort(keys)
+    fresh = np.zeros(len(keys), np.int64)
+    own = keys[order]
+    fresh[1:] = own[1:] != own[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(fresh)
+    return place
+
+
 def byte_rows(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, widest: int) -> np.ndarray:
     """The bytes of pieces of ``data`` as rows of numbers: padded with zeros, and with the length at the end."""
     words = -(-widest // 8)

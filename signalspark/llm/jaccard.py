@@ -125,8 +125,7 @@ def _rare_first(width: int, key_bits: int, percent: int):
             for row in batch.to_pylist():
                 ids, texts = B.open_block(row["ids"], row["sizes"], row["texts"])
                 values, sizes = shingle_sets(texts, width)
-                keys = np.unique(values >> drop)
-                counts = B.read_answers(row["answers"])[np.searchsorted(keys, values >> drop)]
+                counts = B.read_answers(row["answers"])[B.places(values >> drop)]
                 owner = np.repeat(np.arange(len(texts)), sizes)
                 at = np.flatnonzero(counts > 1)
                 at = at[np.lexsort((values[at], counts[at], owner[at]))]

@@ -219,8 +219,7 @@ class _Runs:
         none = np.zeros(0, np.int64)
         parts = zip((none, none, none, np.zeros(0, np.uint64)), *leads_of(texts, span, token), strict=True)
         owner, start, sizes, lead = (np.concatenate(c) for c in parts)
-        known = np.unique(lead >> drop)  # the keys that were asked about, in the same order
-        hit = shared.astype(bool)[np.searchsorted(known, lead >> drop)]
+        hit = shared.astype(bool)[B.places(lead >> drop)]
         owner, start, sizes = owner[hit], start[hit], sizes[hit]
         # A longer stretch is several runs: span strings cover 2 span - 1 bytes.
         many = -(-sizes // span)
@@ -264,7 +263,7 @@ class _Strings:
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, _Pieces]:
         """Which strings have a hash of several documents, and these with their bytes."""
-        hit = np.flatnonzero(shared.astype(bool)[np.searchsorted(np.unique(self.hashes), self.hashes)])
+        hit = np.flatnonzero(shared.astype(bool)[B.places(self.hashes)])
         rows = B.byte_rows(self.data, self.at[hit], np.full(len(hit), self.span), self.span)
         return hit, _Pieces(self.hashes[hit], self.docs[hit], rows)
 
@@ -337,6 +336,7 @@ def repeated_spans(
                         "block_id": pa.array([row["block_id"]], pa.int64()),
                         "seen_runs": pa.array([runs.packed(done)], pa.binary()),
                         "left_runs": pa.array([runs.packed(~done)], pa.binary()),
+                        "n_left": pa.array([int(runs.sizes[~done].sum())], pa.int64()),
                     }
                 )
         release()
@@ -349,17 +349,19 @@ def repeated_spans(
     def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
         return blocks.join(answers.select("block_id", F.col("answers").alias(name)), "block_id", "left")
 
-    # How many runs and strings are taken to be shared decides the number of ranges, nothing else.
+    # How many runs are taken to be shared decides the number of ranges, nothing else. The strings left are counted.
     seen_runs = B.ask_rows(paired, lambda row: runs_of(row).pieces.keys(), _seen_before, even_cuts(total // 14), "seen-runs")
-    runs = with_answers(paired, seen_runs, "seen_runs").mapInArrow(sort_out, "block_id long, seen_runs binary, left_runs binary")
-    sorted_out = stock.join(stored(runs, "runs"), "block_id")
-    hashes = B.ask_rows(sorted_out, lambda row: strings_in(row)[2].keys(), _shared, even_cuts(total // 2), "shared-strings")
+    kinds = "block_id long, seen_runs binary, left_runs binary, n_left long"
+    runs = stored(with_answers(paired, seen_runs, "seen_runs").mapInArrow(sort_out, kinds), "runs")
+    left_cuts = even_cuts(int(runs.agg(F.sum("n_left")).first()[0] or 0))
+    sorted_out = stock.join(runs.drop("n_left"), "block_id")
+    hashes = B.ask_rows(sorted_out, lambda row: strings_in(row)[2].keys(), _shared, left_cuts, "shared-strings")
     sorted_out = with_answers(sorted_out, hashes, "shared_strings")
 
     def candidates(row):
         return strings_in(row)[2].candidates(B.read_answers(row["shared_strings"]))[1].keys()
 
-    seen = B.ask_rows(sorted_out, candidates, _seen_before, even_cuts(total // 14), "seen-strings")
+    seen = B.ask_rows(sorted_out, candidates, _seen_before, left_cuts, "seen-strings")
 
     def remove(batches):
         for batch in batches:
