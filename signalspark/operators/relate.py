@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.functions import scalar as S
@@ -17,19 +18,36 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(last).select(*keys, "_row.*")
 
 
+#: Columns that one number holds, a bit for each.
+MASK_BITS = 63
+
+
 def availability(overview: DataFrame, id_col: str = "ID") -> DataFrame:
     """(ID, task_key) pairs of a wide overview whose cell is anything but a dash, each once.
 
-    A missing cell is not a dash, so it counts as available.
+    A missing cell is not a dash, so it counts as available. Rows of one ID are put together as bits, one for each
+    column, before the columns become rows: what is aggregated are IDs, not pairs.
     """
     tasks = [c for c in overview.columns if c != id_col]
-    cells = overview.select(
-        S.strip(F.col(id_col).cast("string")).alias(id_col),
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")).alias(c) for c in tasks],
+    groups = [tasks[i : i + MASK_BITS] for i in range(0, len(tasks), MASK_BITS)]
+
+    def marked(column: str, bit: int) -> Column:
+        cell = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("nan"))
+        return F.when(S.strip(cell) != "-", F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+
+    masks = [reduce(Column.bitwiseOR, [marked(c, i) for i, c in enumerate(g)]) for g in groups]
+    rows = overview.select(
+        S.strip(F.col(f"`{id_col}`").cast("string")).alias(id_col), *[m.alias(f"_mask{k}") for k, m in enumerate(masks)]
     )
-    long = cells.unpivot([id_col], [f"`{c}`" for c in tasks], "task_key", "cell")
-    names = F.lower(S.strip(F.col("task_key")))
-    return long.where(S.strip(F.col("cell")) != "-").select(id_col, names.alias("task_key")).distinct()
+    ids = rows.groupBy(f"`{id_col}`").agg(*[F.bit_or(f"_mask{k}").alias(f"_mask{k}") for k in range(len(groups))])
+    names = [
+        F.when(F.col(f"_mask{k}").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lower(S.strip(F.lit(c))))
+        for k, g in enumerate(groups)
+        for i, c in enumerate(g)
+    ]
+    # Columns may have one name once it is stripped and lower-cased.
+    keys = F.array_distinct(F.array_compact(F.array(*names))) if names else F.array().cast("array<string>")
+    return ids.select(id_col, F.explode(keys).alias("task_key"))
 
 
 def task_order(overview: DataFrame, id_col: str = "ID") -> dict[str, int]:

@@ -118,3 +118,14 @@ def test_first_rows_limit_runs_before_the_exchange(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id")
     plan = sample.first_rows(events, "user_id", "event_id", 3, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_availability_aggregates_ids_and_not_pairs(spark):
+    """More columns than a number has bits, two of one name, IDs on several rows, one without an ID."""
+    names = [f"t{i}" for i in range(70)] + [" T0 "]
+    data = [(" a", *["-"] * 70, "x"), ("a ", "x", *["-"] * 69, None), (None, *["-"] * 69, "y", "-"), ("b", *[" - "] * 71)]
+    df = spark.createDataFrame(data, "ID string, " + ", ".join(f"`{n}` string" for n in names))
+    pairs = relate.availability(df)
+    assert sorted(map(str, rows(pairs))) == sorted(map(str, [("a", "t0"), (None, "t69")]))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and "Expand" not in plan[plan.index("Aggregate") :]

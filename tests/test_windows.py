@@ -115,3 +115,19 @@ def test_last_window_per_series(spark):
     meta = windows.window_meta(placed(spark, {"a": 20, "b": 9}), Cutter(SCHEMA, 4, 1))
     last = sequences.last_per_series(meta, "worker_id").select("worker_id", "start_idx")
     assert rows(last) == [("a", 150), ("b", 40)]
+
+
+def test_length_fit_reports_series_shorter_than_the_horizon(spark, tmp_path):
+    """Ten events of one worker: seven, one and two rows in the splits."""
+    from datetime import datetime, timedelta
+
+    from signalspark import catalog
+
+    catalog.load_all()
+    start = datetime(2024, 1, 1)
+    data = [(i, start + timedelta(hours=i), 1, "view", float(i), '{"k": 1}') for i in range(10)]
+    fields = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(data, fields).write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(catalog.QUERIES["window_length_fit"](spark, str(tmp_path))) == [(1, 4)]
+    for n, fitted in ((5, 4), (42, 36), (61, 60)):
+        assert rows(windows.length_fit(placed(spark, {"a": n, "b": 90}), "worker_id", 60, 5)) == [(n, fitted)]
