@@ -22,12 +22,8 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 MASK_BITS = 63
 
 
-def availability(overview: DataFrame, id_col: str = "ID") -> DataFrame:
-    """(ID, task_key) pairs of a wide overview whose cell is anything but a dash, each once.
-
-    A missing cell is not a dash, so it counts as available. Rows of one ID are put together as bits, one for each
-    column, before the columns become rows: what is aggregated are IDs, not pairs.
-    """
+def _task_bits(overview: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """One row per ID with a bit for each column whose cell is anything but a dash, and the task names of the bits."""
     tasks = [c for c in overview.columns if c != id_col]
     groups = [tasks[i : i + MASK_BITS] for i in range(0, len(tasks), MASK_BITS)]
 
@@ -46,10 +42,29 @@ def availability(overview: DataFrame, id_col: str = "ID") -> DataFrame:
         for i, c in enumerate(g)
     ]
     # Columns may have one name once it is stripped and lower-cased.
-    keys = F.array_distinct(F.array_compact(F.array(*names))) if names else F.array().cast("array<string>")
+    return ids, F.array_distinct(F.array_compact(F.array(*names))) if names else F.array().cast("array<string>")
+
+
+def availability(overview: DataFrame, id_col: str = "ID") -> DataFrame:
+    """(ID, task_key) pairs of a wide overview whose cell is anything but a dash, each once.
+
+    A missing cell is not a dash, so it counts as available. Rows of one ID are put together as bits, one for each
+    column, before the columns become rows: what is aggregated are IDs, not pairs.
+    """
+    ids, keys = _task_bits(overview, id_col)
     return ids.select(id_col, F.explode(keys).alias("task_key"))
 
 
+def where_available(df: DataFrame, overview: DataFrame, id_col: str = "ID") -> DataFrame:
+    """The rows whose (ID, task_key) is one of ``availability``.
+
+    The join is by ID, with the bits: a size the planner has measured, where pairs unfolded behind an exchange would
+    be taken for as small as the IDs they came from, and broadcast.
+    """
+    ids, keys = _task_bits(overview, id_col)
+    return df.join(ids, id_col).where(F.array_contains(keys, F.col("task_key"))).select(*[f"`{c}`" for c in df.columns])
+
+
 def task_order(overview: DataFrame, id_col: str = "ID") -> dict[str, int]:
     """Column position of each task: schema metadata, no data is read."""
     return {c.strip().lower(): i for i, c in enumerate(c for c in overview.columns if c != id_col)}

@@ -92,7 +92,7 @@ def joined_rows(
         "task_key", S.task_key(F.col("class_norm"), F.col("rep_norm"))
     )
     merged = merged.withColumn("task_order", relate.order_of(F.col("task_key"), order))
-    return merged.join(relate.availability(overview), ["ID", "task_key"], "left_semi")
+    return relate.where_available(merged, overview)
 
 
 def with_series_order(rows: DataFrame) -> DataFrame:

@@ -128,4 +128,6 @@ def test_availability_aggregates_ids_and_not_pairs(spark):
     pairs = relate.availability(df)
     assert sorted(map(str, rows(pairs))) == sorted(map(str, [("a", "t0"), (None, "t69")]))
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    some = spark.createDataFrame([("a", "t0", 1), ("a", "t1", 2), ("b", "t0", 3), (None, "t69", 4), ("a", None, 5)], "ID string, task_key string, n int")
+    assert rows(relate.where_available(some.unionAll(some), df)) == [("a", "t0", 1)] * 2
     assert plan.index("Generate") < plan.index("Aggregate") and "Expand" not in plan[plan.index("Aggregate") :]
