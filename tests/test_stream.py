@@ -80,3 +80,16 @@ def test_open_slices_wait_for_the_next_call(source, tmp_path):
     some = {(r.worker_id, r.start_idx) for r in stream.drain(df, str(tmp_path / "out")).rows.collect()}
     every = {(r.worker_id, r.start_idx) for r in drained(df, tmp_path).rows.collect()}
     assert some < every and len(every) == 56 + 5
+
+
+def test_rows_without_a_time_come_first(spark, tmp_path):
+    """A null time beside known ones, a worker that has nothing else, and a time after the closing heartbeat's."""
+    far = 9_000 * 365 * 24 * 60 * MINUTE
+    data = [("a", t * MINUTE, float(t), float(t)) for t in range(1, 9)]
+    data += [("a", None, 0.0, 0.0), ("a", far, 9.0, 9.0), ("bb", None, 1.0, 1.0), ("bb", None, 1.0, 2.0)]
+    spark.createDataFrame(data, FIELDS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = stream.with_heartbeats(spark.readStream.schema(FIELDS).parquet(str(tmp_path / "in")), str(tmp_path / "beats"))
+    out = drained(stream.window_stream(df, "x", "y", "worker_id", ["t"], 1, 1, 1, ARRIVAL), tmp_path)
+    got = sorted((r.worker_id, r.start_idx, r.mean, r.y) for r in out.rows.collect())
+    assert [g[:3] for g in got] == [("a", i, float(i)) for i in range(9)] + [("bb", 0, 1.0)]
+    assert [g[3] for g in got[:9]] == [float(i + 1) for i in range(9)] and out.late_count() == 0
