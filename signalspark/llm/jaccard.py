@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -36,6 +36,10 @@ PERCENT = 75
 BINS = 16
 #: 64-bit words of parities.
 PARITY_WORDS = 4
+#: 64-bit words of parities in the comparison of all pairs left, where rows are few.
+WIDE_WORDS = 32
+#: Tokens before its own that a row of that comparison knows.
+TOKENS_BEFORE = 16
 #: Heads of one token's list in one round.
 HEADS = 4
 #: Bytes of text for each shingle, about; only the layout of the exchange depends on it.
@@ -155,12 +159,26 @@ PREFIX = "token long, class long, n long, alone long, place long, bins array<int
 )
 
 
-def _parities(own: np.ndarray) -> np.ndarray:
-    """Whether the number of members is odd, for 64 x PARITY_WORDS bins by hash, as 64-bit words."""
-    bins = np.bincount((own >> np.uint64(8)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+def _parities(own: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Whether the number of members is odd, for 64 x ``words`` bins by hash, as 64-bit words."""
+    bins = np.bincount((own >> np.uint64(8)) % np.uint64(64 * words), minlength=64 * words)
     return np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide_parities(batches):
+    """(class, wide) of each set: the parities of many bins, which few but similar sets pass."""
+    for batch in batches:
+        own = [_parities(np.frombuffer(raw.as_py(), np.uint64), WIDE_WORDS) for raw in batch.column("shared")]
+        wide = pa.array([words.tolist() for words in own], pa.list_(pa.int64()))
+        yield pa.record_batch({"class": batch.column("class"), "wide": wide})
+    release()
+
+
+def _least_sum(x: str, y: str, percent: int) -> Column:
+    """What two sets that reach the threshold have in common at least."""
+    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100.0 + percent) - 1e-9)
+
+
 def _prefixes(percent: int):
     """(token, class, n, alone, place, tallies) of each prefix shingle; place counts the shingles before it in the
     order, alone those of them that no other document has."""
@@ -193,7 +211,7 @@ def _prefixes(percent: int):
 def _possible(x: str, y: str, percent: int) -> Column:
     """The length, positional and suffix filters for two prefix rows with one token."""
     nx, ny, px, py, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "place", "alone") for s in (x, y))
-    need = F.ceil((nx + ny) * percent / (100.0 + percent) - 1e-9)
+    need = _least_sum(x, y, percent)
     length = (100 * F.least(nx, ny)) >= percent * F.greatest(nx, ny)
     # Both lists are in one order, so what they share besides the token comes before it in both or after it.
     position = F.least(px - ax, py - ay) + 1 + F.least(nx - px - 1, ny - py - 1) >= need
@@ -207,13 +225,17 @@ def _possible(x: str, y: str, percent: int) -> Column:
 def _to_heads(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of a class and a head of one of its tokens, of different components, that pass the filters.
 
-    The heads of a token are the first classes of its list in HEADS orders, drawn anew each turn; a class asks one of
-    them for each token. The orders are those of all tokens, so that lists of one membership have the same heads and a
-    class of a large group meets HEADS others, not one for each token.
+    In even turns the heads of a token are the first classes of its list in HEADS orders, drawn anew each turn; a class
+    asks one of them for each token. The orders are those of all tokens, so that lists of one membership have the same
+    heads and a class of a large group meets HEADS others, not one for each token. In odd turns the head is the class
+    with the fewest shingles rarer than the token: the middle of a group of near copies, to which those copies are
+    similar that have changed too much to be similar to most.
     """
     names = ["class", "component", "n", "alone", "place", "bins", *(f"odd{k}" for k in range(PARITY_WORDS))]
     part = F.pmod(F.col("token"), F.lit(HEADS))
-    first = F.min(F.struct(F.xxhash64("class", part, F.lit(turn)).alias("order"), *names)).alias("h")
+    drawn = F.xxhash64("class", part, F.lit(turn))
+    order = F.struct(F.col("place") if turn % 2 else F.lit(0).cast("long"), drawn)
+    first = F.min(F.struct(order.alias("order"), *names)).alias("h")
     heads = placed.groupBy("token").agg(first).select("token", *[f"h.{c}" for c in names])
     x, y = placed.alias("x"), heads.alias("y")
     apart = F.col("x.component") != F.col("y.component")
@@ -239,23 +261,43 @@ def _pairs_left(across: DataFrame) -> tuple[int, float]:
     return int(row[0] or 0), row[1] or 0.0
 
 
+def _all_left(across: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all classes of different components that share a token and pass the filters.
+
+    Similar classes pass at every token that they share, so a pair is left out where both rows know of an earlier one:
+    it comes once or a few times, not once for each token. Many bins of parities leave few pairs but those that link.
+    """
+    before = Window.partitionBy("class").orderBy("place").rowsBetween(-TOKENS_BEFORE, -1)
+    wide = sets.join(across.select("class").distinct(), "class", "left_semi").select("class", "shared")
+    wide = wide.mapInArrow(_wide_parities, "class long, wide array<long>")
+    rows = across.withColumn("before", F.collect_list("token").over(before)).join(wide, "class")
+    rows = stored(rows, "pairs-left")
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = F.col("x.component") < F.col("y.component")
+    odd = F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(odd, F.lit(0), lambda total, one: total + one)
+    shared = sum(F.col(f"{s}.n") - F.col(f"{s}.alone") for s in ("x", "y"))
+    near = shared - differ >= 2 * _least_sum("x", "y", percent)
+    fresh = ~F.arrays_overlap("x.before", "y.before")
+    same = F.col("x.token") == F.col("y.token")
+    pairs = x.join(y, same & apart & _possible("x", "y", percent) & fresh & near)
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+
+
 def _links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join exactly the classes which all links together join.
 
-    Rounds of heads go on while the pairs left are more than the rows and the round before took off a fifth of
-    them; every pair left then is compared.
+    Rounds of heads go on while the pairs left are more than the rows and, once both kinds of heads were asked, the
+    round before took off a fifth of them; every pair left then is compared.
     """
     across, links, turn = _across(prefix, None), None, 0
     rows, left = _pairs_left(across)
-    while turn == 0 or (left > rows and left <= 0.8 * before):
+    while turn == 0 or (left > rows and (turn == 1 or left <= 0.8 * before)):
         found = _verified(_to_heads(across, percent, turn), sets, percent)
         links = stored(found if links is None else links.unionByName(found), "head-links")
         across, before, turn = _across(prefix, links), left, turn + 1
         rows, left = _pairs_left(across)
-    x, y = across.alias("x"), across.alias("y")
-    apart = F.col("x.component") < F.col("y.component")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible("x", "y", percent))
-    rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    rest = _all_left(across, sets, percent)
     return stored(links.unionByName(_verified(rest, sets, percent)).distinct(), "links")
 
 

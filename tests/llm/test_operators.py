@@ -139,6 +139,28 @@ def test_jaccard_chains_and_large_groups(texts_spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_jaccard_pairs_of_a_group_of_near_copies(texts_spark, monkeypatch):
+    """Near copies of which some are similar only to the least changed ones: no pair comes again for each token."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        own = [f"w{i}" for i in range(150)]
+        for k in rng.sample(range(150), rng.randrange(6)):
+            own[k] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    made, verified = [], jaccard._verified
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    docs = texts_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(list(enumerate(texts)))[1]
+    assert made[-1] < 2 * len(texts), made
+
+
 def test_connected_components(texts_spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     got = {r.node: r.component for r in connected(texts_spark.createDataFrame(edges, "a long, b long")).collect()}
