@@ -472,3 +472,31 @@ def test_pipeline_stages_on_awkward_rows(texts_spark, awkward, empty):
             out = stage(texts_spark, docs, SF)
             assert out.columns[: len(docs.columns)] == docs.columns or at == len(corpus_pipeline.STAGES) - 1
             assert out.count() <= docs.count()
+
+
+def test_pipeline_sends_texts_in_small_batches(texts_spark, monkeypatch):
+    """Long texts go to Python a few at a time, whatever the rows of a batch may be."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("long")
+    def together(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    monkeypatch.setattr(corpus_pipeline, "with_rules", lambda docs: docs.withColumn("kept", together("text") < (4 << 20)))
+    docs = texts_spark.range(2_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1_000).alias("text"))
+    try:
+        assert corpus_pipeline.quality_rules(texts_spark, docs, SF).count() == 2_000
+    finally:
+        texts_spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+
+
+def test_pipeline_secret_scan_holds_texts_once(texts_spark):
+    import corpus_pipeline
+
+    docs = texts_spark.createDataFrame([(1, "token=abc123def", "a"), (2, None, None)], "doc_id long, text string, hex string")
+    out = corpus_pipeline.without_secrets(texts_spark, docs.withColumn("n_chars", F.length("text").cast("long")), SF)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "[SECRET]", "a", 8), (2, None, None, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct(doc_id" not in plan and "_row" not in plan
